@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keelsieve.functions.normalise import fingerprint_hex, squeezed, utc_day
-from keelsieve.llm import distinct, history, membership, mixing
+from keelsieve.llm import credentials, distinct, history, membership, mixing, provenance
 from keelsieve.plans.registry import Registry, table
 
 registry = Registry()
@@ -14,6 +14,38 @@ _FP = r"nullif(regexp_extract(lower(fingerprint), '^\s*(?:[a-z0-9_.-]+:)*([0-9a-
 _ID = r"nullif(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '')"
 
 
+# --- 1. files not written by hand
+
+
+@registry.add("p1_found")
+def p1_found(spark, sf_dir):
+    return provenance.label_files(table(spark, sf_dir, "artifacts")).where("p_handwritten < 0.5").select("artifact_id")
+
+
+@registry.add("p1_labels")
+def p1_labels(spark, sf_dir):
+    return provenance.label_files(table(spark, sf_dir, "artifacts"))
+
+
+# --- 2. credentials in source
+
+
+def _sources(spark, sf_dir):
+    a = table(spark, sf_dir, "artifacts")
+    return a.select("artifact_id", F.coalesce(F.when(F.trim("path") != "", F.col("path")), F.col("uri")).alias("path"), "content")
+
+
+@registry.add("p2_found")
+def p2_found(spark, sf_dir):
+    return credentials.locate(_sources(spark, sf_dir)).select("artifact_id", "line_no").distinct()
+
+
+@registry.add("p2_redacted")
+def p2_redacted(spark, sf_dir):
+    """Contents without credentials; those that had none come out as they were."""
+    return credentials.redact(_sources(spark, sf_dir)).select("artifact_id", "content")
+
+
 # --- 3. distinct counts
 
 
