@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keelsieve.functions.normalise import fingerprint_hex, squeezed, utc_day
-from keelsieve.llm import credentials, distinct, history, membership, mixing, provenance
+from keelsieve.llm import credentials, distinct, history, leakage, membership, mixing, provenance, reading
 from keelsieve.plans.registry import Registry, table
 
 registry = Registry()
@@ -157,3 +157,41 @@ def p8_shares(spark, sf_dir):
     counted = mixing.materialise(_counted(spark, sf_dir), "mix-tokens")
     targets = table(spark, sf_dir, "mix_targets")
     return mixing.actual_shares(mixing.mixture(counted, targets, CURRICULUM), mixing.shares(counted, targets))
+
+
+# --- 9. reading level
+
+
+def _assessed(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return reading.assess(documents, reading.fit(documents, table(spark, sf_dir, "reading_labels")))
+
+
+@registry.add("p9_found")
+def p9_found(spark, sf_dir):
+    return _assessed(spark, sf_dir).where("reading_level IN (1, 4)").select("doc_id", "reading_level")
+
+
+@registry.add("p9_profile")
+def p9_profile(spark, sf_dir):
+    """Documents by source and reading level."""
+    source = table(spark, sf_dir, "documents").select("doc_id", squeezed("source").alias("source"))
+    return _assessed(spark, sf_dir).join(source, "doc_id").groupBy("source", "reading_level").agg(F.count(F.lit(1)).alias("documents"))
+
+
+# --- 7. evaluation items in training text
+
+
+@registry.add("p7_found")
+def p7_found(spark, sf_dir):
+    found = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select("item_id", "doc_id").distinct()
+
+
+@registry.add("p7_items")
+def p7_items(spark, sf_dir):
+    """Leaked items with the number of documents and the longest leaked stretch."""
+    found = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    items = table(spark, sf_dir, "eval_items").select("item_id", "suite")
+    got = found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.max("words").alias("longest"))
+    return items.join(got, "item_id")
