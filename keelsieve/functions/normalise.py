@@ -46,6 +46,21 @@ def utc_day(c: Column | str) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string")
 
 
+def utc_micros(c: Column) -> Column:
+    """Microseconds since 1970 of a time without zone, read as UTC whatever the session's time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+
+
+def instant(text: str) -> Column:
+    """A time written as text, read as UTC."""
+    return F.timestamp_micros(utc_micros(F.lit(text)))
+
+
+def micros(df, column: str) -> Column:
+    """Microseconds since 1970 of a timestamp column of either kind."""
+    return utc_micros(F.col(column)) if dict(df.dtypes)[column] == "timestamp_ntz" else F.unix_micros(column)
+
+
 def commit_id(c: Column | str) -> Column:
     """A commit in lower case without blanks; NULL below seven characters."""
     t = squeezed(c)

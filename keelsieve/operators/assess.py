@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from keelsieve.functions.normalise import utc_micros
+
 # Default multipliers.
 PROVIDER = {"aws": 1.5, "gcp": 1.5, "azure": 1.5, "github": 1.2, "gitlab": 1.2, "stripe": 1.2}
 SOURCE = {"web_page": 1.6, "web_script": 1.6, "git_working_tree": 1.0, "file": 1.0}
@@ -43,7 +45,7 @@ def assess(credentials: DataFrame, exposures: DataFrame, as_of: str) -> DataFram
     rows = credentials.select("id", "provider", "first_seen").join(e.withColumnRenamed("credential_id", "id"), "id", "left")
     n = F.least(F.greatest(F.coalesce("exposure_count", F.lit(1)), F.lit(1)) - 1, F.lit(10))
     kinds = F.least(F.greatest(F.coalesce("source_types", F.lit(1)), F.lit(1)) - 1, F.lit(4))
-    hours = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("first_seen")) / F.lit(3_600_000_000)
+    hours = (utc_micros(F.lit(as_of)) - F.unix_micros("first_seen")) / F.lit(3_600_000_000)
     rows = rows.select(
         "id", "provider", (F.lit(1.0) + F.lit(0.15) * n).alias("exposure_factor"), F.coalesce("visibility", F.lit(OTHER_SOURCE)).alias("visibility_factor"),
         lookup(F.lower("provider"), PROVIDER, 1.0).alias("provider_factor"), bucketed(hours, AGE_HOURS, OLDEST).alias("age_factor"),

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keelsieve.functions import textops
+from keelsieve.functions.normalise import instant
 from keelsieve.sources.rules import SEVERITIES, Rule, checksum, validate
 
 # Score signals, bands and windows.
@@ -121,7 +122,7 @@ def findings(scored: DataFrame, rules: Iterable[Rule], options: Options = Option
     rules = validate(rules)
     severity = reduce(lambda acc, r: acc.when(F.col("rule_id") == r.id, r.severity), rules, F.when(F.lit(False), ""))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in scored.columns else F.lit("")
-    when = F.lit(as_of).cast("timestamp_ntz").cast("timestamp")
+    when = instant(as_of)
     ident = F.concat(F.lit("fnd_"), F.substring(F.sha2(F.concat_ws("|", F.col("artifact_id").cast("string"), "rule_id", F.col("start").cast("string"), F.col("stop").cast("string")), 256), 1, 24))
     return at_least(scored, options.min_band).select(
         "artifact_id", ident.alias("id"), "rule_id", F.col("rule_id").alias("type"), severity.alias("severity"), F.col("score").alias("confidence"),

@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from keelsieve.functions.normalise import micros
+
 
 def scan_by_key(df: DataFrame, key: str, order: Sequence[str], schema: str, start: Callable[[], dict], step: Callable[[dict, dict], dict | None]) -> DataFrame:
     """Run ``step(state, row) -> output row`` over the rows of each key in order; ``start()`` makes a key's state. NULL keys form one key."""
@@ -55,7 +57,7 @@ def token_bucket(calls: DataFrame, key: str, at: str, order: str, rate: float, b
             s["tokens"] -= 1
         return {order: row[order], key: row[key], "allowed": ok, "tokens": s["tokens"]}
 
-    rows = calls.select(key, order, F.unix_micros(at).alias("__us"))
+    rows = calls.select(key, order, micros(calls, at).alias("__us"))
     kinds = dict(rows.dtypes)
     return scan_by_key(rows, key, ["__us", order], f"{order} {kinds[order]}, {key} {kinds[key]}, allowed boolean, tokens double", dict, step)
 
@@ -88,7 +90,7 @@ def breaker(calls: DataFrame, key: str, at: str, order: str, failed: str, thresh
                 s["state"], s["fails"] = "closed", 0
         return {order: row[order], key: row[key], "state": before, "admitted": admitted}
 
-    rows = calls.where(F.col(at).isNotNull()).select(key, order, failed, F.unix_micros(at).alias("__us"))
+    rows = calls.where(F.col(at).isNotNull()).select(key, order, failed, micros(calls, at).alias("__us"))
     kinds = dict(rows.dtypes)
     return scan_by_key(rows, key, ["__us", order], f"{order} {kinds[order]}, {key} {kinds[key]}, state string, admitted boolean", start, step)
 
@@ -103,6 +105,6 @@ def cached(calls: DataFrame, key: str, at: str, order: str, ttl_seconds: float =
             s["at"] = now
         return {order: row[order], key: row[key], "hit": hit}
 
-    rows = calls.where(F.col(at).isNotNull()).select(key, order, F.unix_micros(at).alias("__us"))
+    rows = calls.where(F.col(at).isNotNull()).select(key, order, micros(calls, at).alias("__us"))
     kinds = dict(rows.dtypes)
     return scan_by_key(rows, key, ["__us", order], f"{order} {kinds[order]}, {key} {kinds[key]}, hit boolean", dict, step)

@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from keelsieve.functions.normalise import instant
+
 # The tools, the scope each needs and the arguments it takes.
 CATALOGUE = (
     ("list_findings", "findings:read", ("state", "source_type", "rule_id", "limit"), True),
@@ -74,5 +76,5 @@ def audit(decisions: DataFrame, at: str) -> DataFrame:
     reason = F.when(F.col("reason") != "", F.create_map(F.lit("tool"), F.col("tool"), F.lit("reason"), F.col("reason"))).otherwise(F.create_map(F.lit("tool"), F.col("tool")))
     return decisions.select(
         F.col("principal").alias("actor"), F.concat(F.lit("tool_call:"), "tool").alias("action"), F.col("tool").alias("resource"), "result",
-        F.col("call_id").cast("string").alias("request_id"), F.lit(at).cast("timestamp").alias("at"), reason.alias("metadata"),
+        F.col("call_id").cast("string").alias("request_id"), instant(at).alias("at"), reason.alias("metadata"),
     )
