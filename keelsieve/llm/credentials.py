@@ -248,7 +248,7 @@ def find(text: str | None, path: str = "") -> list[tuple[int, int, int, str]]:
             # the value may go on in literals of the following lines
             pieces = [(start + base, end + base)]
             j, rest, whole = i, line[m.end() :], value
-            while j + 1 < len(lines) and re.fullmatch(r"\s*(?:\+|\\|\.|&)?\s*", rest) and re.search(r"[+\\.&]\s*$|^\s*$", rest):
+            while j + 1 < len(lines) and re.fullmatch(r"\s*[+.&]?\s*\\?\s*", rest) and re.search(r"[+\\.&]\s*$|^\s*$", rest):
                 nxt = re.match(r"\s*(?:[+.&]\s*)?", lines[j + 1])
                 q = LITERAL.match(lines[j + 1], nxt.end())
                 if not q or (not rest.strip() and not (nxt[0].strip() or "(" in before[-40:])):

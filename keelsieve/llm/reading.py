@@ -147,12 +147,12 @@ def votes(labels: DataFrame) -> DataFrame:
     """``doc_id`` and ``target``, the share of each level among a document's votes.
 
     Graders are told apart by trimmed lower-case name; NULL grades, levels outside 1-4 and repeated rows do not
-    count. A grader who on average lies above or below the others of the same documents has that part of each
+    count. A grader who on average lies above or below the median of the same documents has that part of each
     vote moved to the neighbouring level.
     """
     v = labels.where(F.col("reading_level").isin(*LEVELS)).select("doc_id", F.lower(F.trim(F.coalesce("grader", F.lit("")))).alias("grader"), F.col("reading_level").cast("double").alias("v")).distinct()
-    whole = v.groupBy("doc_id").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
-    apart = v.join(whole.where("n > 1"), "doc_id").groupBy("grader").agg(F.avg(F.col("v") - (F.col("s") - F.col("v")) / (F.col("n") - 1)).alias("bias"))
+    middle = v.groupBy("doc_id").agg(F.median("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    apart = v.join(middle.where("n > 1"), "doc_id").groupBy("grader").agg(F.avg(F.col("v") - F.col("m")).alias("bias"))
     v = v.join(apart.where("abs(bias) > 0.12"), "grader", "left").withColumn("bias", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("bias", F.lit(0.0)))))
     moved = F.greatest(F.lit(1.0), F.least(F.lit(4.0), F.col("v") - F.signum("bias")))
     share = [F.avg(F.when(F.col("v") == k, 1 - F.abs("bias")).otherwise(0.0) + F.when(moved == k, F.abs("bias")).otherwise(0.0)).alias(f"t{k}") for k in LEVELS]
