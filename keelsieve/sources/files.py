@@ -13,7 +13,10 @@ from keelsieve.schemas import CREDENTIAL, EXPOSURE, FINDING_JSON, FINDING_JSON_S
 
 
 def files(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False, glob: str | None = None, max_bytes: int | None = None) -> DataFrame:
-    """Files as artifacts, each whole; the size limit is applied before anything is read. A missing path is an error."""
+    """Files as artifacts, each whole; the size limit is applied before anything is read. A missing path is an error.
+
+    Files without a single byte are left out, as Spark's file scans do: nothing can be found in them.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)

@@ -1,0 +1,209 @@
+import ipaddress
+import subprocess
+from datetime import datetime, timedelta, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from keelsieve.operators import assess, correlate, folds, tools, weburl
+from keelsieve.sources import files as readers, gitrepo
+from keelsieve.streaming import streams
+
+T0 = datetime(2025, 1, 1, tzinfo=timezone.utc)
+FINDING = "seq int, fingerprint string, rule_id string, source_type string, source_uri string, path string, commit_sha string, created_at timestamp, note string"
+
+
+def findings(spark, *rows):
+    return spark.createDataFrame([(i, *r, "x") for i, r in enumerate(rows)], FINDING)
+
+
+def test_three_places_of_one_secret(spark):
+    f = findings(
+        spark, ("f1", "generic-a", "git_commit", "r", "a.py", "c1", T0 + timedelta(days=1)), ("f1", "github-b", "git_commit", "r", "b.py", None, T0), ("f1", "github-b", "web_page", "u", None, None, None),
+        ("f1", "github-b", "web_page", "u", "", "", None), ("", "x-y", "file", "", "", "", T0), (None, "x-y", "file", "", "", "", T0),
+    )
+    (c,) = correlate.credentials(f).collect()
+    assert (c["provider"], c["kind"], c["exposure_count"], c["status"]) == ("generic", "generic-a", 3, "active")
+    assert c["first_seen"].replace(tzinfo=timezone.utc) == T0
+    assert correlate.exposures(f).count() == 3 and correlate.incident_members(f).select("incident_id").distinct().count() == 1
+    again = correlate.exposures(f.unionByName(f))
+    assert {r["id"] for r in again.collect()} == {r["id"] for r in correlate.exposures(f).collect()}
+    assert correlate.credentials(f.limit(0)).count() == 0
+
+
+def test_provider_of(spark):
+    df = spark.createDataFrame([("aws-key",), ("-x",), ("plain",), ("",)], "r string").select(correlate.provider_of(F.col("r")))
+    assert [r[0] for r in df.collect()] == ["aws", "-x", "plain", ""]
+
+
+def test_upsert(spark):
+    base = spark.createDataFrame([(1, "a", 5), (2, "b", 5)], "id int, v string, ver int")
+    new = spark.createDataFrame([(2, "c", 5), (3, "d", 1), (3, "e", 2)], "id int, v string, ver int")
+    assert sorted(tuple(r) for r in correlate.upsert(base, new, ["id"], "ver").collect()) == [(1, "a", 5), (2, "c", 5), (3, "e", 2)]
+
+
+def test_assessment_bounds(spark):
+    c = spark.createDataFrame([("c1", "aws", T0 - timedelta(days=200)), ("c2", "none", None)], "id string, provider string, first_seen timestamp")
+    e = spark.createDataFrame([("c1", t) for t in ("web_page", "ci", "file", "git_commit", "git_staged", "web_script")] * 3, "credential_id string, source_type string")
+    got = {r["id"]: r for r in assess.assess(c, e, "2025-01-01 00:00:00").collect()}
+    assert got["c1"]["score"] == 10.0 and got["c1"]["level"] == "CRITICAL" and got["c1"]["age_factor"] == 1.6
+    assert got["c2"]["score"] == pytest.approx(1.2) and got["c2"]["level"] == "INFO"
+    assert assess.factors(assess.assess(c, e, "2025-01-01 00:00:00")).count() == 12
+
+
+def test_first_match_and_steps(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", None), ("b", "x")], "p string, e string")
+    got = assess.first_match(df, [{"p": "a", "e": "x", "n": 1}, {"p": "a", "n": 2}], ["p", "e"], {"n": "int"})
+    assert [r["n"] for r in got.collect()] == [1, 2, None]
+    log = spark.createDataFrame([("k", 1, "A"), ("k", 2, "B"), ("k", 3, "B"), ("k", 4, "A")], "k string, at int, state string")
+    edges = spark.createDataFrame([("A", "B")], "from_state string, to_state string")
+    assert [tuple(r) for r in assess.illegal_steps(log, edges, "k", ["at"]).select("from_state", "to_state").collect()] == [("B", "A")]
+
+
+@pytest.mark.parametrize("url, want", [
+    ("HTTP://Example.com:80", "http://example.com/"), ("https://e.com:443/a/", "https://e.com/a"), ("https://e.com/a?b=2&a=1&b=1#f", "https://e.com/a?a=1&b=1&b=2"),
+    ("https://e.com/?q=a b", "https://e.com/?q=a+b"), ("/relative", None), ("", None), (None, None), ("http://e.com:8080/x", "http://e.com:8080/x"),
+])
+def test_canonical_addresses(url, want):
+    assert weburl.canonical(url) == want
+
+
+def test_scope(spark):
+    hosts = spark.createDataFrame([(h,) for h in ("example.com", "a.example.com", "EXAMPLE.com", "badexample.com", "example.com.evil", "com")], "h string")
+    assert [r[0] for r in hosts.select(weburl.in_domains(F.col("h"), ["example.com"])).collect()] == [True, True, True, False, False, False]
+    paths = spark.createDataFrame([("/api",), ("/api/x",), ("/apiv2",), ("/",)], "p string")
+    assert [r[0] for r in paths.select(weburl.path_excluded(F.col("p"), ["/api/"])).collect()] == [False, True, False, False]
+
+
+def test_pages(spark):
+    html = '<script>var a=1;\n//# sourceMappingURL=a.js.map</script><script src="/b.js#x"></script><a href="lib.mjs">l</a><a href="p.html#t">p</a><a href="p.html">p</a><script>  </script><a href="javascript:x">j</a>'
+    inline, scripts, links = weburl.parse_page("https://e.com/d/", html)
+    assert len(inline) == 1 and scripts == ["https://e.com/b.js", "https://e.com/d/a.js.map", "https://e.com/d/lib.mjs"] and links[0] == "https://e.com/d/p.html"
+    pages = spark.createDataFrame([(2, "https://e.com/2", html), (1, "https://e.com/1", html), (3, None, None), (4, "u", "")], "page_id int, url string, html string")
+    first = weburl.inline_scripts(weburl.parsed(pages), "page_id", ["page_id"]).collect()
+    assert [r["page_id"] for r in first] == [1]
+
+
+def test_claims(spark):
+    links = spark.createDataFrame([("https://e.com/b", 1), ("https://e.com/b#x", 2), ("https://e.com/a", 1), ("https://o.org/", 1), ("bad", 1), (None, 1)], "url string, depth int")
+    seen = weburl.new_addresses(spark.createDataFrame([("https://e.com/a",)], "url string"))
+    assert [r["url"] for r in weburl.claim(links, seen, 10, ["e.com"]).collect()] == ["https://e.com/b"]
+
+
+def test_guards(spark):
+    ips = ["127.0.0.1", "8.8.8.8", "::ffff:10.0.0.1", "169.254.169.254", "fe80::1", "2001:4860::1", "odd", None]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ips], "a string").select(weburl.blocked_address(F.col("a"))).collect()]
+    assert got == [True, False, True, True, True, False, True, True] and ipaddress.ip_address("8.8.8.8")
+    answers = spark.createDataFrame([("h", "8.8.8.8"), ("h", "10.0.0.1"), ("g", "8.8.8.8")], "host string, address string")
+    assert [r["host"] for r in weburl.rejected_hosts(answers).collect()] == ["h"]
+
+
+def test_token_bucket_equals_a_loop(spark):
+    calls = [(i, i % 3 if i % 7 else None, T0 + timedelta(seconds=(i * 37) % 900)) for i in range(300)]
+    df = spark.createDataFrame(calls, "n int, k int, at timestamp")
+    want, state = {}, {}
+    for n, k, at in sorted(calls, key=lambda c: (c[2], c[0])):
+        t = at.timestamp()
+        tokens, last = state.get(k, (3.0, t))
+        tokens = min(3.0, tokens + (t - last) * 0.05)
+        want[n] = tokens >= 1
+        state[k] = (tokens - 1 if tokens >= 1 else tokens, t)
+    assert {r["n"]: r["allowed"] for r in folds.token_bucket(df, "k", "at", "n", 0.05, 3.0, idle_seconds=1e9).collect()} == want
+
+
+def test_breaker_opens_probes_and_closes(spark):
+    rows = [(i, "v", T0 + timedelta(seconds=s), f) for i, (s, f) in enumerate([(0, True), (1, True), (2, False), (32, True), (33, False), (70, False), (71, None)])]
+    df = spark.createDataFrame(rows, "n int, k string, at timestamp, failed boolean")
+    got = [(r["state"], r["admitted"]) for r in folds.breaker(df, "k", "at", "n", "failed", threshold=2).orderBy("n").collect()]
+    assert got == [("closed", True), ("closed", True), ("open", False), ("half_open", True), ("open", False), ("half_open", True), ("closed", True)]
+
+
+def test_cache(spark):
+    df = spark.createDataFrame([(i, "v", T0 + timedelta(seconds=s)) for i, s in enumerate((0, 299, 300, 400))], "n int, k string, at timestamp")
+    assert [r["hit"] for r in folds.cached(df, "k", "at", "n").orderBy("n").collect()] == [False, True, False, True]
+
+
+def test_dispatch_gates(spark):
+    calls = spark.createDataFrame([
+        (1, "p", "nope", ["findings:read"], []), (2, "p", "list_findings", [], []), (3, "p", "start_scan", ["scans:start"], []), (4, "p", "cancel_scan", ["scans:cancel"], []),
+        (5, "p", "list_findings", ["findings:read"], ["limit", "odd"]), (6, "p", "list_findings", ["findings:read"], ["limit"]), (7, "p", "list_findings", ["findings:read"], None), (8, "q", "get_finding", ["findings:read"], []),
+    ], "call_id int, principal string, tool string, scopes array<string>, arguments array<string>")
+    d = tools.dispatch(calls, tools.catalogue(spark), ["findings:read", "scans:start"], {"scans:start": 2}, F.col("principal") != "q")
+    assert [r["result"] for r in d.orderBy("call_id").collect()] == ["denied_unknown_tool", "denied_authz", "denied_approval_pending", "denied_policy", "denied_arguments", "allowed", "allowed", "denied_rate_limited"]
+    assert tools.audit(d, "2025-01-01 00:00:00").count() == 8
+
+
+def test_listing(spark):
+    df = spark.createDataFrame([("b", "OPEN"), ("a", "OPEN"), ("c", None)], "id string, state string")
+    assert [r["id"] for r in tools.listed(df, "id", 1, state="OPEN").collect()] == ["a"] and tools.listed(df, "id", 0, state=None).count() == 3
+    with pytest.raises(LookupError):
+        tools.one(df, "id", "z")
+
+
+def test_files_and_documents(spark, tmp_path):
+    for name, text in (("true_positive/a.txt", "x"), ("false_positive/b.txt", "yy"), ("false_positive/empty.txt", ""), ("true_positive/.skip", "x")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = readers.labelled(spark, str(tmp_path)).collect()
+    assert sorted((r["path"].rsplit("/", 1)[-1], r["expected"]) for r in got) == [("a.txt", True), ("b.txt", False)]
+    assert readers.files(spark, str(tmp_path), recursive=True, max_bytes=1).count() == 2
+    doc = tmp_path / "f.json"
+    doc.write_text('[{"ID": "i", "RuleID": "r", "Fingerprint": "f", "CreatedAt": "2025-01-01T00:00:00Z"}, {"ID": "j"}]')
+    f = readers.findings_json(spark, str(doc))
+    assert [(r["id"], r["rule_id"], r["path"]) for r in f.orderBy("seq").collect()] == [("i", "r", ""), ("j", "", "")]
+    cor = tmp_path / "c.json"
+    cor.write_text('{"credentials": [{"id": "c"}], "exposures": [{"id": "e", "credential_id": "c"}], "incidents": []}')
+    assert {k: v.count() for k, v in readers.correlation_json(spark, str(cor)).items()} == {"credentials": 1, "exposures": 1, "incidents": 0}
+
+
+def test_settings_and_prompts(spark, tmp_path):
+    assert readers.Settings.of({"max_depth": 3, "output": "json"}, output="text") == readers.Settings(max_depth=3)
+    with pytest.raises(ValueError):
+        readers.Settings.of({"odd": 1})
+    (tmp_path / "p.md").write_text("---\nid: p\nversion: 2\n---\nbody {{x}}\n")
+    assert readers.prompts(spark, tmp_path).head()["body"] == "body {{x}}\n"
+    (tmp_path / "q.md").write_text("---\nid: p\nversion: 2\n---\nagain\n")
+    with pytest.raises(ValueError):
+        readers.prompts(spark, tmp_path)
+
+
+def test_git_source(spark, tmp_path):
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@e.test", "-C", str(tmp_path), *a], check=True, capture_output=True)
+    run("init", "-q")
+    (tmp_path / "a é.txt").write_text("one")
+    (tmp_path / "bin").write_bytes(b"a\0b")
+    run("add", "-A")
+    run("commit", "-qm", "1")
+    (tmp_path / "a é.txt").write_text("two")
+    run("commit", "-qam", "2")
+    (tmp_path / "new.txt").write_text("staged")
+    run("add", "new.txt")
+    (tmp_path / "loose.txt").write_text("loose")
+    spark.dataSource.register(gitrepo.GitSource)
+    read = lambda **o: {(r["path"], bytes(r["content"])) for r in spark.read.format("git").options(**o).load(str(tmp_path)).collect()}
+    assert read(mode="commit") == {("a é.txt", b"two")}
+    assert read(mode="staged") == {("new.txt", b"staged")}
+    assert read(mode="working_tree") == {("a é.txt", b"two"), ("new.txt", b"staged"), ("loose.txt", b"loose")}
+    assert read(mode="history") == {("a é.txt", b"one"), ("a é.txt", b"two")}
+    with pytest.raises(ValueError):
+        gitrepo.check_ref("--upload-pack=x")
+
+
+def test_streamed_addresses_come_once(spark, tmp_path):
+    rows = [("https://e.com/a",), ("https://E.com/a#x",), ("bad",), (None,), ("https://e.com/b",)]
+    spark.createDataFrame(rows, "url string").write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("url string").parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a second run with the same mark adds nothing
+        streams.run_available(streams.first_seen(s), str(tmp_path / "out"), str(tmp_path / "mark"))
+    assert sorted(r["url"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["https://e.com/a", "https://e.com/b"]
+
+
+def test_streamed_detection_equals_batch(spark, tmp_path):
+    from keelsieve.operators import detect
+    from keelsieve.sources.rules import BUILTIN
+
+    df = spark.createDataFrame([(1, "ghp_" + "a1B2" * 9), (2, "nothing")], "artifact_id int, content string")
+    df.write.parquet(str(tmp_path / "in"))
+    s = streams.artifacts(spark, str(tmp_path / "in"), "artifact_id int, content string")
+    streams.run_available(streams.detected(s, BUILTIN).select("id"), str(tmp_path / "out"), str(tmp_path / "mark"))
+    assert {r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {r["id"] for r in detect.detect(df, BUILTIN).collect()}
