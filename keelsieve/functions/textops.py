@@ -40,35 +40,37 @@ def byte_regex(pattern: str) -> str:
     return "".join(out)
 
 
-def spans(projected: Column, pattern: str, group: int) -> Column:
-    """Array of (start, stop) byte offsets of a group in all matches of a rule, on a byte projection.
+def quoted(text: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def spans_sql(projected: str, pattern: str, group: int, rule_id: str | None = None) -> str:
+    """SQL for the array of (start, stop) byte offsets of a group in all matches of a rule, on a byte projection.
 
     The pieces between matches and the matches themselves add up to the text, which gives every
-    match's place. The group has to end where its match ends, but for one closing quote.
+    match's place. The group has to end where its match ends, but for one closing quote. Matches are
+    found once and bound to a name: inside the fold they would be looked for anew at every element.
+    One SQL text per rule keeps building the plan cheap.
     """
-    rx = byte_regex(pattern)
-    # found once each, then bound to a name: inside the fold they would be matched anew for every element
-    parts = F.struct(
-        F.regexp_extract_all(projected, F.lit(rx), F.lit(0)).alias("found"),
-        F.regexp_extract_all(projected, F.lit(rx), F.lit(group)).alias("wanted"),
-        F.split(projected, rx, -1).alias("pieces"),
+    rx = quoted(byte_regex(pattern))
+    named = f"'rule_id', {quoted(rule_id)}, " if rule_id else ""
+    kind = f"array<struct<{'rule_id:string,' if rule_id else ''}start:int,stop:int>>"
+    whole = "get(m.found, i)"
+    stop = f"acc.at + length(get(m.pieces, i)) + length({whole})" + (f" - if({whole} RLIKE '[\"\\']$', 1, 0)" if group else "")
+    one = f"named_struct({named}'start', cast({stop} - length(get(m.wanted, i)) AS int), 'stop', cast({stop} AS int))"
+    step = f"named_struct('at', acc.at + length(get(m.pieces, i)) + length({whole}), 'out', array_append(acc.out, {one}))"
+    indexes = "if(size(m.found) > 0, sequence(0, size(m.found) - 1), cast(array() AS array<int>))"
+    fold = f"aggregate({indexes}, named_struct('at', 0, 'out', cast(array() AS {kind})), (acc, i) -> {step}, acc -> acc.out)"
+    return (
+        f"get(transform(array(named_struct('found', regexp_extract_all({projected}, {rx}, 0), 'wanted', regexp_extract_all({projected}, {rx}, {group}),"
+        f" 'pieces', split({projected}, {rx}, -1))), m -> {fold}), 0)"
     )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
-
-    def places(m: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(m["pieces"], i))
-            whole, value = F.get(m["found"], i), F.get(m["wanted"], i)
-            stop = start + F.length(whole)
-            if group:
-                stop = stop - F.when(whole.rlike("[\"']$"), 1).otherwise(0)
-            one = F.struct((stop - F.length(value)).cast("int").alias("start"), stop.cast("int").alias("stop"))
-            return F.struct((start + F.length(whole)).alias("at"), F.array_append(acc["out"], one).alias("out"))
 
-        indexes = F.when(F.size(m["found"]) > 0, F.sequence(F.lit(0), F.size(m["found"]) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(indexes, zero, step)["out"]
 
-    return F.get(F.transform(F.array(parts), places), F.lit(0))
+def lossy_text(c: Column) -> Column:
+    """Bytes as text, each malformed sequence as U+FFFD."""
+    return F.make_valid_utf8(c.cast("string"))
 
 
 def entropy(value: Column) -> Column:
@@ -94,7 +96,7 @@ def hmac_sha256(key: bytes, value: Column) -> Column:
 def masked(value: Column, visible: int = 4) -> Column:
     """First ``visible`` bytes, then a star per byte; invalid UTF-8 from a cut character becomes U+FFFD."""
     n = F.octet_length(value)
-    head = F.decode(F.substring(value, 1, visible), "UTF-8")
+    head = lossy_text(F.substring(value, 1, visible))
     return F.concat(head, F.repeat(F.lit("*"), F.greatest(n - visible, F.lit(0))))
 
 

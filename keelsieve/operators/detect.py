@@ -36,13 +36,22 @@ def scannable(artifacts: DataFrame, content: str = "content", max_bytes: int = O
     return artifacts.where(c.isNotNull() & (F.octet_length(c) <= max_bytes) & (F.locate("\u0000", F.decode(F.substring(c, 1, head), "ISO-8859-1")) == 0))
 
 
-def _first_keyword(words: tuple[str, ...], lowered: Column) -> Column:
-    """The first configured word that the lower-case context contains, else NULL."""
-    return F.coalesce(*[F.when(lowered.contains(w.lower()), F.lit(w)) for w in words]) if words else F.lit(None).cast("string")
+def _signals_sql(r: Rule) -> str:
+    """The signals of a rule in their order, over ``entropy`` and the lower-case context ``__low``."""
+    q = textops.quoted
 
+    def signal(name: str, value: str, reason: str) -> str:
+        return f"named_struct('name', {q(name)}, 'score', {value}, 'reason', {reason})"
 
-def _signal(name: str, score: Column, reason: Column) -> Column:
-    return F.struct(F.lit(name).alias("name"), score.cast("double").alias("score"), reason.cast("string").alias("reason"))
+    parts = [signal("base", f"{float(r.confidence)!r}D", "'rule confidence'")]
+    if r.entropy_enabled:
+        high = f"entropy >= {float(r.entropy_threshold)!r}D"
+        parts.append(signal("entropy", f"if({high}, {ENTROPY_HIGH!r}D, {ENTROPY_LOW!r}D)", f"if({high}, 'entropy at or above threshold', 'entropy below threshold')"))
+    for name, words, gain in (("keyword", r.keywords, KEYWORD), ("negative_keyword", r.negative_keywords, NEGATIVE)):
+        if words:  # the first configured word that the context contains
+            hit = "CASE " + " ".join(f"WHEN contains(__low, {q(w.lower())}) THEN {q(w)}" for w in words) + " END"
+            parts.append(signal(name, f"if(({hit}) IS NOT NULL, {gain!r}D, 0.0D)", f"coalesce({hit}, '')"))
+    return f"array({', '.join(parts)})"
 
 
 def matches(artifacts: DataFrame, rules: Iterable[Rule], content: str = "content") -> DataFrame:
@@ -53,25 +62,23 @@ def matches(artifacts: DataFrame, rules: Iterable[Rule], content: str = "content
     """
     rules = validate(rules)
     rest = [c for c in artifacts.columns if c != content]
-    base = artifacts.where(F.col(content).isNotNull()).withColumn("__p", textops.byte_projection(F.col(content).cast("string")))
-
-    def tagged_with(rule_id: str):
-        return lambda s: F.struct(F.lit(rule_id).alias("rule_id"), s["start"].alias("start"), s["stop"].alias("stop"))
+    base = artifacts.where(F.col(content).isNotNull()).withColumn("__p", textops.byte_projection(F.col(content).cast("string"))).withColumn("__l", F.lower("__p"))
 
     per_rule = []
     for r in rules:
-        tagged = F.transform(textops.spans(F.col("__p"), r.regex, r.secret_group), tagged_with(r.id))
-        # cheap tests first: a literal the pattern demands, else whether it matches at all
-        possible = F.col("__p").contains(r.demands) if r.demands else F.col("__p").rlike(textops.byte_regex(r.regex))
-        per_rule.append(F.when(possible, tagged).otherwise(F.array().cast("array<struct<rule_id:string,start:int,stop:int>>")))
-    out = base.select(*rest, F.encode(F.col(content).cast("string"), "UTF-8").alias("__b"), F.concat(*per_rule).alias("__m")).where(F.size("__m") > 0)
-    out = out.select(*rest, "__b", F.inline("__m"))
+        # a cheap test first: literals the pattern demands, else whether it matches at all
+        cheap = " OR ".join(f"contains(__l, {textops.quoted(w)})" for w in r.demands)
+        possible = cheap or f"__p RLIKE {textops.quoted(textops.byte_regex(r.regex))}"
+        per_rule.append(f"if({possible}, {textops.spans_sql('__p', r.regex, r.secret_group, r.id)}, cast(array() AS array<struct<rule_id:string,start:int,stop:int>>))")
+    # the outer form keeps the optimizer from testing the array for emptiness below, where every part of it would be worked out again
+    out = base.select(*rest, F.encode(F.col(content).cast("string"), "UTF-8").alias("__b"), F.expr(f"concat({', '.join(per_rule)})").alias("__m"))
+    out = out.select(*rest, "__b", F.inline_outer("__m")).where("rule_id IS NOT NULL")
     lo = F.greatest(F.col("start") - WINDOW_BYTES, F.lit(0))
     hi = F.least(F.col("stop") + WINDOW_BYTES, F.octet_length("__b"))
     return out.select(
         *rest, "rule_id", "start", "stop",
         F.substr("__b", F.col("start") + 1, F.col("stop") - F.col("start")).alias("value"),
-        F.decode(F.substr("__b", lo + 1, hi - lo), "UTF-8").alias("context"),
+        textops.lossy_text(F.substr("__b", lo + 1, hi - lo)).alias("context"),
     )
 
 
@@ -80,18 +87,7 @@ def score(found: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     rules = validate(rules)
     rows = found.withColumn("entropy", textops.entropy(F.col("value"))).withColumn("__low", F.lower("context"))
 
-    def of(r: Rule) -> Column:
-        parts = [_signal("base", F.lit(float(r.confidence)), F.lit("rule confidence"))]
-        if r.entropy_enabled:
-            high = F.col("entropy") >= F.lit(float(r.entropy_threshold))
-            parts.append(_signal("entropy", F.when(high, ENTROPY_HIGH).otherwise(ENTROPY_LOW), F.when(high, "entropy at or above threshold").otherwise("entropy below threshold")))
-        for name, words, gain in (("keyword", r.keywords, KEYWORD), ("negative_keyword", r.negative_keywords, NEGATIVE)):
-            if words:
-                hit = _first_keyword(words, F.col("__low"))
-                parts.append(_signal(name, F.when(hit.isNotNull(), gain).otherwise(0.0), F.coalesce(hit, F.lit(""))))
-        return F.array(*parts)
-
-    signals = reduce(lambda acc, r: acc.when(F.col("rule_id") == r.id, of(r)), rules[1:], F.when(F.col("rule_id") == rules[0].id, of(rules[0])))
+    signals = F.expr("CASE rule_id " + " ".join(f"WHEN {textops.quoted(r.id)} THEN {_signals_sql(r)}" for r in rules) + " END")
     rows = rows.withColumn("signals", signals)
     total = F.aggregate("signals", F.lit(0.0), lambda a, s: a + s["score"])
     rows = rows.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))

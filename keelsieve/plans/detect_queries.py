@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from keelsieve.functions import textops
 from keelsieve.operators import detect, quality, review
 from keelsieve.plans.registry import Registry, table
+from keelsieve.shared import spread
 from keelsieve.sinks import render
 from keelsieve.sources import rules as catalogue
 from keelsieve.sources.rules import BUILTIN
@@ -62,7 +63,7 @@ _EMITTED = f"SELECT * FROM ({_ARTIFACTS}) WHERE band != 'ignore'"
 
 
 def _scored(spark, sf_dir):
-    a = table(spark, sf_dir, "artifacts").select("artifact_id", "source_type", "uri", "path", "commit_sha", "content")
+    a = spread(table(spark, sf_dir, "artifacts").select("artifact_id", "source_type", "uri", "path", "commit_sha", "content"), "artifact_id")
     return detect.score(detect.matches(detect.scannable(a), BUILTIN), BUILTIN)
 
 
@@ -95,7 +96,7 @@ def detect_band_counts(spark, sf_dir):
 
 @registry.add("detect_documents", f"SELECT doc_id, rule_id, start, stop, score, band FROM ({scored_sql('documents', 'doc_id', 'text')})")
 def detect_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
     return detect.score(detect.matches(d, BUILTIN), BUILTIN).select("doc_id", "rule_id", F.col("start").cast("long"), F.col("stop").cast("long"), "score", "band")
 
 

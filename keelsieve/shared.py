@@ -49,6 +49,14 @@ def input_splits(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores where its scan has fewer splits than there are cores, as small files do; else as it is.
+
+    Worth a small shuffle before work that is heavy per row. Large tables are never touched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if input_splits(df) < cores else df
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _MADE:

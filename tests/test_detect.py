@@ -13,7 +13,7 @@ GHP = "ghp_" + "a1B2" * 9
 
 
 def artifacts(spark, *texts):
-    return spark.createDataFrame([(i, t, "extra") for i, t in enumerate(texts)], "artifact_id int, content string, rule_id_note string")
+    return spark.createDataFrame([(i, t, "extra") for i, t in enumerate(texts)], "artifact_id int, content string, note string")
 
 
 def found(spark, *texts, band="ignore"):
