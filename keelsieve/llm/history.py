@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from keelsieve.functions.normalise import checkout_path, commit_id, fingerprint_hex
 from keelsieve.shared import new_path, remove, write_table
 
-#: Rows a key range is meant to hold when the first run is laid down.
-RANGE_ROWS = 2_000_000
+#: Rows that one file of a run is meant to hold; small runs get up to one file per shuffle partition.
+FILE_ROWS, LEAST_ROWS = 1_000_000, 100_000
+#: Key ranges per file: several, so that hashing ranges to files comes out even.
+RANGES_PER_FILE = 8
 #: Bits of the window filter that goes to every executor: 4 MB, whatever the batch holds.
 #: A batch too large for it lets more of the old runs through and changes no result.
 FILTER_BITS = 1 << 25
@@ -122,8 +124,10 @@ def _scan(batches):
 class RunStore:
     """Persisted runs of everything seen so far, in key ranges, merged in tiers of ``compact_every``."""
 
-    def __init__(self, spark: SparkSession, ranges: int = 1, filter_bits: int = FILTER_BITS, compact_every: int = COMPACT_EVERY) -> None:
-        self.spark, self.ranges, self.filter_bits, self.compact_every = spark, max(1, ranges), filter_bits, compact_every
+    def __init__(self, spark: SparkSession, rows: int = 0, filter_bits: int = FILTER_BITS, compact_every: int = COMPACT_EVERY) -> None:
+        reducers = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.files = max(1 + rows // FILE_ROWS, min(reducers, 1 + rows // LEAST_ROWS))
+        self.spark, self.filter_bits, self.compact_every = spark, filter_bits, compact_every
         self.tiers: list[list[str]] = [[]]
         self.base: list[str] = []
 
@@ -132,18 +136,15 @@ class RunStore:
 
     def _lay(self, rows: DataFrame, name: str) -> str:
         path = new_path(self.spark, name)
+        ranges = self.files * RANGES_PER_FILE
         lead = F.conv(F.hex(F.substring("k", 1, 3)), 16, 10).cast("long")
-        ranged = rows.withColumn("key_range", (lead * self.ranges / (1 << 24)).cast("int"))
-        ranged.repartition(self.ranges, "key_range").sortWithinPartitions("key_range", "k", "commit").write.partitionBy("key_range").parquet(path)
+        ranged = rows.withColumn("key_range", (lead * ranges / (1 << 24)).cast("int"))
+        ranged = ranged.repartition(self.files, "key_range").sortWithinPartitions("key_range", "k", "commit")
+        ranged.select("k", "commit", "seq", "origin").write.parquet(path)
         return path
 
     def _read(self, paths: list[str]) -> DataFrame:
-        # each run by itself: several roots in one read would not share a partition column
-        out = None
-        for p in paths:
-            one = self.spark.read.schema(_ENTRY + ", key_range int").parquet(p).drop("key_range")
-            out = one if out is None else out.unionByName(one)
-        return out
+        return self.spark.read.schema(_ENTRY).parquet(*paths)
 
     def load(self, rows: DataFrame) -> None:
         """A large first run that needs no check: the accepted history."""
@@ -176,7 +177,7 @@ class RunStore:
             tier.clear()
 
 
-def decide(history: DataFrame, incoming: DataFrame, range_rows: int = RANGE_ROWS, compact_every: int = COMPACT_EVERY, filter_bits: int = FILTER_BITS) -> DataFrame:
+def decide(history: DataFrame, incoming: DataFrame, compact_every: int = COMPACT_EVERY, filter_bits: int = FILTER_BITS) -> DataFrame:
     """``record_no``, ``batch_no`` and ``refused`` of the incoming rows that have fingerprint, path and commit.
 
     Refused are rows equal in all three to a row of ``history`` or an incoming row of smaller record_no,
@@ -184,7 +185,7 @@ def decide(history: DataFrame, incoming: DataFrame, range_rows: int = RANGE_ROWS
     Batches are checked in order of their number; NULL batch_no counts as batch 0. Empty tables give no rows.
     """
     spark = history.sparkSession
-    store = RunStore(spark, 1 + history.count() // range_rows, filter_bits, compact_every)
+    store = RunStore(spark, history.count(), filter_bits, compact_every)
     store.load(entries(normalised(history), F.lit(0)))
     staged = write_table(normalised(incoming.withColumn("batch_no", F.coalesce("batch_no", F.lit(0))), "record_no", "batch_no"), new_path(spark, "incoming"))
     # Rows repeated inside their batch are later than the first of their entry: only first rows can be accepted.

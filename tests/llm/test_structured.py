@@ -108,7 +108,7 @@ def test_refused_rows_equal_brute_force(spark, seed):
     norm = lambda df, k: {r[0]: (r[1], r[2], r[3]) for r in history.normalised(df, k).select(k, "fp", "p", "commit").collect()}
     before, coming = list(norm(h, "row_no").values()), norm(inc, "record_no")
     want = {n for n, r in coming.items() if any(_equal_rows(r, o) for o in before) or any(m < n and _equal_rows(r, o) for m, o in coming.items())}
-    got = history.decide(h, inc, range_rows=10, compact_every=2, filter_bits=64).where("refused")
+    got = history.decide(h, inc, compact_every=2, filter_bits=64).where("refused")
     assert {r["record_no"] for r in got.collect()} == want
 
 
