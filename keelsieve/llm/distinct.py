@@ -20,6 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from keelsieve.shared import materialise
+
 BUCKETS = 1024
 RANKS = 54
 
@@ -117,7 +119,7 @@ def dominant_days(rows: DataFrame, share: float = 0.1, least_per_mille: int = 15
     pairs = bounds.where("grouping = 'rule_id+severity'").select("rule_id", "severity", F.col("lower").alias("pair_lower"))
     days = bounds.where("grouping = 'created_day+rule_id+severity'").select("created_day", "rule_id", "severity", F.col("upper").alias("day_upper"))
     short = days.join(pairs, ["rule_id", "severity"]).where(F.col("day_upper") >= share * F.col("pair_lower")).join(frequent, ["rule_id", "severity"])
-    short = short.select("created_day", "rule_id", "severity").checkpoint()
+    short = materialise(short.select("created_day", "rule_id", "severity"), "shortlist")
     exact = whole.where("id IS NOT NULL").join(short.select("rule_id", "severity").distinct(), ["rule_id", "severity"]).select("rule_id", "severity", "created_day", "id").distinct()
     in_pair = exact.groupBy("rule_id", "severity").agg(F.count_distinct("id").alias("pair_n"))
     in_day = exact.where("created_day IS NOT NULL").groupBy("rule_id", "severity", "created_day").agg(F.count(F.lit(1)).alias("day_n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from keelsieve.functions.normalise import fingerprint_hex, squeezed, utc_day
 from keelsieve.llm import credentials, distinct, history, leakage, membership, mixing, provenance, reading
 from keelsieve.plans.registry import Registry, table
+from keelsieve.shared import spread
 
 registry = Registry()
 
@@ -19,19 +20,19 @@ _ID = r"nullif(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '')"
 
 @registry.add("p1_found")
 def p1_found(spark, sf_dir):
-    return provenance.label_files(table(spark, sf_dir, "artifacts")).where("p_handwritten < 0.5").select("artifact_id")
+    return provenance.label_files(spread(table(spark, sf_dir, "artifacts"), "artifact_id")).where("p_handwritten < 0.5").select("artifact_id")
 
 
 @registry.add("p1_labels")
 def p1_labels(spark, sf_dir):
-    return provenance.label_files(table(spark, sf_dir, "artifacts"))
+    return provenance.label_files(spread(table(spark, sf_dir, "artifacts"), "artifact_id"))
 
 
 # --- 2. credentials in source
 
 
 def _sources(spark, sf_dir):
-    a = table(spark, sf_dir, "artifacts")
+    a = spread(table(spark, sf_dir, "artifacts"), "artifact_id")
     return a.select("artifact_id", F.coalesce(F.when(F.trim("path") != "", F.col("path")), F.col("uri")).alias("path"), "content")
 
 
@@ -138,7 +139,7 @@ CURRICULUM = {
 
 
 def _counted(spark, sf_dir):
-    return mixing.token_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixing.token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id"))
 
 
 @registry.add("p8_found")
@@ -163,7 +164,7 @@ def p8_shares(spark, sf_dir):
 
 
 def _assessed(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return reading.assess(documents, reading.fit(documents, table(spark, sf_dir, "reading_labels")))
 
 
@@ -184,14 +185,14 @@ def p9_profile(spark, sf_dir):
 
 @registry.add("p7_found")
 def p7_found(spark, sf_dir):
-    found = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    found = leakage.find_leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), table(spark, sf_dir, "eval_items"))
     return found.select("item_id", "doc_id").distinct()
 
 
 @registry.add("p7_items")
 def p7_items(spark, sf_dir):
     """Leaked items with the number of documents and the longest leaked stretch."""
-    found = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    found = leakage.find_leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), table(spark, sf_dir, "eval_items"))
     items = table(spark, sf_dir, "eval_items").select("item_id", "suite")
     got = found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.max("words").alias("longest"))
     return items.join(got, "item_id")
