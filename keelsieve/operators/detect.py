@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -30,6 +31,25 @@ class Options:
     max_bytes: int = 20 * 1024 * 1024
 
 
+def load_key(path: str | None = None, environment: str | None = None) -> bytes:
+    """The fingerprint key: a file's contents, else an environment value (hex, or 16 bytes and more as they are), else one for this process only."""
+    if path:
+        with open(path, "rb") as f:
+            key = f.read().strip()
+        if not key:
+            raise ValueError("the key file is empty")
+        return key
+    if environment:
+        try:
+            return bytes.fromhex(environment)
+        except ValueError:
+            raw = environment.encode()
+            if len(raw) < 16:
+                raise ValueError("a key needs 16 bytes or more") from None
+            return raw
+    return secrets.token_bytes(32)
+
+
 def scannable(artifacts: DataFrame, content: str = "content", max_bytes: int = Options.max_bytes, head: int = 8000) -> DataFrame:
     """Leaves out contents above a size and binary ones (a NUL in the first ``head`` bytes); NULL contents go too."""
     c = F.col(content).cast("binary")
@@ -137,6 +157,11 @@ def detect(artifacts: DataFrame, rules: Iterable[Rule], options: Options = Optio
     return findings(score(matches(scannable(artifacts, max_bytes=options.max_bytes), rules), rules), rules, options, as_of)
 
 
+def try_rule(artifacts: DataFrame, rule: Rule) -> DataFrame:
+    """Matches of a single rule with their scores, whatever the band and without fingerprints: for writing rules."""
+    return score(matches(scannable(artifacts), [rule]), [rule]).drop("value", "context")
+
+
 def explain(found: DataFrame) -> DataFrame:
     """One row per signal of each finding, in order."""
     return found.select("id", "rule_id", "confidence", F.posexplode("provenance.signals").alias("signal_no", "s")).select("id", "rule_id", "confidence", "signal_no", F.col("s.name").alias("signal"), F.col("s.score").alias("signal_score"))

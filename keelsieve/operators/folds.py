@@ -46,11 +46,12 @@ def token_bucket(calls: DataFrame, key: str, at: str, order: str, rate: float, b
 
     def step(s: dict, row: dict) -> dict:
         us = row["__us"]
-        now = s.get("last") if us is None or us != us else us / 1e6
-        if "last" not in s or s["last"] is None or (now is not None and now - s["last"] >= idle_seconds):
+        now = s.get("last") if us is None or us != us else int(us)
+        last = s.get("last")
+        if last is None or (now is not None and (now - last) / 1e6 >= idle_seconds):
             s["tokens"] = burst
         elif now is not None:
-            s["tokens"] = min(burst, s["tokens"] + max(0.0, now - s["last"]) * rate)
+            s["tokens"] = min(burst, s["tokens"] + max(0, now - last) / 1e6 * rate)
         s["last"] = now
         ok = s["tokens"] >= 1
         if ok:
@@ -62,7 +63,7 @@ def token_bucket(calls: DataFrame, key: str, at: str, order: str, rate: float, b
     return scan_by_key(rows, key, ["__us", order], f"{order} {kinds[order]}, {key} {kinds[key]}, allowed boolean, tokens double", dict, step)
 
 
-def breaker(calls: DataFrame, key: str, at: str, order: str, failed: str, threshold: int = 5, open_seconds: float = 30.0, probes: int = 1) -> DataFrame:
+def breaker(calls: DataFrame, key: str, at: str, order: str, failed: str, threshold: int = 5, open_seconds: float = 30.0) -> DataFrame:
     """``order``, ``key``, ``state`` (before the call), ``admitted`` for each call of a circuit breaker per key.
 
     ``threshold`` failures in a row open it; after ``open_seconds`` a probe is let through, which closes it or opens it anew.
@@ -70,14 +71,14 @@ def breaker(calls: DataFrame, key: str, at: str, order: str, failed: str, thresh
     """
 
     def start() -> dict:
-        return {"state": "closed", "fails": 0, "opened": 0.0, "probes": 0}
+        return {"state": "closed", "fails": 0, "opened": 0}
 
     def step(s: dict, row: dict) -> dict:
-        now = row["__us"] / 1e6
+        now = int(row["__us"])
         before = s["state"]
         admitted = True
         if s["state"] == "open":
-            if now - s["opened"] >= open_seconds:
+            if (now - s["opened"]) / 1e6 >= open_seconds:
                 s["state"] = before = "half_open"
             else:
                 admitted = False

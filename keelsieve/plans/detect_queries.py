@@ -106,9 +106,14 @@ def fingerprint_groups(spark, sf_dir):
     return f.drop("fingerprint")
 
 
-@registry.add("signals_exploded")
+@registry.add("signals_exploded", f"""
+WITH m AS ({_EMITTED}), r(rule_id, base, has_entropy, threshold, kw, neg) AS (VALUES {', '.join(f"({_lit(r.id)}, {r.confidence}::DOUBLE, {str(r.entropy_enabled).lower()}, {r.entropy_threshold}::DOUBLE, {len(r.keywords) > 0}, {len(r.negative_keywords) > 0})" for r in BUILTIN)})
+SELECT rule_id, signal, count(*) AS signals, round(sum(CASE signal WHEN 'base' THEN base WHEN 'entropy' THEN CASE WHEN entropy >= threshold THEN 0.1 ELSE -0.15 END ELSE 0 END), 6) AS known_total
+FROM (SELECT m.*, base, threshold, unnest(list_filter(['base', CASE WHEN has_entropy THEN 'entropy' END, CASE WHEN kw THEN 'keyword' END, CASE WHEN neg THEN 'negative_keyword' END], lambda x: x IS NOT NULL)) AS signal FROM m JOIN r USING (rule_id)) GROUP BY rule_id, signal""")
 def signals_exploded(spark, sf_dir):
-    return detect.explain(_found(spark, sf_dir))
+    """How often each signal was given, with the totals of those that depend on the match alone."""
+    known = F.sum(F.when(F.col("signal").isin("base", "entropy"), F.col("signal_score")).otherwise(0.0))
+    return detect.explain(_found(spark, sf_dir)).groupBy("rule_id", "signal").agg(F.count(F.lit(1)).alias("signals"), F.round(known, 6).alias("known_total"))
 
 
 @registry.add("severity_summary", f"SELECT severity, count(*) AS findings FROM ({_EMITTED}) GROUP BY severity")
@@ -131,6 +136,14 @@ def sarif_results(spark, sf_dir):
     return render.sarif_results(_found(spark, sf_dir)).groupBy("rule_id", "level").agg(F.count("result").alias("results"))
 
 
+@registry.add("single_rule", f"SELECT artifact_id, rule_id, start, stop, score, band FROM ({_ARTIFACTS}) WHERE rule_id = 'generic-password-assignment'")
+def single_rule(spark, sf_dir):
+    """One rule tried by itself: every match, down to those below all bands."""
+    (rule,) = [r for r in BUILTIN if r.id == "generic-password-assignment"]
+    a = spread(table(spark, sf_dir, "artifacts").select("artifact_id", "content"), "artifact_id")
+    return detect.try_rule(a, rule).select("artifact_id", "rule_id", F.col("start").cast("long"), F.col("stop").cast("long"), "score", "band")
+
+
 @registry.add("text_lines")
 def text_lines(spark, sf_dir):
     return render.text_lines(_found(spark, sf_dir))
@@ -236,7 +249,10 @@ def verdict_adjust(spark, sf_dir):
     return review.review(s, answers, "match_id").select("artifact_id", "rule_id", F.col("start").cast("long"), "review_score", "emit")
 
 
-@registry.add("verdict_parse")
+@registry.add("verdict_parse", f"""
+WITH m AS (SELECT artifact_id || ':' || rule_id || ':' || start AS match_id, (artifact_id + start) % 4 AS k FROM ({_ARTIFACTS}) WHERE band = 'llm_review')
+SELECT match_id, CASE k WHEN 0 THEN 'likely_secret' WHEN 1 THEN 'likely_false_positive' WHEN 2 THEN 'uncertain' END AS classification,
+ CASE k WHEN 0 THEN 0.75::DOUBLE WHEN 1 THEN 0.5::DOUBLE WHEN 2 THEN 1::DOUBLE END AS verdict_confidence, CASE WHEN k = 3 THEN 'missing field confidence' END AS verdict_error FROM m""")
 def verdict_parse(spark, sf_dir):
     return review.verdicts(_answers(_with_id(_scored(spark, sf_dir)))).select("match_id", "classification", "verdict_confidence", "verdict_error")
 

@@ -107,6 +107,28 @@ def test_cache_keys_do_not_run_into_each_other(spark):
     assert df.distinct().count() == 2
 
 
+def test_fallback_chain(spark):
+    schema = "match_id string, classification string, verdict_confidence double, verdict_reason string, verdict_error string"
+    a = spark.createDataFrame([("x", "uncertain", 0.5, "", None), ("y", None, None, None, "bad"), ("w", None, None, None, "bad")], schema)
+    b = spark.createDataFrame([("x", "likely_secret", 1.0, "", None), ("y", "likely_secret", 1.0, "", None), ("z", "uncertain", 0.1, "", None)], schema)
+    got = {r["match_id"]: r["classification"] for r in review.fallback(a, b, "match_id").collect()}
+    assert got == {"x": "uncertain", "y": "likely_secret", "z": "uncertain"}
+
+
+def test_keys(tmp_path):
+    (tmp_path / "k").write_bytes(b"secret\n")
+    assert detect.load_key(str(tmp_path / "k")) == b"secret" and detect.load_key(None, "00ff") == b"\x00\xff" and len(detect.load_key()) == 32
+    for bad in (lambda: detect.load_key(None, "short"), lambda: (tmp_path / "e").write_bytes(b"") or detect.load_key(str(tmp_path / "e"))):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_single_rule(spark):
+    rule = Rule("mine", "n", r"zz-(\d+)", "low", 0.3, 1)
+    (r,) = detect.try_rule(artifacts(spark, "a zz-123"), rule).collect()
+    assert (r["start"], r["stop"], r["band"]) == (5, 8, "ignore")
+
+
 def test_prompts(spark):
     df = spark.createDataFrame([("p", 1, "old"), ("p", 2, "hi {{name}}"), ("p", 0, "no")], "prompt_id string, version int, body string")
     assert review.latest_prompts(df).collect()[0]["body"] == "hi {{name}}"
