@@ -37,6 +37,8 @@ LEAST_WORDS, EDIT_EVERY = 24, 10
 SEED = 6
 #: Item passages compared at a time.
 BLOCK = 4096
+#: Items that one call takes: they are brought to every task. Larger sets go in parts.
+MOST_ITEMS = 20_000
 
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿]")
 _TAG = re.compile(r"(?s)<!--.*?-->|</?[A-Za-z][^<>]{0,300}>")
@@ -227,10 +229,12 @@ def find_leaks(documents: DataFrame, items: DataFrame, candidate: float = CANDID
     """``item_id``, ``doc_id``, ``cosine`` and ``words`` (longest leaked stretch) of every document that holds an item.
 
     The items are the stated query set: they are brought to every task in full and compared in blocks, against all
-    documents. Items without enough words of their own, and NULL or empty texts, leak nowhere. Repeated
+    documents; ValueError above MOST_ITEMS. Items without enough words of their own, and NULL or empty texts, leak nowhere. Repeated
     documents are each reported; a doc_id given twice with one text appears once per row.
     """
     spark = documents.sparkSession
+    if items.count() > MOST_ITEMS:
+        raise ValueError(f"more than {MOST_ITEMS} items: give them in parts")
     own = {i: w for i, w in own_words([(r["item_id"], r["text"]) for r in items.select("item_id", "text").collect()]).items() if len(w) >= LEAST_WORDS}
     schema = "item_id long, doc_id long, cosine double, words int"
     if not own:

@@ -30,6 +30,9 @@ SLICE_ROWS = 20_000
 #: Texts above this many characters are cut at white space before encoding, so that no single call grows with them.
 CHUNK_CHARS = 100_000
 
+#: Targets that one call takes: their plan is brought to every task.
+MOST_TARGETS = 10_000
+
 Schedule = dict[str, Sequence[tuple[float, float]]]
 
 
@@ -113,11 +116,13 @@ def mixture(counted: DataFrame, targets: DataFrame, schedules: Schedule | None =
 
     A source's documents are taken in a random but fixed order, pass after pass, until its budget is
     spent; the last record may overrun it. Sources without a schedule keep a constant weight. Equal
-    positions are ordered by source, doc_id and copy.
+    positions are ordered by source, doc_id and copy. ValueError above MOST_TARGETS targets.
     """
     schedules = {k.strip().lower(): v for k, v in (schedules or {}).items()}
     for knots in schedules.values():
         _integral(knots)
+    if targets.count() > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
     plan = shares(counted, targets).where("budget > 0").select("source", "tokens", "budget", "passes")
     docs = counted.select(squeezed("source").alias("source"), "doc_id", "n_tokens", F.xxhash64("doc_id", F.lit(seed)).alias("__h"))
     docs = materialise(docs.join(F.broadcast(plan.select("source")), "source", "left_semi"), "mix-docs")  # a row per target

@@ -83,12 +83,34 @@ def p3_counts(spark, sf_dir):
 # --- 4. new batches against all history
 
 
-@registry.add("p4_found")
+_ROOTS = r"^(?:/builds/[^/]+/[^/]+|/home/runner/work/[^/]+|/home/circleci/project|/home/travis/build/[^/]+/[^/]+|/var/lib/jenkins/workspace/[^/]+|/srv/checkouts/[^/]+/[^/]+|/workspace|[a-z]:/agent/_work/[^/]+/s)/"
+
+
+def _sql_path(c: str) -> str:
+    """The checkout path in SQL: decoded, composed, lower case, one kind of slash, dots resolved (twice, as nested ones are rare), known roots cut."""
+    p = rf"lower(replace(nfc_normalize(url_decode(replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '+', '%2B'))), '\', '/'))"
+    for rx, to in ((r"/+", "/"), (r"(^|/)(\./)+", r"\1"), (r"(^|/)[^/]+/\.\./", r"\1"), (r"(^|/)[^/]+/\.\./", r"\1"), (r"/+", "/"), (_ROOTS, "")):
+        p = f"regexp_replace({p}, '{rx}', '{to}', 'g')"
+    return f"nullif({p}, '')"
+
+
+_P4 = f"""
+WITH h AS (SELECT DISTINCT {_FP} AS fp, {_sql_path('path')} AS p, {_ID.format(c='commit_sha')} AS c FROM findings),
+i AS (SELECT record_no, batch_no, {_FP} AS fp, {_sql_path('path')} AS p, {_ID.format(c='commit_sha')} AS c FROM incoming_findings),
+j AS (SELECT * FROM i WHERE fp IS NOT NULL AND p IS NOT NULL AND length(c) >= 7),
+k AS (SELECT fp, p, c, min(record_no) AS first_no FROM j GROUP BY ALL),
+d AS (SELECT DISTINCT record_no, batch_no FROM (
+  SELECT j.record_no, j.batch_no FROM j JOIN h ON h.fp = j.fp AND h.p = j.p AND length(h.c) >= 7 AND substr(h.c, 1, 7) = substr(j.c, 1, 7) WHERE starts_with(h.c, j.c) OR starts_with(j.c, h.c)
+  UNION ALL SELECT j.record_no, j.batch_no FROM j JOIN k ON k.fp = j.fp AND k.p = j.p AND substr(k.c, 1, 7) = substr(j.c, 1, 7) WHERE k.first_no < j.record_no AND (starts_with(k.c, j.c) OR starts_with(j.c, k.c))))"""
+
+
+@registry.add("p4_found", _P4 + " SELECT record_no FROM d")
 def p4_found(spark, sf_dir):
     return _decided(spark, sf_dir).where("refused").select("record_no")
 
 
-@registry.add("p4_batches")
+@registry.add("p4_batches", _P4 + """ SELECT batch_no, n AS row_count, coalesce(r, 0) AS refused, n - coalesce(r, 0) AS accepted
+FROM (SELECT batch_no, count(*) AS n FROM i GROUP BY batch_no) LEFT JOIN (SELECT batch_no, count(*) AS r FROM d GROUP BY batch_no) USING (batch_no)""")
 def p4_batches(spark, sf_dir):
     """Accepted and refused rows of each batch; rows lacking a part of the key are accepted."""
     incoming = table(spark, sf_dir, "incoming_findings").groupBy("batch_no").agg(F.count(F.lit(1)).alias("row_count"))
