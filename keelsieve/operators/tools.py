@@ -53,7 +53,7 @@ def dispatch(calls: DataFrame, tools: DataFrame, allowed_scopes: Sequence[str],
     Gates in order: the tool is known, the principal holds its scope, policy allows that scope, no approval is
     pending, no argument is foreign, the rate limit (a boolean column, NULL passes) has room.
     """
-    rows = calls.join(F.broadcast(tools.select("tool", F.col("scope").alias("needs"), F.col("arguments").alias("takes"))), "tool", "left")  # the catalogue is a fixed list
+    rows = calls.join(tools.select("tool", F.col("scope").alias("needs"), F.col("arguments").alias("takes")), "tool", "left")
     foreign = F.array_sort(F.array_except(F.coalesce("arguments", F.array().cast("array<string>")), "takes"))
     pending = F.lit(0)
     for scope, n in (approvals or {}).items():
