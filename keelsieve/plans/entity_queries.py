@@ -71,7 +71,7 @@ SELECT finding_id, arg_max(state, ingested_at) AS state, max(epoch_us(ingested_a
 def upsert_latest(spark, sf_dir):
     """Re-delivered findings merged by id, the latest delivery winning."""
     f = table(spark, sf_dir, "findings").select("finding_id", "state", "ingested_at")
-    out = correlate.upsert(f.limit(0), f, ["finding_id"], "ingested_at")
+    out = correlate.upsert(spark.createDataFrame([], f.schema), f, ["finding_id"], "ingested_at")
     return out.select("finding_id", "state", _us("ingested_at"))
 
 
@@ -129,13 +129,15 @@ def first_match_table(spark, sf_dir):
 
 
 @registry.add("illegal_steps", """
-WITH s AS (SELECT finding_id, row_no, lag(state) OVER (PARTITION BY finding_id ORDER BY row_no) AS from_state, state AS to_state FROM findings)
-SELECT from_state, to_state, count(*) AS steps FROM s WHERE from_state != to_state AND NOT (from_state = 'OPEN') GROUP BY ALL""")
+WITH s AS (SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state, event_type AS to_state FROM events)
+SELECT from_state, to_state, count(*) AS steps FROM s WHERE from_state > to_state GROUP BY ALL""")
 def illegal_steps(spark, sf_dir):
-    """Changes of state between deliveries of a finding that do not start from OPEN."""
-    f = table(spark, sf_dir, "findings")
-    edges = f.select(F.lit("OPEN").alias("from_state"), F.col("state").alias("to_state")).where("to_state IS NOT NULL").distinct()
-    return assess.illegal_steps(f, edges, "finding_id", ["row_no"]).groupBy("from_state", "to_state").agg(F.count(F.lit(1)).alias("steps"))
+    """Changes of a user's event type that an edge table (rising names only) does not allow."""
+    e = table(spark, sf_dir, "events")
+    kinds = F.array_sort(F.collect_set("event_type"))  # a handful of names
+    pairs = F.flatten(F.transform(F.col("k"), lambda a: F.transform(F.filter("k", lambda b: b > a), lambda b: F.struct(a.alias("from_state"), b.alias("to_state")))))
+    edges = e.agg(kinds.alias("k")).select(F.inline(pairs))
+    return assess.illegal_steps(e, edges, "user_id", ["ts", "event_id"], "event_type").groupBy("from_state", "to_state").agg(F.count(F.lit(1)).alias("steps"))
 
 
 # --- tools
