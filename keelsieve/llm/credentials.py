@@ -37,6 +37,7 @@ _ISSUED = (
 )
 ISSUED = re.compile(r"(?<![A-Za-z0-9_\-])(?:" + _ISSUED + ")")
 ISSUED_WHOLE = re.compile(_ISSUED + r"\Z")
+_TOKEN_START = re.compile(r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|[sr]k_(?:live|test)_|AIza|SG\.|npm_|pypi-|eyJ")
 URL_LOGIN = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://([^\s/:@\"'`<>]*):([^\s/\"'`<>]*[^\s/\"'`<>@])@(?=[A-Za-z0-9\[])|[A-Za-z][A-Za-z0-9+.\-]*://([^\s/:@\"'`<>]*):([^\s\"'`<>]+)@(?=[A-Za-z0-9.\-]+\.[A-Za-z]+)")
 PAIR = re.compile(r"(?i)(?:[;?&\s\"'`]|^)(?:password|passwd|pwd)=([^;&\s\"'`]+)")
 PAIR_HINT = re.compile(r"(?i)(?:server|host|data source|user id|user|uid|database|sslmode)=|jdbc:")
@@ -248,7 +249,9 @@ def find(text: str | None, path: str = "") -> list[tuple[int, int, int, str]]:
             # the value may go on in literals of the following lines
             pieces = [(start + base, end + base)]
             j, rest, whole = i, line[m.end() :], value
-            while j + 1 < len(lines) and re.fullmatch(r"\s*[+.&]?\s*\\?\s*", rest) and re.search(r"[+\\.&]\s*$|^\s*$", rest):
+            # only where the whole can be a credential: long runs of data literals are read once, not from each of their lines
+            goes_on = (name is not None and names_credential(name)) or second or bool(_TOKEN_START.match(value)) or "://" in value
+            while goes_on and j + 1 < len(lines) and re.fullmatch(r"\s*[+.&]?\s*\\?\s*", rest) and re.search(r"[+\\.&]\s*$|^\s*$", rest):
                 nxt = re.match(r"\s*(?:[+.&]\s*)?", lines[j + 1])
                 q = LITERAL.match(lines[j + 1], nxt.end())
                 if not q or (not rest.strip() and not (nxt[0].strip() or "(" in before[-40:])):

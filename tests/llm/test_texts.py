@@ -49,6 +49,15 @@ def test_pieces_and_keys():
     assert "-----BEGIN RSA PRIVATE KEY-----" in masked and "MIIEow" not in masked and "q0Zx" not in masked and masked.count('"') == text.count('"')
 
 
+def test_long_runs_of_data_are_read_once():
+    import time
+
+    text = "blob = (\n" + "\n".join(f"    'pwKeyAuth{i:05d}secretTokenLoginAAAA' +" for i in range(20_000)) + "\n)\n"
+    began = time.time()
+    credentials.find(text, "a.js")
+    assert time.time() - began < 20
+
+
 def test_credentials_as_tables(spark):
     rows = [(1, None, "a.py", "x"), (2, "", "a.py", "x"), (3, 'pwd = "Zebra8322"\r\npwd = "Zebra8322"', "a.py", "x"), (4, 'pwd = "Zebra8322"' + " " * 300_000, None, "x")]
     df = spark.createDataFrame(rows, "artifact_id long, content string, path string, line_no string")
