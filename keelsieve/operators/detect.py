@@ -19,6 +19,8 @@ RANKS = {"ignore": 0, "low_confidence": 1, "llm_review": 2, "finding": 3}
 ENTROPY_HIGH, ENTROPY_LOW, KEYWORD, NEGATIVE = 0.10, -0.15, 0.10, -0.40
 WINDOW_BYTES = 200
 DETECTOR_VERSION = "1"
+#: Columns that matching and scoring make; input columns of these names give way.
+MADE = ("rule_id", "start", "stop", "value", "context", "entropy", "signals", "score", "band")
 
 
 @dataclass(frozen=True)
@@ -78,10 +80,11 @@ def matches(artifacts: DataFrame, rules: Iterable[Rule], content: str = "content
     """One row per match of each rule: the artifact's columns but the content, ``rule_id``, ``start``, ``stop``, ``value``, ``context``.
 
     Rules are independent, so one text may match several. Offsets, values and contexts are bytes. One scan;
-    each rule is an expression of its own, whose pattern is compiled once per task.
+    each rule is an expression of its own, whose pattern is compiled once per task. Input columns named like
+    one of ``MADE`` are dropped; NULL and empty contents match nothing.
     """
     rules = validate(rules)
-    rest = [c for c in artifacts.columns if c != content]
+    rest = [c for c in artifacts.columns if c != content and c not in MADE]
     base = artifacts.where(F.col(content).isNotNull()).withColumn("__p", textops.byte_projection(F.col(content).cast("string"))).withColumn("__l", F.lower("__p"))
 
     per_rule = []

@@ -177,7 +177,7 @@ def parsed(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
         return pd.DataFrame([parse_page(x, y) for x, y in zip(u, b)], columns=["inline", "scripts", "links"])
 
     kept = pages.where(F.octet_length(body) <= PAGE_BYTES)
-    return kept.withColumn("__x", run(F.col(url), F.col(body))).select(*[c for c in pages.columns if c != body], "__x.*")
+    return kept.withColumn("__x", run(F.col(url), F.col(body))).select(*[c for c in pages.columns if c not in (body, "inline", "scripts", "links")], "__x.*")
 
 
 def inline_scripts(pages: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

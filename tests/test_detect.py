@@ -47,6 +47,14 @@ def test_defined_results_of_odd_contents(spark):
     assert len(found(spark, long, long)) == 2
 
 
+def test_clashing_columns_give_way(spark):
+    df = spark.createDataFrame([(1, AWS, "x", 5, "y", "z", None)], "artifact_id int, content string, rule_id string, start int, band string, score string, signals string")
+    (r,) = detect.detect(df, BUILTIN).collect()
+    assert r["rule_id"] == "aws-access-key-id" and r["start"] == 0
+    answers = spark.createDataFrame([("a", 1, None, "old")], "match_id string, attempt int, raw string, classification string")
+    assert review.first_valid(answers, "match_id").head()["classification"] == "uncertain"
+
+
 def test_findings_never_hold_the_value(spark):
     df = detect.detect(artifacts(spark, f"k {AWS} {GHP}"), BUILTIN)
     text = json.dumps([r.asDict(True) for r in df.collect()], default=str)
