@@ -203,11 +203,15 @@ def assess(documents: DataFrame, model: Model) -> DataFrame:
     Left out are documents that are not English and those with fewer than eight known words of running
     prose, empty and NULL texts among them: they have no level.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    # plain values: a broadcast is read back by name, and executors need not have this package
+    shared = documents.sparkSession.sparkContext.broadcast((model.grades, model.weights, model.centre, model.scale))
+    made: list[Model] = []
 
     @F.pandas_udf("reading_level int, certainty double")
     def levels(texts: pd.Series) -> pd.DataFrame:
-        m = shared.value
+        if not made:
+            made.append(Model(*shared.value))
+        m = made[0]
         rows = []
         for t in texts:
             w = words_of(prose(t))
