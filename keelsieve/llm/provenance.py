@@ -14,6 +14,7 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from keelsieve.shared import materialise
 
@@ -232,20 +233,19 @@ def _bands(texts: pd.Series) -> pd.DataFrame:
 def copies(texts: DataFrame) -> DataFrame:
     """Near-duplicate links among distinct texts: ``id`` -> ``leader`` (five-word shingles, Jaccard 0.8 or more).
 
-    ``texts``: id, text; one row per different text. In every bucket the least id leads; members that do not
-    match it are led by the least of the rest in the next round, until every bucket is used up. Texts below
-    eight shingles take no part.
+    ``texts``: id, text; one row per different text. Every bucket is searched breadth first: the least id is compared
+    with all others, those that match are compared with what is left, and so on; what nothing reaches is searched
+    from its own least id. So two texts of a bucket that match are linked, or joined by links between them. Of the
+    matched members a round takes 1, 2, 4, ... a bucket, as those left over become fewer. Texts below eight shingles
+    take no part.
     """
     signed = F.pandas_udf(_bands, "bands array<long>, shingles array<long>")
     made = materialise(texts.select("id", signed("text").alias("s")).select("id", "s.bands", "s.shingles").where(F.size("bands") > 0), "shingles")
-    left = made.select("id", F.explode("bands").alias("bucket"))
-    links = None
-    while True:
-        left = left.repartition("bucket")  # one exchange for both sides
-        heads = left.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        pairs = materialise(left.join(heads, "bucket").where("id != leader"), "pairs")
-        if pairs.isEmpty():
-            break
+    left = made.select("id", F.explode("bands").alias("bucket")).repartition("bucket")  # one exchange for both sides
+    heads = left.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    pairs = materialise(left.join(heads, "bucket").where("id != leader"), "pairs")
+    waiting, links, width = None, None, 1
+    while not pairs.isEmpty():
         distinct = pairs.select("id", "leader").distinct()
         if links is not None:
             distinct = distinct.join(links, ["id", "leader"], "left_anti")
@@ -253,7 +253,16 @@ def copies(texts: DataFrame) -> DataFrame:
         common = F.size(F.array_intersect("a", "b"))
         matched = sides.where(common >= F.lit(SIMILARITY) * (F.size("a") + F.size("b") - common)).select("id", "leader")
         links = materialise(matched if links is None else links.unionByName(matched), "links")
-        left = pairs.join(links, ["id", "leader"], "left_anti").select("id", "bucket")
+        # those matched in the bucket wait to be compared with its rest
+        rest = pairs.join(links.withColumn("hit", F.lit(True)), ["id", "leader"], "left").groupBy("bucket", "id").agg(F.coalesce(F.max("hit"), F.lit(False)).alias("hit"))
+        rest = rest if waiting is None else rest.unionByName(waiting)
+        bucket = Window.partitionBy("bucket")
+        ranked = rest.withColumn("rank", F.row_number().over(bucket.orderBy(F.desc("hit"), "id"))).withColumn("n", F.count(F.lit(1)).over(bucket)).withColumn("cold", F.count_if(~F.col("hit")).over(bucket))
+        ranked = materialise(ranked.where("n > 1 AND cold > 0").select("bucket", "id", "hit", "rank"), "waiting")
+        width *= 2
+        now = (F.col("rank") == 1) | (F.col("hit") & (F.col("rank") <= width))
+        waiting = ranked.where(F.col("hit") & ~now).select("bucket", "id", "hit")
+        pairs = materialise(ranked.where(~F.col("hit") & ~now).select("bucket", "id").join(ranked.where(now).select("bucket", F.col("id").alias("leader")), "bucket"), "pairs")
     return links if links is not None else texts.select("id", F.col("id").alias("leader")).where("false")
 
 

@@ -140,6 +140,24 @@ def test_copies_link_near_duplicates_and_nothing_else(spark):
     assert groups == {0: {0, 5, 6}} or groups == {0: {0, 5}}
 
 
+def test_copies_keep_a_star_together(spark):
+    """Many changed copies of one text, each near it and not near each other, on both sides of its id."""
+    words = [f"w{i}" for i in range(1200)]
+    texts = []
+    for k in range(60):
+        rng = random.Random(k)
+        changed = list(words)
+        for at in rng.sample(range(0, 1200, 6), 22):
+            changed[at] = f"v{k}x{at}"
+        texts.append(" ".join(changed))
+    texts.insert(30, " ".join(words))
+    sets = [set(provenance._shingles(t).tolist()) for t in texts]
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert all(near(30, i) for i in range(61)) and not any(near(a, b) for a in range(61) for b in range(a) if 30 not in (a, b))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert {(r["id"], r["class_id"]) for r in provenance.classes(provenance.copies(df)).collect()} == {(i, 0) for i in range(61)}
+
+
 # --- leaks
 
 WORDS = [f"{a}{b}" for a in ("kel", "mor", "tan", "vis", "por", "lam", "sud", "ner") for b in ("ado", "ima", "olt", "ush", "ery", "ine", "ack", "omb")]
