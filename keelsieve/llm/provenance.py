@@ -58,6 +58,8 @@ _CLIENT_NAME = re.compile(r"(?i)_client\.\w+$")
 _MINIFIED_NAME = re.compile(r"(?i)[.\-]min\.(?:js|css)$|\b(?:chunk|main|bundle|vendor)[.\-][0-9a-f]+\.(?:js|css)$")
 _CODE = re.compile(r"(?i)\.(?:js|mjs|cjs|ts|css|py|go|java|c|h|cc|cpp|rb|php|cs|rs|kt|swift|scala)$")
 _COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|;|<!--|'''|\"\"\")")
+_BLOCK = re.compile(r"^\s*(/\*|<!--)")
+_BLOCK_ENDS = {"/*": "*/", "<!--": "-->"}
 _DIGITS = re.compile(r"\d+")
 _LONG_RUN = re.compile(r"[A-Za-z0-9+/=]{60}|(?:\\x[0-9a-fA-F]{2}){8}")
 _IDENT = re.compile(r"[A-Za-z_$][\w$]*")
@@ -84,6 +86,21 @@ def location(path: str | None, uri: str | None) -> str:
     return "/".join(x for x in p.split("/") if x not in ("", "."))
 
 
+def _comment_lines(lines: list[str]) -> list[bool]:
+    """Which lines are comments, those inside a block comment too."""
+    out, end = [], ""
+    for x in lines:
+        out.append(bool(end or _COMMENT.match(x)))
+        at = 0
+        if not end:
+            m = _BLOCK.match(x)
+            if m:
+                end, at = _BLOCK_ENDS[m[1]], m.end()
+        if end and x.find(end, at) >= 0:
+            end = ""
+    return out
+
+
 def evidence(text: str | None, where: str, repo: str) -> tuple[list[float], str]:
     """Log-odds of each label against handwritten from a file's text and name, and the library it says it is from."""
     odds = np.zeros(5)
@@ -96,29 +113,40 @@ def evidence(text: str | None, where: str, repo: str) -> tuple[list[float], str]
     lines = [x.rstrip("\r") for x in body.split("\n")]
     full = [x for x in lines if x.strip()]
     size = sum(len(x) for x in full)
-    library = ""
-    head = full[:14]
+    library = inner = ""
+    generated, imported = 0.0, 0.0
+    comments = _comment_lines(full)
+    opening = next((i for i, c in enumerate(comments) if not c), len(full))  # a comment block before any code, however long
     seen_code = 0
-    for x in full[-3:]:  # some tools sign at the end
-        if len(full) > 14 and _COMMENT.match(x) and not _ABOUT.search(x) and _GENERATED.search(x):
-            odds[GEN] += STRONG
-            break
-    for x in head:
-        comment = bool(_COMMENT.match(x))
-        seen_code += not comment
-        if not comment or seen_code > 2:
+    for i, x in enumerate(full):
+        seen_code += not comments[i]
+        top = i < opening or (i < 14 and seen_code <= 2)
+        sure = top or i >= len(full) - 3  # some tools sign at the end; marks between may be of a part only
+        if _UPSTREAM.search(x) and (comments[i] or i < 14):
+            imported = max(imported, STRONG if sure or i < 14 else STRONG / 2)
+        if not comments[i]:
             continue
         if _ABOUT.search(x):
-            odds[GEN] -= 3
+            if top:
+                odds[GEN] -= 3
             continue
         if _GENERATED.search(x):
-            odds[GEN] += STRONG
+            if top and i < 14:
+                odds[GEN] += STRONG
+            else:
+                generated = max(generated, STRONG if sure else STRONG / 2)
         m = _IMPORTED.search(x)
-        if m:
-            library = next(g for g in m.groups() if g).lower()
-    if library or any(_UPSTREAM.search(x) for x in head):
+        if m and sure:
+            library, imported = next(g for g in m.groups() if g).lower(), STRONG
+        elif m:
+            # inside a file, a phrase such as "taken from" tells of a few lines rather than of the file
+            imported = max(imported, STRONG / 4 if m[3] and not re.search(r"(?i)\bvendored from\b", x) else STRONG / 2)
+            inner = inner or ("" if m[3] else next(g for g in m.groups() if g).lower())
+    odds[GEN] += generated
+    library = library or inner
+    if imported:
         own = library and library in repo.split("/")
-        odds[VEND] += -STRONG if own else STRONG
+        odds[VEND] += -imported if own else imported
     # tools' own file kinds
     if name in _LOCKS or re.search(r"\A\s*\{\s*\"name\"[^{}]*\"lockfileVersion\"", body) or '"lockfileVersion"' in body[:2000]:
         odds[GEN] += STRONG

@@ -97,6 +97,23 @@ def test_labels_of_a_small_forest(spark):
     assert provenance.label_files(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("lead", ["", "# All rights reserved, see the licence.\n" * 30, "/*\n" + "All rights reserved, see the licence.\n" * 30 + "*/\n", source(7), source(7) + "# a note\n"])
+@pytest.mark.parametrize("rest", [source(8), "", source(8, 1)])
+def test_announcements_count_wherever_they_stand(lead, rest):
+    marks = {"# Code generated by tool v1. DO NOT EDIT.\n": 1, "# Imported from plinth@1.2.3\n": 3, "# upstream-version: 4.1\n": 3, "/*\nCode generated by tool v1. DO NOT EDIT.\n*/\n": 1}
+    for mark, label in marks.items():
+        odds, library = provenance.evidence(lead + mark + rest, "src/a.py", "acme/app")
+        assert odds[label] >= 3 and max(odds) == odds[label], mark
+        assert library == ("plinth" if "plinth" in mark else "")
+    assert provenance.evidence(lead + rest + source(9), "src/a.py", "acme/app")[0][1] <= 0
+    assert provenance.evidence(lead + "# Imported from plinth@1.2.3\n" + rest, "src/a.py", "plinth/plinth")[0][3] < 0
+
+
+def test_a_remark_inside_a_file_is_not_about_the_file():
+    odds, library = provenance.evidence(source(7) + "# taken from util/strings.py\n" + source(8), "src/a.py", "acme/app")
+    assert 0 < odds[3] < 2 and library == ""
+
+
 def test_beliefs_equal_enumeration(spark):
     """Exact marginals of a small tree, by adding up all its labellings."""
     import itertools
