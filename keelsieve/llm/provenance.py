@@ -148,7 +148,7 @@ def evidence(text: str | None, where: str, repo: str) -> tuple[list[float], str]
         own = library and library in repo.split("/")
         odds[VEND] += -imported if own else imported
     # tools' own file kinds
-    if name in _LOCKS or re.search(r"\A\s*\{\s*\"name\"[^{}]*\"lockfileVersion\"", body) or '"lockfileVersion"' in body[:2000]:
+    if name in _LOCKS or re.search(r'"lockfileVersion"\s*:\s*\d', body):
         odds[GEN] += STRONG
     elif " h1:" in body and sum(bool(re.search(r" h1:[A-Za-z0-9+/]{40,}=", x)) for x in full) * 2 > len(full):
         odds[GEN] += STRONG
@@ -186,7 +186,7 @@ def evidence(text: str | None, where: str, repo: str) -> tuple[list[float], str]
     if re.search(r"(?i)\.(?:js|mjs|cjs|css|ts)$", name) or _MINIFIED_NAME.search(name):
         blank = (body.count(" ") + body.count("\t")) / max(1, len(body))
         if size > 200 and blank < 0.09 and dense < 0.5:
-            words = _IDENT.findall(body[:20_000])
+            words = _IDENT.findall(body)
             short = sum(len(w) <= 2 for w in words) / max(1, len(words))
             mean = size / max(1, len(full))
             style = name.endswith(".css")

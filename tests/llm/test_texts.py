@@ -114,6 +114,16 @@ def test_a_remark_inside_a_file_is_not_about_the_file():
     assert 0 < odds[3] < 2 and library == ""
 
 
+def test_compressed_part_and_lock_mark_far_into_a_text():
+    prelude = "".join(f"registerHandlerOfModule{i}(configurationOfModule{i},dependencyListOfModule{i});\n" for i in range(280))
+    packed = "var a=b.c(d),e=!0;if(f&&g>1)h(i);for(;j<k;)l[j++]=m(n,o);return p?q:r}function s(t,u){\n" * 900
+    assert len(prelude) > 20_000
+    assert provenance.evidence(prelude + packed, "static/app.js", "acme/app")[0][2] > 0
+    assert provenance.evidence(prelude * 4, "static/app.js", "acme/app")[0][2] <= 0
+    head = '{\n  "name": "x",\n  "packages": {"a": {"v": "' + "1.0 " * 800 + '"}},\n'
+    assert provenance.evidence(head + '  "lockfileVersion": 3\n}\n', "deps.json", "acme/app")[0][1] > 0
+
+
 def test_beliefs_equal_enumeration(spark):
     """Exact marginals of a small tree, by adding up all its labellings."""
     import itertools
