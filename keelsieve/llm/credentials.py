@@ -60,7 +60,7 @@ _BEFORE = [
 _SECOND = re.compile(r"(?i)\b(?:login|auth|authenticate|signin|basic_auth|credentials)\w*\s*[=:]?\s*\(\s*([\"'`])[^\"'`]*\1\s*,\s*$")
 _PAIRED_NAME = re.compile(r"^\s*-?\s*(?:name|key)\s*[:=]\s*[\"']?([\w.\-]+)[\"']?\s*,?\s*$")
 _PAIRED_VALUE = re.compile(r"^\s*-?\s*value\s*[:=]\s*")
-_BARE = re.compile(r"^\s*(?:(?:#|//|;|\*)\s*)?(?:export\s+|set\s+|ENV\s+|-\s+)?[\"']?(" + _NAME + r")[\"']?\s*(=|:)\s*([^\s\"'`#][^\s]*)\s*(?:[#;].*)?$")
+_BARE = re.compile(r"^\s*(?://[^\s=]+?/:|(?:#|//|;|\*)\s*)?(?:export\s+|set\s+|ENV\s+|ARG\s+|-\s+)?[\"']?(" + _NAME + r")[\"']?\s*(::?=|[?+]=|=|:)\s*([^\s\"'`#][^\s]*)\s*(?:[#;].*)?$")
 _FLAG = re.compile(r"(?<!\S)--?([A-Za-z][\w\-]*)(?:=|\s+)([^\s\"'`\-][^\s\"'`]*)")
 _ELEMENT = re.compile(r"<([A-Za-z_][\w.\-]*)(?:\s[^<>]*)?>([^<>]+)</\1>")
 _REMARKS = [
@@ -71,7 +71,16 @@ _REMARKS = [
     (re.compile(r"(?i)\b(?:mysql|mysqldump|mariadb|sshpass)\b.*?\s-p\s?[\"']?([^\s\"'\-][^\s\"']*)"), False),
 ]
 _REMARK_HINT = re.compile(r"(?i)\b(?:is|was|machine|curl|mysql|mysqldump|mariadb|sshpass)\b")
-_CONFIG = re.compile(r"(?i)\.(?:env|ya?ml|properties|ini|toml|conf|cfg|config|sh|bash|tfvars)(?:\.\w+)?$")
+# Endings of languages whose strings stand in quotes, so that a bare word is an expression; and of prose.
+_PROGRAM = re.compile(
+    r"(?i)\.(?:py|pyi|pyw|ipynb|js|mjs|cjs|jsx|ts|tsx|vue|svelte|go|java|kt|kts|scala|groovy|gradle|c|h|cc|cpp|cxx|hh|hpp|m|mm|cs|fs|vb|rb|php|pl|pm|rs|swift|dart|lua|r|jl|ex|exs|erl|hs|clj|sql|json|jsonc|css|scss|less|tf|map)(?:[?#].*)?$"
+)
+_PROSE = re.compile(r"(?i)\.(?:md|markdown|rst|adoc|txt|log|html?|xml)(?:[?#].*)?$")
+_INTERPRETER = re.compile(r"#!.*\b(?:python|node|deno|ruby|perl|php|lua|Rscript)")
+_CHAIN = re.compile(r"[!&*+\-~]?[A-Za-z_$][A-Za-z_$]*(?:(?:\.|->|::|\?\.)[A-Za-z_$][\w$]*)+")
+_CAMEL = re.compile(r"_*[A-Za-z]+(?:_[A-Za-z]+)*")
+#: Operands joined by operators, numbers and names with members.
+_EXPRESSION = re.compile(r"[!&*+\-~]*(?:[A-Za-z_$][\w$]*[!?]?|\d[\d_.]*(?:[eE]\d+)?[A-Za-z]{0,2}|0x[0-9a-fA-F]+)(?:(?:\.|->|::|\?\.|[-+*/%|&^<>=?:]+)(?:[A-Za-z_$][\w$]*[!?]?|\d[\w.]*))*")
 _REFERENCE = re.compile(r"(?i)\$\{|\$\(|^\$|\{\{|%\(|^%\w+%$|^<.*>$|^\[.*\]$|^(?:ref\+|ssm:|vault:|arn:|secretkeyref|env:|env\.|file:|op://|kv/|@|\*|&)|getenv|environ|process\.env|secrets?\.|^https?://[^@]*$")
 _SEALED = re.compile(r"(?i)^(?:ENC\[|\$2[abxy]?\$|\$[156y]\$|\$argon2|\$pbkdf2|pbkdf2|scrypt:|bcrypt|\{(?:ssha|sha|crypt|cipher)\}|sha(?:1|224|256|384|512)[:\-]|[\w.\-]+:hmac-sha\d+:|-----BEGIN|ssh-(?:rsa|ed25519) |data:|AQICAH|vault:v\d)")
 
@@ -124,6 +133,23 @@ def plausible(value: str, least: int = 5) -> bool:
     return not re.fullmatch(r"[a-z]+(?:[_\-./ ][a-z]+)*|[A-Z]?[a-z]+|[A-Z]+(?:_[A-Z]+)*|[A-Z][a-z]+(?:-[A-Z][a-z]+)+", v) or len(v) > 40
 
 
+def _language(text: str, path: str) -> str:
+    if _PROGRAM.search(path) or _INTERPRETER.match(text):
+        return "program"
+    return "prose" if _PROSE.search(path) else ""
+
+
+def _expression(value: str, language: str) -> bool:
+    """Whether an unquoted right side is an expression of a programming language instead of a value."""
+    v = value.rstrip(",;")
+    if re.search(r"\w\(|\)$", v):
+        return True
+    if language == "program":
+        return bool(re.search(r"[()\[\]{}<>]|=>|&&|\|\|", v) or _EXPRESSION.fullmatch(v))
+    # elsewhere a bare word is a value, unless it stands in prose or a statement's end follows
+    return (language == "prose" or value.endswith(";")) and bool(_CHAIN.fullmatch(v) or _CAMEL.fullmatch(v))
+
+
 def _decoded(value: str) -> str | None:
     try:
         raw = base64.b64decode(value + "=" * (-len(value) % 4), validate=True).decode("utf-8")
@@ -179,7 +205,7 @@ def find(text: str | None, path: str = "") -> list[tuple[int, int, int, str]]:
             taken.append((start, end))
             found.append((line, start, end, kind))
 
-    config = bool(_CONFIG.search(path))
+    language = _language(text, path)
     sealed_manifest = bool(re.search(r"(?m)^\s*kind:\s*Secret\s*$", text))
     lines = text.split("\n")
     at, offsets = 0, []
@@ -285,18 +311,18 @@ def find(text: str | None, path: str = "") -> list[tuple[int, int, int, str]]:
             for m in _FLAG.finditer(line):
                 if names_credential(m[1]) and plausible(m[2]):
                     add(no, base + m.start(2), base + m.end(2), "argument")
-        if config or not path or line.lstrip()[:1] in "#/*;":
-            m = _BARE.match(line)
-            if m and names_credential(m[1]) and m[3][:1] not in "[{|>":
-                value = m[3].rstrip(",;")
-                tested = _decoded(value) if sealed_manifest and _decoded(value) else value
-                if plausible(tested) and not re.search(r"\w\(|\)$", value):
-                    add(no, base + m.start(3), base + m.start(3) + len(value), "named value")
-            elif paired and names_credential(paired):
-                v = _PAIRED_VALUE.match(line)
-                value = line[v.end() :].strip()
-                if value and value[0] not in "\"'`" and plausible(value):
-                    add(no, base + v.end(), base + v.end() + len(value), "named value")
+        remark = line.lstrip()[:1] in "#/*;"
+        m = _BARE.match(line)
+        if m and names_credential(m[1]) and m[3][:1] not in "[{|>":
+            value = m[3].rstrip(",;")
+            tested = _decoded(value) if sealed_manifest and _decoded(value) else value
+            if plausible(tested) and not re.search(r"\w\(|\)$", value) and (remark or not _expression(m[3], language)):
+                add(no, base + m.start(3), base + m.start(3) + len(value), "named value")
+        elif paired and names_credential(paired):
+            v = _PAIRED_VALUE.match(line)
+            value = line[v.end() :].strip()
+            if value and value[0] not in "\"'`" and plausible(value) and not _expression(value, language):
+                add(no, base + v.end(), base + v.end() + len(value), "named value")
         if _REMARK_HINT.search(line):
             for rx, named in _REMARKS:
                 for m in rx.finditer(line):
