@@ -45,7 +45,7 @@ AUTHORIZATION = re.compile(r"(?i)\b(bearer|basic)\s+([A-Za-z0-9+/=_.~\-]{8,})")
 BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----")
 # A line without any of these (in lower case) holds no credential.
 _HINTS = (
-    "pass pwd kennwort secret token pw key auth cred bearer basic :// login akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat glpat- xox k_live_ k_test_ aiza sg. npm_ pypi- eyj curl mysql value: value= value\""
+    "pass pwd kennwort secret token pw key auth cred bearer basic :// login akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat glpat- xox k_live_ k_test_ aiza sg. npm_ pypi- eyj curl mysql mariadb pem signin value"
 ).split()
 LITERAL = re.compile(r'"((?:\\.|[^"\\])*)"|\'((?:\\.|[^\'\\])*)\'|`([^`]*)`')
 _NAME = r"[A-Za-z_$][\w.$\-]*"
@@ -64,13 +64,13 @@ _BARE = re.compile(r"^\s*(?://[^\s=]+?/:|(?:#|//|;|\*)\s*)?(?:export\s+|set\s+|E
 _FLAG = re.compile(r"(?<!\S)--?([A-Za-z][\w\-]*)(?:=|\s+)([^\s\"'`\-][^\s\"'`]*)")
 _ELEMENT = re.compile(r"<([A-Za-z_][\w.\-]*)(?:\s[^<>]*)?>([^<>]+)</\1>")
 _REMARKS = [
-    (re.compile(r"\b([A-Za-z_][\w\-]*)\s+(?:is|was|=)\s+([^\s,;\"'`]+)"), True),
+    (re.compile(r"\b([A-Za-z_][\w\-]*)\s+(is|was|=)\s+([^\s,;\"'`]+)"), True),
     (re.compile(r"(?i)\blogin\s+(?:is|was)\s+\S+\s*/\s*(\S+)"), False),
     (re.compile(r"(?i)\bmachine\s+\S+\s+login\s+\S+\s+password\s+(\S+)"), False),
     (re.compile(r"(?i)\bcurl\b.*?\s(?:-u|--user)[\s=]+[\"']?[^\s:\"']+:[\"']?([^\s\"'][^\s\"']*)"), False),
     (re.compile(r"(?i)\b(?:mysql|mysqldump|mariadb|sshpass)\b.*?\s-p\s?[\"']?([^\s\"'\-][^\s\"']*)"), False),
 ]
-_REMARK_HINT = re.compile(r"(?i)\b(?:is|was|machine|curl|mysql|mysqldump|mariadb|sshpass)\b")
+_REMARK_HINT = re.compile(r"(?i)=|\b(?:is|was|machine|login|curl|mysql|mysqldump|mariadb|sshpass)\b")
 # Endings of languages whose strings stand in quotes, so that a bare word is an expression; and of prose.
 _PROGRAM = re.compile(
     r"(?i)\.(?:py|pyi|pyw|ipynb|js|mjs|cjs|jsx|ts|tsx|vue|svelte|go|java|kt|kts|scala|groovy|gradle|c|h|cc|cpp|cxx|hh|hpp|m|mm|cs|fs|vb|rb|php|pl|pm|rs|swift|dart|lua|r|jl|ex|exs|erl|hs|clj|sql|json|jsonc|css|scss|less|tf|map)(?:[?#].*)?$"
@@ -326,7 +326,9 @@ def find(text: str | None, path: str = "") -> list[tuple[int, int, int, str]]:
         if _REMARK_HINT.search(line):
             for rx, named in _REMARKS:
                 for m in rx.finditer(line):
-                    g = 2 if named else 1
+                    g = 3 if named else 1
+                    if named and m[2] == "=" and _expression(m[g] + line[m.end() : m.end() + 1].strip(), language):
+                        continue
                     value = m[g].rstrip(",;.")
                     if (not named or names_credential(m[1])) and plausible(value):
                         add(no, base + m.start(g), base + m.start(g) + len(value), "remark")
