@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from keelsieve.functions.normalise import utc_micros
 from keelsieve.operators import assess, correlate, folds, tools, weburl
+from keelsieve.plans import detect_queries
 from keelsieve.plans.registry import Registry, table
 from keelsieve.shared import new_path
 from keelsieve.sinks import render
+from keelsieve.sources.rules import BUILTIN
 from keelsieve.streaming import streams
 
 registry = Registry()
@@ -354,6 +356,26 @@ def stream_detect(spark, sf_dir):
     return spark.read.schema("artifact_id long").parquet(out).agg(F.count(F.lit(1)).alias("artifacts"))
 
 
+@registry.add("stream_findings", detect_queries.registry.sql["detect_findings"])
+def stream_findings(spark, sf_dir):
+    """All rules with scores, bands and masks over the stream of artifacts, written by its sink: the rows of detect_findings."""
+    s = streams.artifacts(spark, f"{sf_dir}/artifacts.parque[t]", table(spark, sf_dir, "artifacts").schema)
+    found = streams.detected(s, BUILTIN).select("artifact_id", "rule_id", "severity", "confidence", F.col("start").cast("long"), F.col("length").cast("long"), "masked_prefix")
+    out = new_path(spark, "stream-out")
+    streams.run_available(found, out, new_path(spark, "stream-mark"))
+    return spark.read.schema(found.schema).parquet(out)
+
+
+@registry.add("stream_dedup", registry.sql["url_dedup"])
+def stream_dedup(spark, sf_dir):
+    """Addresses of artifacts, each let through once by the stream: the counts of url_dedup."""
+    s = streams.artifacts(spark, f"{sf_dir}/artifacts.parque[t]", table(spark, sf_dir, "artifacts").schema)
+    first = streams.first_seen(s.where("uri LIKE 'http%'").select("uri"), "uri").select("fingerprint")
+    out = new_path(spark, "stream-out")
+    streams.run_available(first, out, new_path(spark, "stream-mark"))
+    return spark.read.schema(first.schema).parquet(out).agg(F.count(F.lit(1)).alias("addresses"), F.count_distinct("fingerprint").alias("different"))
+
+
 @registry.add("stream_windows", """
 SELECT event_type, epoch_us(time_bucket(INTERVAL 1 day, ts)) AS window_start, count(*) AS row_count FROM events WHERE ts IS NOT NULL GROUP BY ALL""")
 def stream_windows(spark, sf_dir):
