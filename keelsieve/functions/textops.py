@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -85,6 +87,22 @@ def entropy(value: Column) -> Column:
     return F.when(n > 0, F.get(F.transform(F.array(codes), of), F.lit(0))).otherwise(F.lit(0.0))
 
 
+def entropy_of_texts(text: Column) -> Column:
+    """Shannon entropy in bits per byte of a STRING column, by one count of bytes a text however long; NULL and empty are 0."""
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        out = np.zeros(len(texts))
+        for i, t in enumerate(texts):
+            if t:
+                n = np.bincount(np.frombuffer(t.encode("utf-8"), dtype=np.uint8), minlength=256)
+                share = n[n > 0] / n.sum()
+                out[i] = abs(float((share * np.log2(share)).sum()))
+        return pd.Series(out)
+
+    return run(text)
+
+
 def hmac_sha256(key: bytes, value: Column) -> Column:
     """Hex HMAC-SHA256 of a BINARY or STRING column. The key's pads become literals: keep plans out of logs."""
     key = hashlib.sha256(key).digest() if len(key) > 64 else key

@@ -179,6 +179,17 @@ def entropy_documents(spark, sf_dir):
     return d.select("doc_id", F.round(textops.entropy(F.encode("title", "UTF-8")), 6).alias("entropy"))
 
 
+@registry.add("entropy_texts", """
+SELECT doc_id, round(coalesce(-sum((n / t) * log2(n / t)), 0), 6) AS entropy FROM (
+  SELECT doc_id, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY doc_id)::DOUBLE AS t FROM (
+    SELECT doc_id, h[2 * i - 1 : 2 * i] AS b FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text != ''), unnest(range(1, length(h) // 2 + 1)) AS u(i)) GROUP BY doc_id, b) GROUP BY doc_id
+UNION ALL SELECT doc_id, 0::DOUBLE FROM documents WHERE text IS NULL OR text = ''""")
+def entropy_texts(spark, sf_dir):
+    """Entropy of every document's whole text; NULL and empty texts have 0."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return d.select("doc_id", F.round(textops.entropy_of_texts(F.col("text")), 6).alias("entropy"))
+
+
 @registry.add("binary_filter", "SELECT count(*) AS kept FROM artifacts WHERE content IS NOT NULL AND strlen(content) <= 20971520 AND NOT contains(content[1:8000], chr(0))")
 def binary_filter(spark, sf_dir):
     return detect.scannable(table(spark, sf_dir, "artifacts")).agg(F.count(F.lit(1)).alias("kept"))

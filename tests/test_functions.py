@@ -69,5 +69,17 @@ def test_entropy_hmac_and_mask(spark):
     assert rows[2][2] == "abcd"
 
 
+def test_entropy_of_whole_texts(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    texts = ["", None, "aaaa", "abcd", "é" * 3 + "x", "".join(chr(32 + i % 90) for i in range(1_000_000))]
+    spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, title string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["entropy"] for r in entry.queries()["entropy_texts"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        v = (t or "").encode()
+        assert abs(got[i] - -sum(c / len(v) * math.log2(c / len(v)) for c in Counter(v).values())) < 1e-6
+    assert len(got) == len(texts)
+
+
 def test_byte_regex_rewrites_white_space_only():
     assert textops.byte_regex(r"a\s[^\"'\s]\\s") == r"a[\t\n\f\r ][^\"'\t\n\f\r ]\\s"
