@@ -166,7 +166,8 @@ def _counted(spark, sf_dir):
 
 @registry.add("p8_found")
 def p8_found(spark, sf_dir):
-    return mixing.shares(_counted(spark, sf_dir), table(spark, sf_dir, "mix_targets")).where("falls_short").select("source")
+    """Sources of which the mixture, as the curriculum deals it, holds fewer tokens than wanted."""
+    return p8_shares(spark, sf_dir).where("mixed_tokens < wanted_tokens").select("source")
 
 
 @registry.add("p8_mixture")

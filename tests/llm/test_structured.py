@@ -193,6 +193,20 @@ def test_mixture_meets_targets(spark, corpus):
     assert rows == mixing.mixture(corpus.repartition(5), targets, {"b": [(0, 0.0), (1, 1.0)]}, slice_rows=20).collect()
 
 
+def test_found_sources_come_from_the_dealt_mixture(spark, monkeypatch, tmp_path):
+    """A source that falls short by its supply, one that does not; and one of which the mixture deals too little."""
+    from keelsieve.llm import queries
+
+    docs = [(i, "wiki" if i % 4 else "chat", "some plain words about things " * 5) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("wiki", 0.5, 2), ("chat", 0.9, 2)], "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mix_targets.parquet"))
+    run = lambda: {r["source"] for r in queries.p8_found(spark, str(tmp_path)).collect()}
+    assert run() == {"chat"}
+    whole = queries.mixing.mixture
+    monkeypatch.setattr(queries.mixing, "mixture", lambda *a, **k: whole(*a, **k).where("source != 'wiki'"))
+    assert run() == {"wiki", "chat"}
+
+
 def test_mixture_of_nothing(spark, corpus):
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     assert mixing.mixture(corpus.limit(0), targets).count() == 0
