@@ -14,7 +14,6 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from keelsieve.shared import materialise
 
@@ -36,19 +35,28 @@ PLAIN = 2.5
 #: How far the text alone may go; strong signs stay finite so that neighbours can add up.
 STRONG = 6.0
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-#: A pair at the threshold shares a bucket with probability 0.9999, one at 0.4 with 0.03.
-BANDS, ROWS = 50, 8
+#: A pair at the threshold shares a bucket with probability 0.9999, one at 0.4 with 0.12.
+BANDS, ROWS = 32, 6
 
-# How tools and importers announce themselves, and directories that hold others' work.
+# How tools and importers announce themselves: a comment of its own that opens with the announcement, or an order not to edit
+# that ends its sentence. What stands in quotes is spoken of, and is taken out before.
+_SUBJECT = r"(?:(?:this|the following) )?(?:(?:file|code|source|module|header|class|output|document)s? )?(?:(?:is|was|are|were|has been|have been) )?"
 _GENERATED = re.compile(
-    r"(?i)\bcode generated\b.*\bdo not edit\b|^\W*@generated\b|^\W*<auto-?generated\b|^\W*auto-?generated (?:from|by)\b|\b(?:automatically|machine)[ -](?:written|generated|created|produced) (?:by|from)\b"
-    r"|^\W*(?:this file (?:is|was) )?generated (?:at|on|by|from|with)\b|\bmanual changes will be lost\b|\bautomatisch (?:erzeugt|generiert|erstellt)\b|\bregenerate with\b|\bdo not (?:edit|modify)(?: (?:this file|by hand|manually))\b"
+    rf"(?i)^(?:@generated\b|</?auto-?generated\b|{_SUBJECT}(?:auto)?(?:generated|transpiled) (?:automatically )?(?:by|from|with|at|on|using|via)\b"
+    rf"|{_SUBJECT}(?:automatically|machine|auto)[ -](?:generated|written|created|produced|built)\b|(?:dies\w* \w+ )?(?:wurde |wird |ist )?automatisch (?:erzeugt|generiert|erstellt)\b)"
+    r"|(?:^|[.!;:,*\u2013\u2014-]\s*)(?:please )?(?:do not|don't|never) (?:edit|modify|change)(?: (?:this(?: file)?|it|by hand|manually|directly|below(?: this line)?))*\s*(?:$|[.!;:,*()/\u2013\u2014-])"
+    r"|\b(?:changes|edits|modifications)(?: made)?(?: to this file| here| by hand)? (?:will|may|would) be (?:lost|overwritten|discarded)\b"
+    r"|(?:^|[.;:\u2013\u2014-]\s*)(?:to )?re-?generate (?:with|using|by|via)\b"
 )
-_ABOUT = re.compile(r"(?i)\bunlike\b|\bby hand\b|\btemplate below\b|\binto every file\b|\bit generates\b|\bwrites a banner\b|\bhandwritten\b")
 _IMPORTED = re.compile(
-    r"(?i)\bcopy of \S+ (?:out of|from) the (\S+) (?:distribution|package|project)|\bimported from ([\w.\-]+)@\d|\b(?:vendored|copied|taken) from ([\w.\-/]+)|^\W*([a-z][\w.\-]*) v?\d+\.\d+(?:\.\d+)?\b.*(?:\(c\)|copyright)|^\W*package:\s*([\w.\-]+)\s*$"
+    r"(?i)^(?:this (?:file )?is )?an? (?:[\w\-]+ )?copy of \S+ (?:out of|from|as in) (?:the )?([\w.\-]+)|^(?:file )?imported from ([\w.\-]+)@\d|^(?:vendored|copied|taken|adapted|ported|borrowed) from ([\w.\-/]+)"
+    r"|^!?\s*([a-z][\w.\-]*),? (?:version )?v?\d+\.\d+(?:\.\d+)?\b.*(?:\(c\)|copyright|licen[cs]e)|^package(?:-?name)?:\s*([\w.\-]+)\s*$"
 )
-_UPSTREAM = re.compile(r"(?i)\bupstream-version:")
+_UPSTREAM = re.compile(r"(?i)^(?:upstream|vendored|imported)-?(?:version|commit|revision|url|release)\s*:")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'(?!\w)|`[^`]*`")
+_LEAD = re.compile(r"^[\s#/*;!\-<'\"]*(?=[<@A-Za-z])")
+#: A line without any of these (in lower case) announces nothing; every form above holds one (a test compares both ways).
+_SIGNS = "generat transpiled automati machine auto- edit modif change copy imported vendored copied taken adapted ported borrowed (c) licen package upstream".split()
 _VENDOR_DIRS = frozenset("node_modules bower_components third_party third-party thirdparty pods site-packages dist-packages external externals deps vendor vendored jspm_packages".split())
 _GENERATED_DIRS = frozenset("gen generated __generated__ autogen".split())
 _BUILD_DIRS = frozenset("dist build out target public assets static".split())
@@ -57,8 +65,7 @@ _GENERATED_NAME = re.compile(r"(?i)(?:\.pb(?:\.\w+)?|\.g|\.generated|_generated|
 _CLIENT_NAME = re.compile(r"(?i)_client\.\w+$")
 _MINIFIED_NAME = re.compile(r"(?i)[.\-]min\.(?:js|css)$|\b(?:chunk|main|bundle|vendor)[.\-][0-9a-f]+\.(?:js|css)$")
 _CODE = re.compile(r"(?i)\.(?:js|mjs|cjs|ts|css|py|go|java|c|h|cc|cpp|rb|php|cs|rs|kt|swift|scala)$")
-_COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|;|<!--|'''|\"\"\")")
-_BLOCK = re.compile(r"^\s*(/\*|<!--)")
+_COMMENT_STARTS = ("#", "//", "/*", "*", "--", ";", "<!--", "'''", '"""')
 _BLOCK_ENDS = {"/*": "*/", "<!--": "-->"}
 _DIGITS = re.compile(r"\d+")
 _LONG_RUN = re.compile(r"[A-Za-z0-9+/=]{60}|(?:\\x[0-9a-fA-F]{2}){8}")
@@ -90,65 +97,84 @@ def _comment_lines(lines: list[str]) -> list[bool]:
     """Which lines are comments, those inside a block comment too."""
     out, end = [], ""
     for x in lines:
-        out.append(bool(end or _COMMENT.match(x)))
-        at = 0
-        if not end:
-            m = _BLOCK.match(x)
-            if m:
-                end, at = _BLOCK_ENDS[m[1]], m.end()
-        if end and x.find(end, at) >= 0:
-            end = ""
+        if end:
+            out.append(True)
+            if end in x:
+                end = ""
+            continue
+        y = x.lstrip()
+        out.append(y.startswith(_COMMENT_STARTS))
+        if y.startswith(("/*", "<!--")):
+            mark = "<!--" if y[0] == "<" else "/*"
+            if _BLOCK_ENDS[mark] not in y[len(mark) :]:
+                end = _BLOCK_ENDS[mark]
     return out
 
 
+def announcement(line: str) -> tuple[str, re.Match | None]:
+    """What a comment line says its file is: ``generated``, ``imported``, ``upstream`` or nothing."""
+    said = line.strip()
+    if said.startswith("<!--"):
+        said = said[4:]
+    said = _LEAD.sub(lambda m: "<" if m[0].endswith("<") else "", said)
+    said = _QUOTED.sub("", said).strip()
+    if _UPSTREAM.search(said):
+        return "upstream", None
+    if _GENERATED.search(said):
+        return "generated", None
+    m = _IMPORTED.search(said)
+    return ("imported", m) if m else ("", None)
+
+
 def evidence(text: str | None, where: str, repo: str) -> tuple[list[float], str]:
-    """Log-odds of each label against handwritten from a file's text and name, and the library it says it is from."""
-    odds = np.zeros(5)
+    """Log-odds of each label against handwritten from a file's text and name, and the library it says it is from.
+
+    Every comment line is read. Where an announcement stands sets its weight: in full before the code or among the last
+    lines, half of it in between, where it may be of a part only.
+    """
+    odds = [0.0] * 5
     text = text or ""
-    body = text.lstrip("﻿")
+    body = text.lstrip("\ufeff")
     name = where.rsplit("/", 1)[-1].lower()
     if not body.strip():
-        odds[1:] = -STRONG
-        return odds.tolist(), ""
-    lines = [x.rstrip("\r") for x in body.split("\n")]
-    full = [x for x in lines if x.strip()]
-    size = sum(len(x) for x in full)
+        return [0.0, *[-STRONG] * 4], ""
+    full = [x for x in body.replace("\r", "").split("\n") if x and not x.isspace()]
+    size = sum(map(len, full))
     library = inner = ""
     generated, imported = 0.0, 0.0
-    comments = _comment_lines(full)
-    opening = next((i for i, c in enumerate(comments) if not c), len(full))  # a comment block before any code, however long
-    seen_code = 0
-    for i, x in enumerate(full):
-        seen_code += not comments[i]
-        top = i < opening or (i < 14 and seen_code <= 2)
-        sure = top or i >= len(full) - 3  # some tools sign at the end; marks between may be of a part only
-        if _UPSTREAM.search(x) and (comments[i] or i < 14):
-            imported = max(imported, STRONG if sure or i < 14 else STRONG / 2)
-        if not comments[i]:
-            continue
-        if _ABOUT.search(x):
-            if top:
-                odds[GEN] -= 3
-            continue
-        if _GENERATED.search(x):
-            if top and i < 14:
-                odds[GEN] += STRONG
-            else:
+    low = body.lower()
+    if any(w in low for w in _SIGNS):
+        comments = _comment_lines(full)
+        opening = next((i for i, c in enumerate(comments) if not c), len(full))  # a comment block before any code, however long
+        seen_code = 0
+        for i, x in enumerate(full):
+            seen_code += not comments[i]
+            if not (comments[i] or seen_code <= 2):
+                continue
+            low = x.lower()
+            if not any(w in low for w in _SIGNS):
+                continue
+            kind, m = announcement(x)
+            if not kind or not (comments[i] or kind == "upstream"):
+                continue
+            sure = i < opening or seen_code <= 2 or i >= len(full) - 3  # some tools sign at the end
+            if kind == "generated":
                 generated = max(generated, STRONG if sure else STRONG / 2)
-        m = _IMPORTED.search(x)
-        if m and sure:
-            library, imported = next(g for g in m.groups() if g).lower(), STRONG
-        elif m:
-            # inside a file, a phrase such as "taken from" tells of a few lines rather than of the file
-            imported = max(imported, STRONG / 4 if m[3] and not re.search(r"(?i)\bvendored from\b", x) else STRONG / 2)
-            inner = inner or ("" if m[3] else next(g for g in m.groups() if g).lower())
+            elif kind == "upstream":
+                imported = max(imported, STRONG if sure else STRONG / 2)
+            elif sure:
+                library, imported = next(g for g in m.groups() if g).lower(), STRONG
+            else:
+                # inside a file, a phrase such as "taken from" tells of a few lines rather than of the file
+                imported = max(imported, STRONG / 4 if m[3] and "endored" not in x else STRONG / 2)
+                inner = inner or ("" if m[3] else next(g for g in m.groups() if g).lower())
     odds[GEN] += generated
     library = library or inner
     if imported:
         own = library and library in repo.split("/")
         odds[VEND] += -imported if own else imported
     # tools' own file kinds
-    if name in _LOCKS or re.search(r'"lockfileVersion"\s*:\s*\d', body):
+    if name in _LOCKS or '"lockfileVersion"' in body and re.search(r'"lockfileVersion"\s*:\s*\d', body):
         odds[GEN] += STRONG
     elif " h1:" in body and sum(bool(re.search(r" h1:[A-Za-z0-9+/]{40,}=", x)) for x in full) * 2 > len(full):
         odds[GEN] += STRONG
@@ -164,7 +190,7 @@ def evidence(text: str | None, where: str, repo: str) -> tuple[list[float], str]
     digits = sum(map(body.count, "0123456789"))
     # the same lines over and over, with running numbers
     if code and digits * 100 > size:
-        long = [x.strip() for x in full if len(x.strip()) >= 14 and not _COMMENT.match(x)]
+        long = [x.strip() for x in full if len(x.strip()) >= 14 and not x.lstrip().startswith(_COMMENT_STARTS)]
         if len(long) >= 6:
             shapes: dict[str, int] = {}
             for x in long:
@@ -196,9 +222,9 @@ def evidence(text: str | None, where: str, repo: str) -> tuple[list[float], str]
                 odds[MIN] += 3.0
         if _MINIFIED_NAME.search(name):
             odds[MIN] += 2.0
-    if odds[1:].max() <= 0:
-        odds[1:] -= PLAIN  # an ordinary look is a sign by itself
-    return odds.tolist(), library
+    if max(odds[1:]) <= 0:
+        odds[1:] = [x - PLAIN for x in odds[1:]]  # an ordinary look is a sign by itself
+    return odds, library
 
 
 def directory_evidence(name: str) -> list[float]:
@@ -217,93 +243,161 @@ def directory_evidence(name: str) -> list[float]:
 # --- copies in other repositories
 
 
-def _shingles(text: str | None) -> np.ndarray:
+_WORD = re.compile(r"\w+")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_STEPS = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SHINGLE_WORDS)]
+
+
+def _shingles(text: str | None, known: dict | None = None) -> np.ndarray:
+    """Sorted 63-bit hashes of the different five-word shingles of a text without its comments; texts of a few words keep those."""
     import xxhash
 
+    known = {} if known is None else known
     text = (text or "").lower()
     # comments are what importers and translators change first
-    words = _WORD.findall("\n".join(x for x in text.split("\n") if not _COMMENT.match(x)))
+    words = _WORD.findall("\n".join([x for x in text.split("\n") if not x.lstrip().startswith(_COMMENT_STARTS)]))
     if len(words) < 8 + SHINGLE_WORDS:
         words = _WORD.findall(text)
     if not words:
-        return np.zeros(0, dtype=np.uint64)
-    n = max(1, len(words) - SHINGLE_WORDS + 1)
-    return np.array(sorted({xxhash.xxh64_intdigest(" ".join(words[i : i + SHINGLE_WORDS])) & 0x7FFFFFFFFFFFFFFF for i in range(n)}), dtype=np.uint64)
-
-
-_WORD = re.compile(r"\w+")
-
+        return np.zeros(0, dtype=np.int64)
+    if len(known) > 500_000:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w)
+    h = np.array([known[w] for w in words], dtype=np.uint64)
+    n = max(1, len(h) - SHINGLE_WORDS + 1)
+    whole = np.zeros(n, dtype=np.uint64)
+    for k in range(min(SHINGLE_WORDS, len(h))):
+        whole += h[k : k + n] * np.uint64(_STEPS[k])
+    whole ^= whole >> np.uint64(31)
+    whole *= _MIX
+    whole ^= whole >> np.uint64(29)
+    return np.unique(whole >> np.uint64(1)).astype(np.int64)
+
+
+def _signed(texts: pd.Series) -> pd.DataFrame:
+    """``set_key`` (equal for equal shingle sets), ``n`` and the keys of the MinHash buckets of each text; texts without a word have none."""
+    import xxhash
 
-def _bands(texts: pd.Series) -> pd.DataFrame:
     seeds = np.random.RandomState(20240229)
-    mult = seeds.randint(1, 2**62, size=BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    plus = seeds.randint(0, 2**62, size=BANDS * ROWS).astype(np.uint64)
-    bands, sets = [], []
+    mult = seeds.randint(0, 2**31, size=BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+    plus = seeds.randint(0, 2**32, size=BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+    known: dict = {}
+    out = []
     for t in texts:
-        s = _shingles(t)
-        sets.append(s.astype(np.int64))
-        if len(s) < 8:
-            bands.append(np.zeros(0, dtype=np.int64))
+        s = _shingles(t, known)
+        if not len(s):
+            out.append((xxhash.xxh3_128_digest(t or ""), 0, np.zeros(0, dtype=np.int64)))
             continue
-        least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-        for i in range(0, len(s), 4096):
-            part = s[i : i + 4096]
-            least = np.minimum(least, (part[:, None] * mult + plus).min(axis=0))
-        rows = least.reshape(BANDS, ROWS)
-        mixed = np.zeros(BANDS, dtype=np.uint64)
+        low = (s.astype(np.uint64) >> np.uint64(31)).astype(np.uint32)
+        least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
+        for i in range(0, len(low), 4096):
+            part = low[i : i + 4096, None] * mult
+            part += plus
+            least = np.minimum(least, part.min(axis=0))
+        rows = least.reshape(BANDS, ROWS).astype(np.uint64)
+        mixed = np.arange(BANDS, dtype=np.uint64)
         for c in range(ROWS):
-            mixed = (mixed ^ rows[:, c]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ rows[:, c]) * _MIX
             mixed ^= mixed >> np.uint64(29)
-        bands.append((mixed + np.arange(BANDS, dtype=np.uint64)).astype(np.int64))
-    return pd.DataFrame({"bands": bands, "shingles": sets})
+        out.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), mixed.astype(np.int64)))
+    return pd.DataFrame(out, columns=["set_key", "n", "bands"])
 
 
-def copies(texts: DataFrame) -> DataFrame:
-    """Near-duplicate links among distinct texts: ``id`` -> ``leader`` (five-word shingles, Jaccard 0.8 or more).
+_SIGNED = "struct<set_key:binary,n:int,bands:array<long>>"
+#: Places that the rows of a hot key are spread over, where a table is large enough for one key to burden a task.
+SALTS, SALT_ROWS = 64, 1_000_000
+
+
+def _spread_join(big: DataFrame, small: DataFrame, key: str, by: str, rows: int | None = None, how: str = "inner") -> DataFrame:
+    """``big`` joined to ``small`` on ``key``, of which one value may hold most rows of ``big``: its rows go to SALTS places
+    by the hash of ``by``, and a row of ``small`` only to the places that need it. Tables known to have few ``rows`` are joined as they are."""
+    if rows is not None and rows < SALT_ROWS:
+        return big.join(small, key, how)
+    salted = big.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    needed = salted.select(key, "__salt").distinct().join(small, key)
+    return salted.join(needed, [key, "__salt"], how).drop("__salt")
+
+
+def link(signed: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Near-duplicate links (``id``, ``leader``: five-word shingles, Jaccard 0.8 or more) among texts with different shingle sets,
+    and the classes (``id``, ``class_id``) they make.
 
-    ``texts``: id, text; one row per different text. Every bucket is searched breadth first: the least id is compared
-    with all others, those that match are compared with what is left, and so on; what nothing reaches is searched
-    from its own least id. So two texts of a bucket that match are linked, or joined by links between them. Of the
-    matched members a round takes 1, 2, 4, ... a bucket, as those left over become fewer. Texts below eight shingles
-    take no part.
+    ``signed``: id, n, bands, a row per shingle set; ``texts``: id, text of at least those. Every pair that shares a bucket is
+    linked, joined by links between others, or compared and found unlike: in each round some members of every bucket (1, 2, 4,
+    ... of it) are compared with all that are not yet in their class, until a bucket is one class or all its members have had
+    their turn. Pairs are passed over only where sizes, or the distances of both to the bucket's first member (Jaccard distance
+    keeps the triangle inequality), rule a match out. No bucket is gathered: rounds are joins and partial aggregates.
     """
-    signed = F.pandas_udf(_bands, "bands array<long>, shingles array<long>")
-    made = materialise(texts.select("id", signed("text").alias("s")).select("id", "s.bands", "s.shingles").where(F.size("bands") > 0), "shingles")
-    left = made.select("id", F.explode("bands").alias("bucket")).repartition("bucket")  # one exchange for both sides
-    heads = left.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = materialise(left.join(heads, "bucket").where("id != leader"), "pairs")
-    waiting, links, width = None, None, 1
-    while not pairs.isEmpty():
-        distinct = pairs.select("id", "leader").distinct()
-        if links is not None:
-            distinct = distinct.join(links, ["id", "leader"], "left_anti")
-        sides = distinct.join(made.select("id", F.col("shingles").alias("a")), "id").join(made.select(F.col("id").alias("leader"), F.col("shingles").alias("b")), "leader")
-        common = F.size(F.array_intersect("a", "b"))
-        matched = sides.where(common >= F.lit(SIMILARITY) * (F.size("a") + F.size("b") - common)).select("id", "leader")
-        links = materialise(matched if links is None else links.unionByName(matched), "links")
-        # those matched in the bucket wait to be compared with its rest
-        rest = pairs.join(links.withColumn("hit", F.lit(True)), ["id", "leader"], "left").groupBy("bucket", "id").agg(F.coalesce(F.max("hit"), F.lit(False)).alias("hit"))
-        rest = rest if waiting is None else rest.unionByName(waiting)
-        bucket = Window.partitionBy("bucket")
-        ranked = rest.withColumn("rank", F.row_number().over(bucket.orderBy(F.desc("hit"), "id"))).withColumn("n", F.count(F.lit(1)).over(bucket)).withColumn("cold", F.count_if(~F.col("hit")).over(bucket))
-        ranked = materialise(ranked.where("n > 1 AND cold > 0").select("bucket", "id", "hit", "rank"), "waiting")
+    rows = signed.select("id", "n", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first")).where("c > 1").select("bucket", "first")
+    state = materialise(rows.join(shared, "bucket"), "buckets")
+    shingled = F.pandas_udf(_shingle_column, "array<long>")
+    sets = materialise(texts.join(state.select("id").distinct(), "id").select("id", shingled("text").alias("set")), "shingles")
+    state = state.withColumn("pivot", F.lit(None).cast("double"))
+    links = signed.select("id", F.col("id").alias("leader")).where("false")
+    classed = links.select("id", F.col("leader").alias("class_id"))
+    width = 1
+    while True:
+        size = state.count()
+        grouped = state.join(classed, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")) if width > 1 else state.withColumn("class_id", F.col("id"))
+        stats = grouped.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("least"), F.min("class_id").alias("__a"), F.max("class_id").alias("__b"))
+        turn = F.pmod(F.xxhash64("id", F.lit(width)), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("c") < F.lit(width)
+        turn = F.col("id") == F.col("first") if width == 1 else (F.col("id") == F.col("least")) | turn
+        grouped = _spread_join(grouped, stats.where("__a != __b"), "bucket", "id", size).withColumn("turn", turn)
+        grouped = materialise(grouped.select("bucket", "id", "n", "first", "pivot", "class_id", "turn"), "round")
+        if grouped.isEmpty():
+            return links, classed
+        heads = grouped.where("turn").select("bucket", F.col("id").alias("leader"), F.col("n").alias("leader_n"), F.col("class_id").alias("leader_class"), F.col("pivot").alias("leader_pivot"))
+        pairs = _spread_join(grouped, heads, "bucket", "id", size)
+        pairs = pairs.where((F.col("class_id") != F.col("leader_class")) & (~F.col("turn") | (F.col("leader") < F.col("id"))))
+        pairs = pairs.where(F.coalesce(F.abs(F.col("pivot") - F.col("leader_pivot")) <= 1 - SIMILARITY + 1e-9, F.lit(True)))
+        likely = (F.least("n", "leader_n") >= F.lit(SIMILARITY) * F.greatest("n", "leader_n")) | F.lit(width == 1)
+        pairs = pairs.where(likely).select("id", "leader").distinct()
+        compared = _spread_join(pairs.join(sets.withColumnRenamed("set", "a"), "id"), sets.select(F.col("id").alias("leader"), F.col("set").alias("b")), "leader", "id", size)
+        compared = compared.withColumn("both", F.size(F.array_intersect("a", "b"))).select("id", "leader", (F.col("both") / (F.size("a") + F.size("b") - F.col("both"))).alias("j"))
+        compared = materialise(compared, "compared")
+        found = compared.where(F.col("j") >= SIMILARITY).select("id", "leader")
+        if not found.isEmpty():
+            links = materialise(links.unionByName(found), "links")
+            classed = classes(links)
+        state = grouped.where("NOT turn").drop("turn", "class_id")
+        if width == 1:  # how far each member is from the first of its bucket
+            far = compared.select("id", F.col("leader").alias("first"), (1 - F.col("j")).alias("pivot"))
+            state = state.drop("pivot").join(far, ["id", "first"], "left")
+        state = materialise(state.select("bucket", "id", "n", "first", "pivot"), "buckets")
         width *= 2
-        now = (F.col("rank") == 1) | (F.col("hit") & (F.col("rank") <= width))
-        waiting = ranked.where(F.col("hit") & ~now).select("bucket", "id", "hit")
-        pairs = materialise(ranked.where(~F.col("hit") & ~now).select("bucket", "id").join(ranked.where(now).select("bucket", F.col("id").alias("leader")), "bucket"), "pairs")
-    return links if links is not None else texts.select("id", F.col("id").alias("leader")).where("false")
+
+
+def _shingle_column(texts: pd.Series) -> pd.Series:
+    known: dict = {}
+    return pd.Series([_shingles(t, known) for t in texts], dtype=object)
+
+
+def copies(texts: DataFrame) -> DataFrame:
+    """Links ``id`` -> ``leader`` among ``texts`` (id, text): near copies (see :func:`link`) and texts of one shingle set. Texts without a word have none."""
+    sign = F.pandas_udf(_signed, _SIGNED)
+    made = materialise(texts.select("id", sign("text").alias("s")).select("id", "s.*").where("n > 0"), "signed")
+    least = made.groupBy("set_key").agg(F.min("id").alias("leader"))
+    equal = made.join(least, "set_key").where("id != leader").select("id", "leader")
+    return link(made.join(least.select(F.col("leader").alias("id")), "id", "left_semi"), texts)[0].unionByName(equal)
 
 
 def classes(links: DataFrame) -> DataFrame:
-    """``id`` and ``class_id`` (least id) of all texts in links, by repeated hooking to the least neighbour's label."""
+    """``id`` and ``class_id`` (least id) of all texts in links, by repeated hooking to the least neighbour's label.
+
+    Each round halves the way to the least id, so there are logarithmically many; a text with very many links is spread over SALTS places.
+    """
     edges = materialise(links.select("id", F.col("leader").alias("other")).unionByName(links.select(F.col("leader").alias("id"), F.col("id").alias("other"))).distinct(), "edges")
-    label = materialise(edges.groupBy("id").agg(F.least(F.min("other"), F.first("id")).alias("class_id")), "labels")
+    label = materialise(edges.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("class_id")), "labels")
+    size = edges.count()
     while True:
-        near = edges.join(label.select(F.col("id").alias("other"), "class_id"), "other").groupBy("id").agg(F.min("class_id").alias("near"))
+        near = _spread_join(edges, label.select(F.col("id").alias("other"), "class_id"), "other", "id", size).groupBy("id").agg(F.min("class_id").alias("near"))
         hooked = label.join(near, "id").select("id", F.least("class_id", "near").alias("new"), "class_id")
-        # a shortcut through the label of one's label halves the way to the least id in each round
+        # a shortcut through the label of one's label
         jump = hooked.select(F.col("id").alias("new"), F.col("new").alias("jump"))
-        after = materialise(hooked.join(jump, "new", "left").select("id", F.coalesce(F.least("new", "jump"), "new").alias("class_id"), F.col("class_id").alias("was")), "labels")
+        after = materialise(_spread_join(hooked, jump, "new", "id", size).select("id", F.least("new", "jump").alias("class_id"), F.col("class_id").alias("was")), "labels")
         label = after.select("id", "class_id")
         if after.where("class_id != was").isEmpty():
             return label
@@ -312,24 +406,28 @@ def classes(links: DataFrame) -> DataFrame:
 # --- belief propagation
 
 
-def _message(logs: list[Column], up: bool) -> list[Column]:
-    """Log message over an edge: up from an entry to its directory, or down."""
-    top = F.greatest(*logs)
-    out = []
-    for to in range(5):
-        total = None
-        for frm in range(5):
-            weight = GIVEN[to][frm] if up else GIVEN[frm][to]
-            term = F.exp(logs[frm] - top) * F.lit(weight)
-            total = term if total is None else total + term
-        out.append(F.log(total))
-    return out
-
-
 def _cols(prefix: str) -> list[Column]:
     return [F.col(f"{prefix}{i}") for i in range(5)]
 
 
+def _with_message(df: DataFrame, logs: list[Column], to: str, up: bool) -> DataFrame:
+    """Adds ``to``0 .. ``to``4, the log message over an edge: up from an entry to its directory, or down.
+
+    The weights are columns of their own, so that every logarithm and exponential is worked out once and generated code stays short."""
+    rest = [F.col(c) for c in df.columns]
+    df = df.select(*rest, *[x.alias(f"__l{i}") for i, x in enumerate(logs)])
+    df = df.select(*rest, *_cols("__l"), F.greatest(*_cols("__l")).alias("__top"))
+    df = df.select(*rest, *[F.exp(F.col(f"__l{i}") - F.col("__top")).alias(f"__w{i}") for i in range(5)])
+    out = []
+    for t in range(5):
+        weights = [GIVEN[t][f] if up else GIVEN[f][t] for f in range(5)]
+        total = F.col("__w0") * F.lit(weights[0])
+        for f in range(1, 5):
+            total = total + F.col(f"__w{f}") * F.lit(weights[f])
+        out.append(F.log(total).alias(f"{to}{t}"))
+    return df.select(*rest, *out)
+
+
 def _parent(c: str) -> Column:
     return F.when(F.instr(c, "/") > 0, F.regexp_replace(c, r"/[^/]*$", "")).otherwise("")
 
@@ -341,12 +439,11 @@ def propagate(files: DataFrame, hot_rows: int = 10_000) -> DataFrame:
     first; directories holding many files reach them by broadcast (no more than a thousand can hold a
     thousandth each), all others by a join.
     """
-    spark = files.sparkSession
-    files = files.select("id", "repo", "dir", *[F.col(f"e{i}") for i in range(5)])
-    files = materialise(files.select("*", *[m.alias(f"m{i}") for i, m in enumerate(_message(_cols("e"), True))]), "bp-files")
+    files = materialise(_with_message(files.select("id", "repo", "dir", *_cols("e")), _cols("e"), "m", True), "bp-files")
     rows = files.count()
     held = files.groupBy("repo", "dir").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"m{i}").alias(f"s{i}") for i in range(5)])
     steps = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", F.lit(1), i), "/"))
+    held = materialise(held, "bp-held")
     all_dirs = held.select("repo", F.split("dir", "/").alias("parts"), F.col("dir").alias("whole"))
     all_dirs = all_dirs.select("repo", F.explode(F.concat(F.array(F.lit("")), F.when(F.col("whole") != "", steps).otherwise(F.array().cast("array<string>")))).alias("dir")).distinct()
 
@@ -369,8 +466,7 @@ def propagate(files: DataFrame, hot_rows: int = 10_000) -> DataFrame:
         if level < deepest:
             below = ups[level + 1].groupBy("repo", F.col("parent").alias("dir")).agg(*[F.sum(f"m{i}").alias(f"b{i}") for i in range(5)])
             here = here.join(below, ["repo", "dir"], "left").select("repo", "dir", "parent", "n", *[(F.col(f"u{i}") + F.coalesce(f"b{i}", F.lit(0.0))).alias(f"u{i}") for i in range(5)])
-        here = here.select("repo", "dir", "parent", "n", *[F.col(f"u{i}") for i in range(5)], *[m.alias(f"m{i}") for i, m in enumerate(_message(_cols("u"), True))])
-        ups[level] = materialise(here, f"bp-up{level}")
+        ups[level] = materialise(_with_message(here.select("repo", "dir", "parent", "n", *_cols("u")), _cols("u"), "m", True), f"bp-up{level}")
     # down: what the rest of the tree says of each directory
     done = None
     above = None
@@ -379,9 +475,9 @@ def propagate(files: DataFrame, hot_rows: int = 10_000) -> DataFrame:
         if above is None:
             here = here.select("repo", "dir", "n", *[(F.col(f"u{i}") + F.lit(math.log(PRIOR[i]))).alias(f"t{i}") for i in range(5)])
         else:
-            joined = here.join(above.select("repo", F.col("dir").alias("parent"), *[F.col(f"t{i}") for i in range(5)]), ["repo", "parent"])
-            joined = joined.select("repo", "dir", "n", *_cols("u"), *[(F.col(f"t{i}") - F.col(f"m{i}")).alias(f"c{i}") for i in range(5)])
-            here = joined.select("repo", "dir", "n", *[(F.col(f"u{i}") + m).alias(f"t{i}") for i, m in enumerate(_message(_cols("c"), False))])
+            joined = here.join(above.select("repo", F.col("dir").alias("parent"), *_cols("t")), ["repo", "parent"])
+            joined = _with_message(joined, [F.col(f"t{i}") - F.col(f"m{i}") for i in range(5)], "c", False)
+            here = joined.select("repo", "dir", "n", *[(F.col(f"u{i}") + F.col(f"c{i}")).alias(f"t{i}") for i in range(5)])
         above = materialise(here, f"bp-down{level}")
         done = above if done is None else done.unionByName(above)
     hot = done.where((F.col("n") >= hot_rows) & (F.col("n") >= F.lit(rows / 1000))).drop("n")
@@ -389,24 +485,19 @@ def propagate(files: DataFrame, hot_rows: int = 10_000) -> DataFrame:
     tagged = files.join(F.broadcast(hot.select("repo", "dir", *[F.col(f"t{i}").alias(f"h{i}") for i in range(5)])), ["repo", "dir"], "left")
     near = tagged.where("h0 IS NOT NULL").select("id", *_cols("e"), *_cols("m"), *[F.col(f"h{i}").alias(f"t{i}") for i in range(5)])
     far = tagged.where("h0 IS NULL").join(cold, ["repo", "dir"]).select("id", *_cols("e"), *_cols("m"), *_cols("t"))
-    both = near.unionByName(far).select("id", *_cols("e"), *[(F.col(f"t{i}") - F.col(f"m{i}")).alias(f"c{i}") for i in range(5)])
-    both = both.select("id", *[(F.col(f"e{i}") + m).alias(f"g{i}") for i, m in enumerate(_message(_cols("c"), False))])
-    top = F.greatest(*_cols("g"))
-    weights = [F.exp(F.col(f"g{i}") - top) for i in range(5)]
-    total = weights[0] + weights[1] + weights[2] + weights[3] + weights[4]
-    return both.select("id", *[(w / total).alias(f"p{i}") for i, w in enumerate(weights)])
-
+    both = _with_message(near.unionByName(far), [F.col(f"t{i}") - F.col(f"m{i}") for i in range(5)], "c", False)
+    both = both.select("id", *[(F.col(f"e{i}") + F.col(f"c{i}")).alias(f"g{i}") for i in range(5)])
+    both = both.select("id", *_cols("g"), F.greatest(*_cols("g")).alias("__top")).select("id", *[F.exp(F.col(f"g{i}") - F.col("__top")).alias(f"w{i}") for i in range(5)])
+    total = F.col("w0") + F.col("w1") + F.col("w2") + F.col("w3") + F.col("w4")
+    # written, so that no filter on the result is pushed through the sums above
+    return materialise(both.select("id", *[(F.col(f"w{i}") / total).alias(f"p{i}") for i in range(5)]), "bp-beliefs")
 
-def label_files(artifacts: DataFrame) -> DataFrame:
-    """``artifact_id``, ``label``, ``p_handwritten`` for every artifact (artifact_id, uri, path, content, metadata).
 
-    Empty and NULL contents are hand-written (there is nothing else in them). Artifacts without a path use
-    that of their address; those without any repository share the tree of their host. An artifact fetched
-    again counts again. Contents repeated inside one repository are no sign of copying.
-    """
+def _looked_at(artifacts: DataFrame) -> DataFrame:
+    """One pass over all texts: place, evidence and signature of every artifact; texts themselves go no further."""
     base = artifacts.select("artifact_id", "uri", "path", "content", F.try_element_at("metadata", F.lit("repo")).alias("repo_tag"))
 
-    @F.pandas_udf("repo string, place string, odds array<double>, library string")
+    @F.pandas_udf("repo string, place string, odds array<double>, library string, set_key binary, n int, bands array<long>")
     def look(uri: pd.Series, path: pd.Series, content: pd.Series, tag: pd.Series) -> pd.DataFrame:
         out = []
         for u, p, t, g in zip(uri, path, content, tag):
@@ -418,21 +509,50 @@ def label_files(artifacts: DataFrame) -> DataFrame:
                     rest = [y for y in parts[i + 1 :] if not re.fullmatch(r"(?i)git\..*|src|lib|sources|v\d+", y)]
                     library = re.sub(r"-\d+(?:\.\d+)*$", "", rest[-1].lower()) if rest else ""
             out.append((repo, where, odds, library))
-        return pd.DataFrame(out, columns=["repo", "place", "odds", "library"])
-
-    seen = base.select("artifact_id", F.unhex(F.md5(F.coalesce("content", F.lit("")))).alias("text_key"), look("uri", "path", "content", "repo_tag").alias("x"))
-    seen = materialise(seen.select("artifact_id", "text_key", "x.repo", "x.place", "x.odds", "x.library"), "evidence")
-    keyed = base.select("artifact_id", "content", F.unhex(F.md5(F.coalesce("content", F.lit("")))).alias("text_key"))
-    # one row per different text, under the least artifact that has it
-    texts = materialise(keyed.groupBy("text_key").agg(F.min("artifact_id").alias("id"), F.first("content").alias("text")), "texts")
-    grouped = classes(copies(texts.select("id", "text")))
-    members = texts.select("text_key", "id").join(grouped, "id", "left").select("text_key", F.coalesce("class_id", "id").alias("class_id"))
-    used = seen.select("text_key", "repo", "library").distinct().join(members, "text_key")
-    spread = used.groupBy("class_id").agg(F.count_distinct("repo").alias("repos"), F.max("library").alias("library")).where("repos > 1 AND library != ''")
-    copied = members.join(spread, "class_id").select("text_key", F.col("library").alias("class_library"))
-    files = seen.join(copied, "text_key", "left")
+        return pd.concat([pd.DataFrame(out, columns=["repo", "place", "odds", "library"]), _signed(content)], axis=1)
+
+    return base.select("artifact_id", look("uri", "path", "content", "repo_tag").alias("x")).select("artifact_id", "x.*")
+
+
+def _grouped(seen: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``set_key``, ``id`` (the least artifact of a shingle set) and ``n`` of all sets with a word; ``id`` and ``class_id`` of those with near copies."""
+    keys = materialise(seen.where("n > 0").groupBy("set_key").agg(F.min("artifact_id").alias("id"), F.min("n").alias("n")), "sets")
+    signed = seen.select(F.col("artifact_id").alias("id"), "n", "bands").join(keys.select("id"), "id", "left_semi")
+    return keys, link(signed, artifacts.select(F.col("artifact_id").alias("id"), F.col("content").alias("text")))[1]
+
+
+def copy_classes(artifacts: DataFrame) -> DataFrame:
+    """``artifact_id`` and ``class_id`` (its least artifact) of every artifact with a word in it: copies and near copies are one class.
+
+    NULL and empty contents, and those without a word, have no row. Repeated contents share their class.
+    """
+    seen = materialise(_looked_at(artifacts).select("artifact_id", "set_key", "n", "bands"), "signed")
+    keys, grouped = _grouped(seen, artifacts)
+    named = keys.join(grouped, "id", "left").select("set_key", F.coalesce("class_id", "id").alias("class_id"))
+    return _spread_join(seen.where("n > 0").select("artifact_id", "set_key"), named, "set_key", "artifact_id", seen.count()).select("artifact_id", "class_id")
+
+
+def label_files(artifacts: DataFrame) -> DataFrame:
+    """``artifact_id``, ``label``, ``p_handwritten`` for every artifact (artifact_id, uri, path, content, metadata).
+
+    Empty and NULL contents are hand-written (there is nothing else in them). Artifacts without a path use
+    that of their address; those without any repository share the tree of their host. An artifact fetched
+    again counts again. Contents repeated inside one repository are no sign of copying, and a copy of a text
+    of a few words is a weak one.
+    """
+    seen = materialise(_looked_at(artifacts), "evidence")
+    keys, grouped = _grouped(seen, artifacts)
+    key_class = keys.join(grouped, "id", "left").select("set_key", "n", F.coalesce("class_id", "id").alias("class_id"))
+    # per set: whether several repositories have it, and the library it says it is from
+    homes = seen.where("n > 0").groupBy("set_key").agg(F.min(F.xxhash64("repo")).alias("a"), F.max(F.xxhash64("repo")).alias("b"))
+    homes = homes.join(key_class, "set_key").groupBy("class_id").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a != b").select("class_id")
+    said = seen.where("library != '' AND n > 0").select("set_key", "library").distinct().join(key_class.select("set_key", "class_id"), "set_key")
+    spread = said.groupBy("class_id").agg(F.max("library").alias("class_library")).join(homes, "class_id", "left_semi")
+    copied = materialise(key_class.join(spread, "class_id").select("set_key", F.col("n").alias("set_n"), "class_library"), "copied")
+    files = _spread_join(seen.drop("bands", "n"), copied, "set_key", "artifact_id", seen.count(), "left")
     own = F.array_contains(F.split("repo", "/"), F.coalesce("class_library", F.lit("")))
-    copy_odds = F.when(F.col("class_library").isNull(), 0.0).when(own, -STRONG).otherwise(STRONG)
+    weight = F.lit(STRONG) * F.least(F.lit(1.0), F.col("set_n") / 8)
+    copy_odds = F.when(F.col("class_library").isNull(), 0.0).when(own, -weight).otherwise(weight)
     odds = [(F.col("odds")[i] + (copy_odds if i == VEND else F.lit(0.0))).alias(f"e{i}") for i in range(5)]
     directory = F.when(F.instr("place", "/") > 0, F.regexp_replace("place", r"/[^/]*$", "")).otherwise("")
     beliefs = propagate(files.select(F.col("artifact_id").alias("id"), "repo", directory.alias("dir"), *odds))
@@ -441,3 +561,4 @@ def label_files(artifacts: DataFrame) -> DataFrame:
     for i in (3, 2, 1, 0):
         label = F.when(F.col(f"p{i}") == best, LABELS[i]).otherwise(label)
     return beliefs.select(F.col("id").alias("artifact_id"), label.alias("label"), F.col("p0").alias("p_handwritten"))
+
