@@ -20,8 +20,6 @@ from keelsieve.shared import materialise
 
 #: Graded documents used for fitting at most: those of the least hash of their id. A documented bound.
 FIT_DOCUMENTS = 20_000
-#: Words kept in the fitted table at most, the most widely used ones; it is broadcast with a size known beforehand.
-FIT_WORDS = 60_000
 LEVELS = (1, 2, 3, 4)
 QUANTILES = np.linspace(0.025, 0.975, 20)
 
@@ -43,52 +41,72 @@ _CHAT = re.compile(r"^\s*(?:>+\s*)*(?:\[\d{1,2}:\d{2}(?::\d{2})?\]\s*)?(?:<?@?[\
 _STAMP = re.compile(r"^\s*(?:>+\s*)*\[\d{1,2}:\d{2}")
 _MARK = re.compile(r"^\s*(?:>+\s*)*(?:[-*+•]\s+|\d{1,3}[.)]\s+|\(\w\)\s+|\|\s*)?")
 _TURN = re.compile(r"(?i)^\s*(?:<\|?/?\w+\|?>|\[/?INST\]|(?:user|assistant|human|system|q|a|question|answer)\s*:)\s*")
-_WORD = re.compile(r"[A-Za-z]+(?:['’][a-z]+)?(?:-[A-Za-z]+)*")
+_CODE_LINE = re.compile(r"(?: {4,}|\t)\S.*[;{}=()]\s*$")
+_INNER_HEADING = re.compile(r"#{1,6}\s")
+_BREAK = re.compile(r"(?<=[a-z])-\n(?=[a-z])")
+#: How a line begins that any of the patterns for lines may touch; all others are prose as they stand (a test compares both ways).
+_MARKED = re.compile(r"[\s#\d=\-*_|>\[<(+\u2022]|(?:Issue|PR|Ticket)\s|[A-Z]{2,}-\d|(?i:user|assistant|human|system|q|a|question|answer)\s*:")
+_WORD = re.compile(r"[a-z]+(?:'[a-z]+)?(?:-[a-z]+)*")
+
+
+def _line(line: str) -> str | None:
+    """What is left of a marked line; None for an inner heading, which does not even break the text."""
+    if _HEADING.match(line) or _CODE_LINE.match(line):
+        return ""
+    line = _TURN.sub("", line)
+    line = _CHAT.sub("", line) if _STAMP.match(line) else line
+    line = _MARK.sub("", line)
+    return None if _INNER_HEADING.match(line) else line.strip()
 
 
 def prose(text: str | None) -> str:
     """Running text only: without code, headings, links, list, chat and turn marks; hyphenated line breaks joined."""
     if not text:
         return ""
-    t = _INVISIBLE.sub("", text).replace("\r\n", "\n")
-    t = _FENCE.sub("\n\n", t)
-    t = _TAG.sub(" ", t)
-    t = _LINK.sub(r"\1", t)
-    t = _URL.sub(" ", t)
+    t = text if text.isascii() else _INVISIBLE.sub("", text)
+    if "\r" in t:
+        t = t.replace("\r\n", "\n")
+    if "```" in t or "~~~" in t:
+        t = _FENCE.sub("\n\n", t)
+    if "<" in t:
+        t = _TAG.sub(" ", t)
+    if "](" in t:
+        t = _LINK.sub(r"\1", t)
+    if "`" in t or "://" in t or "www." in t.lower():
+        t = _URL.sub(" ", t)
+    marked = _MARKED.match
     out = []
     for line in t.split("\n"):
-        if not line.strip():
-            out.append("")
-            continue
-        if _HEADING.match(line) or re.match(r"^(?: {4,}|\t)\S.*[;{}=()]\s*$", line):
+        if not line or line.isspace():
             out.append("")
-            continue
-        line = _TURN.sub("", line)
-        line = _CHAT.sub("", line) if _STAMP.match(line) else line
-        line = _MARK.sub("", line)
-        if re.match(r"#{1,6}\s", line):
-            continue
-        out.append(line.strip())
+        elif marked(line):
+            left = _line(line)
+            if left is not None:
+                out.append(left)
+        else:
+            out.append(line.rstrip())
     t = "\n".join(out)
-    return re.sub(r"(?<=[a-z])-\n(?=[a-z])", "-", t).replace("\n", " ")
+    if "-\n" in t:
+        t = _BREAK.sub("-", t)
+    return t.replace("\n", " ")
 
 
 def words_of(text: str) -> list[str]:
-    return [w.lower().replace("’", "'") for w in _WORD.findall(text)]
+    return _WORD.findall(text.lower().replace("\u2019", "'"))
 
 
 def is_english(words: list[str]) -> bool:
     """Whether function words say English; needs at least eight words. Terse text counts if no other language shows."""
     if len(words) < 8:
         return False
-    yes = sum(w in _ENGLISH for w in words)
-    no = sum(w in _OTHERS for w in words)
+    yes = sum(map(_ENGLISH.__contains__, words))
+    no = sum(map(_OTHERS.__contains__, words))
     return (yes >= 0.12 * len(words) and yes > 1.5 * no) or (no <= 0.01 * len(words) and yes >= 0.02 * len(words))
 
 
 @dataclass
 class Model:
-    """Word grades and calibration; plain arrays, bounded by FIT_WORDS."""
+    """Word grades and calibration; plain values, bounded by the vocabulary of FIT_DOCUMENTS graded documents."""
 
     grades: dict[str, float]
     weights: np.ndarray
@@ -96,10 +114,8 @@ class Model:
     scale: np.ndarray
 
     def features(self, words: list[str]) -> list[float] | None:
-        g = [self.grades[w] for w in words if w in self.grades]
-        if len(g) < 8:
-            return None
-        return _features(np.array(g)).tolist()
+        g = [x for x in map(self.grades.get, words) if x is not None]
+        return _features(np.array(g)) if len(g) >= 8 else None
 
     def levels(self, rows: list[list[float]]) -> np.ndarray:
         x = (np.array(rows) - self.centre) / self.scale
@@ -108,9 +124,15 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def _features(grades: np.ndarray) -> np.ndarray:
-    q = np.quantile(grades, QUANTILES)
-    return np.concatenate([q, [grades.mean()]])
+def _features(grades: np.ndarray) -> list[float]:
+    mean = grades.mean()
+    grades.sort()
+    at = QUANTILES * (len(grades) - 1)
+    low = at.astype(np.int64)
+    below = grades[low]
+    out = (below + (at - low) * (grades[np.minimum(low + 1, len(grades) - 1)] - below)).tolist()
+    out.append(mean)
+    return out
 
 
 def word_grades(counts: np.ndarray, smooth: float = 6.0) -> np.ndarray:
@@ -139,7 +161,7 @@ def calibrate(x: np.ndarray, targets: np.ndarray, ridge: float = 1e-3, rounds: i
 
 
 def _kept(counts: np.ndarray, words: list[str]) -> dict[str, float]:
-    rows = counts.sum(axis=1) >= 3
+    rows = counts.sum(axis=1) > 0
     return dict(zip([w for w, k in zip(words, rows) if k], word_grades(counts[rows]).tolist())) if rows.any() else {}
 
 
@@ -159,8 +181,8 @@ def votes(labels: DataFrame) -> DataFrame:
     return v.groupBy("doc_id").agg(*share).select("doc_id", F.array(*[f"t{k}" for k in LEVELS]).alias("target"))
 
 
-def fit(documents: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS, fit_words: int = FIT_WORDS) -> Model:
-    """Fit on at most ``fit_documents`` graded English documents and ``fit_words`` words.
+def fit(documents: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Model:
+    """Fit on at most ``fit_documents`` graded English documents and all of their words; the driver holds a row of numbers for each word.
 
     Documents fall into two halves; each is calibrated with word grades from the other, so that the
     calibration sees the errors it will meet. Raises ValueError when too few graded documents are left.
@@ -175,11 +197,11 @@ def fit(documents: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUME
         return pd.Series(out, dtype=object)
 
     graded = documents.select("doc_id", "text").join(votes(labels), "doc_id")
-    graded = graded.select("doc_id", "target", english("text").alias("words")).where("words IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_documents)
+    graded = graded.select("doc_id", "target", english("text").alias("words")).where("words IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_documents).repartition(documents.sparkSession.sparkContext.defaultParallelism, "doc_id")
     graded = materialise(graded.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2))), "graded")
     each = graded.select("half", "target", F.explode("words").alias("word"))
     sums = [F.sum(F.when(F.col("half") == h, F.col("target")[i]).otherwise(0.0)).alias(f"c{h}{i}") for h in (0, 1) for i in range(4)]
-    table = each.groupBy("word").agg(*sums, F.count(F.lit(1)).alias("n")).where("n >= 3").orderBy(F.desc("n"), "word").limit(fit_words).toPandas()
+    table = each.groupBy("word").agg(*sums).orderBy("word").toPandas()
     words = table["word"].tolist()
     by_half = [table[[f"c{h}{i}" for i in range(4)]].to_numpy(dtype=float) for h in (0, 1)]
     none = np.zeros(0)
