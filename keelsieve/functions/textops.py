@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from keelsieve.functions.patterns import MARKS
+
 
 def byte_projection(c: Column) -> Column:
     """``c`` with every non-ASCII character replaced by as many ``?`` as it has UTF-8 bytes.
@@ -19,55 +23,41 @@ def byte_projection(c: Column) -> Column:
     return F.regexp_replace(t, r"[\x{10000}-\x{10FFFF}]", "????")
 
 
-def byte_regex(pattern: str) -> str:
-    """A rule's pattern for use on a byte projection: white space without the vertical tab."""
-    out, inside, i = [], False, 0
-    while i < len(pattern):
-        ch = pattern[i]
-        if ch == "\\":
-            two = pattern[i : i + 2]
-            out.append({r"\s": r"\t\n\f\r " if inside else r"[\t\n\f\r ]"}.get(two, two))
-            i += 2
-            continue
-        if ch == "[" and not inside:
-            inside = True
-            if pattern[i + 1 : i + 2] == "^":
-                out.append("[^")
-                i += 2
-                continue
-        elif ch == "]" and inside and out[-1] not in ("[", "[^"):
-            inside = False
-        out.append(ch)
-        i += 1
-    return "".join(out)
-
-
 def quoted(text: str) -> str:
     """A string literal of Spark SQL."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def spans_sql(projected: str, pattern: str, group: int, rule_id: str | None = None) -> str:
-    """SQL for the array of (start, stop) byte offsets of a group in all matches of a rule, on a byte projection.
+def spans_sql(projected: str, regex: str, replacement: str, rule_id: str | None = None) -> str:
+    """SQL for the array of (start, stop) byte offsets of a rule's wanted group in all of its matches, on a byte projection.
 
-    The pieces between matches and the matches themselves add up to the text, which gives every
-    match's place. The group has to end where its match ends, but for one closing quote. Matches are
-    found once and bound to a name: inside the fold they would be looked for anew at every element.
-    One SQL text per rule keeps building the plan cheap.
+    ``regex`` and ``replacement`` set ``patterns.MARKS`` around the group: one pass of the pattern, after which the
+    pieces between marks give every place. The pieces are bound to a name, as the fold would make them anew at
+    every element. One SQL text per rule keeps building the plan cheap.
     """
-    rx = quoted(byte_regex(pattern))
+    before, opened, closed = MARKS
     named = f"'rule_id', {quoted(rule_id)}, " if rule_id else ""
     kind = f"array<struct<{'rule_id:string,' if rule_id else ''}start:int,stop:int>>"
-    whole = "get(m.found, i)"
-    stop = f"acc.at + length(get(m.pieces, i)) + length({whole})" + (f" - if({whole} RLIKE '[\"\\']$', 1, 0)" if group else "")
-    one = f"named_struct({named}'start', cast({stop} - length(get(m.wanted, i)) AS int), 'stop', cast({stop} AS int))"
-    step = f"named_struct('at', acc.at + length(get(m.pieces, i)) + length({whole}), 'out', array_append(acc.out, {one}))"
-    indexes = "if(size(m.found) > 0, sequence(0, size(m.found) - 1), cast(array() AS array<int>))"
-    fold = f"aggregate({indexes}, named_struct('at', 0, 'out', cast(array() AS {kind})), (acc, i) -> {step}, acc -> acc.out)"
-    return (
-        f"get(transform(array(named_struct('found', regexp_extract_all({projected}, {rx}, 0), 'wanted', regexp_extract_all({projected}, {rx}, {group}),"
-        f" 'pieces', split({projected}, {rx}, -1))), m -> {fold}), 0)"
-    )
+    start = f"acc.at + instr(x, '{opened}') - 1"
+    one = f"named_struct({named}'start', cast({start} AS int), 'stop', cast({start} + instr(x, '{closed}') - instr(x, '{opened}') - 1 AS int))"
+    step = f"named_struct('at', acc.at + length(x) - 2, 'out', array_append(acc.out, {one}))"
+    fold = f"aggregate(slice(m, 2, greatest(size(m) - 1, 0)), named_struct('at', length(get(m, 0)), 'out', cast(array() AS {kind})), (acc, x) -> {step}, acc -> acc.out)"
+    return f"get(transform(array(split(regexp_replace({projected}, {quoted(regex)}, {quoted(replacement)}), '{before}', -1)), m -> {fold}), 0)"
+
+
+def spans_of(text: Column, rules: Sequence[tuple[str, str, int, Sequence[str]]]) -> Column:
+    """The same spans for (rule id, pattern, group, demanded literals) whose group has no fixed place in a match, by Python's engine; a match without the group is none."""
+
+    @F.pandas_udf("array<struct<rule_id:string,start:int,stop:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        ready = [(r, re.compile(p), g, d) for r, p, g, d in rules]
+        out = []
+        for t in texts:
+            low = (t or "").lower()
+            out.append([(r, m.start(g), m.end(g)) for r, rx, g, d in ready if t and (not d or any(w in low for w in d)) for m in rx.finditer(t) if m.start(g) >= 0])
+        return pd.Series([[dict(zip(("rule_id", "start", "stop"), x)) for x in found] for found in out], dtype=object)
+
+    return run(text)
 
 
 def lossy_text(c: Column) -> Column:
@@ -116,5 +106,3 @@ def masked(value: Column, visible: int = 4) -> Column:
     n = F.octet_length(value)
     head = lossy_text(F.substring(value, 1, visible))
     return F.concat(head, F.repeat(F.lit("*"), F.greatest(n - visible, F.lit(0))))
-
-

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from keelsieve.functions.normalise import fingerprint_hex, squeezed
+
 
 def _short_hash(prefix: str, text: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(text, 256), 1, 16))
@@ -33,12 +35,22 @@ def provider_of(rule_id: Column) -> Column:
     return F.when(F.instr(rule_id, "-") > 1, F.substring_index(rule_id, "-", 1)).otherwise(rule_id)
 
 
+def same_fingerprint(c: Column | str) -> Column:
+    """One spelling per fingerprint: its 64 hex digits, or for any other text itself without blanks in lower case; NULL if absent."""
+    return F.coalesce(fingerprint_hex(c), squeezed(c))
+
+
+def set_time(c: str) -> Column:
+    """A time, NULL where the clock was not set: before 1971."""
+    return F.when(F.unix_micros(c) >= 365 * 86_400_000_000, F.col(c))
+
+
 def _located(findings: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    rows = findings.where("fingerprint IS NOT NULL AND fingerprint != ''")
+    rows = findings.withColumn("fingerprint", same_fingerprint("fingerprint")).where("fingerprint IS NOT NULL")
     return rows.select(
         credential_id(F.col("fingerprint")).alias("credential_id"), "fingerprint", text("source_type"), text("source_uri"), text("path"), text("commit_sha"),
-        "created_at", "seq", text("rule_id"),
+        set_time("created_at").alias("created_at"), "seq", text("rule_id"),
     )
 
 
@@ -46,15 +58,17 @@ def exposures(findings: DataFrame) -> DataFrame:
     """Distinct places of each credential with the first and last time seen.
 
     ``findings`` needs fingerprint, rule_id, source_type, source_uri, path, commit_sha, created_at and ``seq``, the order of
-    arrival. Rows without a fingerprint belong to no credential; absent places are the empty string; NULL times do not count.
+    arrival. Rows without a fingerprint belong to no credential; spellings of one fingerprint are one; absent places are the
+    empty string. NULL times and those of an unset clock do not count; a place whose first finding has none has no first time.
     """
     keys = ["credential_id", "source_type", "source_uri", "path", "commit_sha"]
-    out = _located(findings).groupBy(*keys).agg(F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))
+    first = F.when(F.min_by(F.col("created_at").isNotNull(), "seq"), F.min("created_at"))
+    out = _located(findings).groupBy(*keys).agg(first.alias("first_seen"), F.max("created_at").alias("last_seen"))
     return out.select(exposure_id(*[F.col(k) for k in keys]).alias("id"), *keys, "first_seen", "last_seen")
 
 
 def credentials(findings: DataFrame) -> DataFrame:
-    """One row per fingerprint: provider and kind of its first finding, first and last time, number of exposures."""
+    """One row per fingerprint: provider and kind of its first finding, first and last set time, number of exposures."""
     rows = _located(findings)
     whole = rows.groupBy("credential_id").agg(
         F.first("fingerprint").alias("fingerprint"), F.min_by("rule_id", "seq").alias("kind"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen")

@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keelsieve.functions import textops
+from keelsieve.functions import patterns, textops
 from keelsieve.functions.normalise import instant
 from keelsieve.sources.rules import SEVERITIES, Rule, checksum, validate
 
@@ -25,13 +25,17 @@ MADE = ("rule_id", "start", "stop", "value", "context", "entropy", "signals", "s
 
 @dataclass(frozen=True)
 class Options:
-    """``min_band``: what to emit; ``key``: of the fingerprint; ``scheme``: prefix of the fingerprint."""
+    """``key``: of the fingerprint, see :func:`load_key`; ``min_band``: what to emit; ``scheme``: prefix of the fingerprint."""
 
-    key: bytes = b"keelsieve-test-key"
+    key: bytes
     min_band: str = "low_confidence"
     scheme: str = "hmac-sha256:"
     max_bytes: int = 20 * 1024 * 1024
 
+    def __post_init__(self) -> None:
+        if not self.key:
+            raise ValueError("fingerprints need a key")
+
 
 def load_key(path: str | None = None, environment: str | None = None) -> bytes:
     """The fingerprint key: a file's contents, else an environment value (hex, or 16 bytes and more as they are), else one for this process only."""
@@ -80,19 +84,28 @@ def matches(artifacts: DataFrame, rules: Iterable[Rule], content: str = "content
     """One row per match of each rule: the artifact's columns but the content, ``rule_id``, ``start``, ``stop``, ``value``, ``context``.
 
     Rules are independent, so one text may match several. Offsets, values and contexts are bytes. One scan;
-    each rule is an expression of its own, whose pattern is compiled once per task. Input columns named like
-    one of ``MADE`` are dropped; NULL and empty contents match nothing.
+    each rule is an expression of its own, whose pattern is compiled once per task. Rules whose wanted group may be
+    missing from a match, repeat in it or lie in one of several branches go through Python's engine together; a match
+    without its group is none. Input columns named like one of ``MADE`` are dropped; NULL and empty contents match nothing.
     """
     rules = validate(rules)
     rest = [c for c in artifacts.columns if c != content and c not in MADE]
     base = artifacts.where(F.col(content).isNotNull()).withColumn("__p", textops.byte_projection(F.col(content).cast("string"))).withColumn("__l", F.lower("__p"))
 
-    per_rule = []
+    per_rule, rest_of_rules = [], []
     for r in rules:
+        p = patterns.read(r.regex)
+        marked = None if patterns.matches_nothing(p) else p.marked(r.secret_group)
+        if marked is None:
+            rest_of_rules.append((r.id, p.plain(), r.secret_group, r.demands))
+            continue
         # a cheap test first: literals the pattern demands, else whether it matches at all
         cheap = " OR ".join(f"contains(__l, {textops.quoted(w)})" for w in r.demands)
-        possible = cheap or f"__p RLIKE {textops.quoted(textops.byte_regex(r.regex))}"
-        per_rule.append(f"if({possible}, {textops.spans_sql('__p', r.regex, r.secret_group, r.id)}, cast(array() AS array<struct<rule_id:string,start:int,stop:int>>))")
+        possible = cheap or f"__p RLIKE {textops.quoted(marked[0])}"
+        per_rule.append(f"if({possible}, {textops.spans_sql('__p', *marked, r.id)}, cast(array() AS array<struct<rule_id:string,start:int,stop:int>>))")
+    if rest_of_rules:
+        base = base.withColumn("__u", textops.spans_of(F.col("__p"), rest_of_rules))
+        per_rule.append("__u")
     # the outer form keeps the optimizer from testing the array for emptiness below, where every part of it would be worked out again
     out = base.select(*rest, F.encode(F.col(content).cast("string"), "UTF-8").alias("__b"), F.expr(f"concat({', '.join(per_rule)})").alias("__m"))
     out = out.select(*rest, "__b", F.inline_outer("__m")).where("rule_id IS NOT NULL")
@@ -132,30 +145,35 @@ def at_least(scored: DataFrame, min_band: str) -> DataFrame:
     return scored.where(band_rank(F.col("band")) >= RANKS[min_band])
 
 
-def findings(scored: DataFrame, rules: Iterable[Rule], options: Options = Options(), as_of: str = "2025-01-01 00:00:00") -> DataFrame:
+def findings(scored: DataFrame, rules: Iterable[Rule], options: Options, as_of: str = "2025-01-01 00:00:00") -> DataFrame:
     """Findings of scored matches. The value column ends here: fingerprint, mask and length take its place.
 
     Ids derive from artifact, rule and span, and times from ``as_of``, so the same input gives the same rows.
-    Needs ``artifact_id``; ``source_type``, ``uri``, ``path``, ``commit_sha`` default to the empty string.
+    After ``review.review`` its score, decision and metadata hold instead of the band. Needs ``artifact_id``; ``source_type``, ``uri``, ``path``, ``commit_sha`` default to the empty string.
     """
     rules = validate(rules)
+    if "review_score" in scored.columns:  # second opinions were applied
+        kept, confidence = scored.where("emit"), F.col("review_score")
+        metadata = F.map_concat(F.create_map(F.lit("band"), F.col("band")), F.col("review_metadata"))
+    else:
+        kept, confidence, metadata = at_least(scored, options.min_band), F.col("score"), F.create_map(F.lit("band"), F.col("band"))
     severity = reduce(lambda acc, r: acc.when(F.col("rule_id") == r.id, r.severity), rules, F.when(F.lit(False), ""))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in scored.columns else F.lit("")
     when = instant(as_of)
     ident = F.concat(F.lit("fnd_"), F.substring(F.sha2(F.concat_ws("|", F.col("artifact_id").cast("string"), "rule_id", F.col("start").cast("string"), F.col("stop").cast("string")), 256), 1, 24))
-    return at_least(scored, options.min_band).select(
-        "artifact_id", ident.alias("id"), "rule_id", F.col("rule_id").alias("type"), severity.alias("severity"), F.col("score").alias("confidence"),
+    return kept.select(
+        "artifact_id", ident.alias("id"), "rule_id", F.col("rule_id").alias("type"), severity.alias("severity"), confidence.alias("confidence"),
         F.concat(F.lit(options.scheme), textops.hmac_sha256(options.key, F.col("value"))).alias("fingerprint"),
         textops.masked(F.col("value")).alias("masked_prefix"), F.octet_length("value").alias("length"),
         text("source_type").alias("source_type"), text("uri").alias("source_uri"), text("path").alias("path"), text("commit_sha").alias("commit_sha"),
-        F.lit("OPEN").alias("state"), when.alias("created_at"), when.alias("updated_at"), F.create_map(F.lit("band"), F.col("band")).alias("metadata"),
+        F.lit("OPEN").alias("state"), when.alias("created_at"), when.alias("updated_at"), metadata.alias("metadata"),
         F.struct("signals", F.lit(checksum(rules)).alias("ruleset_version"), F.lit(DETECTOR_VERSION).alias("detector_version"), when.alias("created_at")).alias("provenance"),
         "start",
     )
 
 
-def detect(artifacts: DataFrame, rules: Iterable[Rule], options: Options = Options(), as_of: str = "2025-01-01 00:00:00") -> DataFrame:
-    """Artifacts to findings in one narrow pass, without a shuffle."""
+def detect(artifacts: DataFrame, rules: Iterable[Rule], options: Options, as_of: str = "2025-01-01 00:00:00") -> DataFrame:
+    """Artifacts to findings in one narrow pass, without a shuffle. The key in ``options`` makes the fingerprints; who holds it can test guesses."""
     rules = validate(rules)
     return findings(score(matches(scannable(artifacts, max_bytes=options.max_bytes), rules), rules), rules, options, as_of)
 

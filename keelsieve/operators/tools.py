@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from keelsieve.functions.normalise import instant
 
-# The tools, the scope each needs and the arguments it takes.
+# The names of the tools, the scope each needs and the arguments it takes.
 CATALOGUE = (
     ("list_findings", "findings:read", ("state", "source_type", "rule_id", "limit"), True),
     ("get_finding", "findings:read", ("finding_id",), True),

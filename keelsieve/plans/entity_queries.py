@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from keelsieve.functions.normalise import utc_micros
@@ -12,6 +10,7 @@ from keelsieve.plans import detect_queries
 from keelsieve.plans.registry import Registry, table
 from keelsieve.shared import new_path
 from keelsieve.sinks import render
+from keelsieve.sources import files
 from keelsieve.sources.rules import BUILTIN
 from keelsieve.streaming import streams
 
@@ -25,10 +24,11 @@ def _findings(spark, sf_dir):
 
 # --- correlation
 
-_BASE = """b AS (SELECT 'cred_' || substr(sha256('credential:' || fingerprint), 1, 16) AS credential_id, fingerprint, coalesce(source_type, '') AS source_type, coalesce(source_uri, '') AS source_uri,
- coalesce(path, '') AS path, coalesce(commit_sha, '') AS commit_sha, created_at, row_no, coalesce(rule_id, '') AS rule_id FROM findings WHERE fingerprint IS NOT NULL AND fingerprint != '')"""
+_SAME = r"coalesce(nullif(regexp_extract(lower(fingerprint), '^\s*(?:[a-z0-9_.-]+:)*([0-9a-f]{64})\s*$', 1), ''), nullif(lower(regexp_replace(fingerprint, '^\s+|\s+$', '', 'g')), ''))"
+_BASE = f"""b AS (SELECT 'cred_' || substr(sha256('credential:' || fp), 1, 16) AS credential_id, fp AS fingerprint, coalesce(source_type, '') AS source_type, coalesce(source_uri, '') AS source_uri,
+ coalesce(path, '') AS path, coalesce(commit_sha, '') AS commit_sha, CASE WHEN epoch_us(created_at) >= 31536000000000 THEN created_at END AS created_at, row_no, coalesce(rule_id, '') AS rule_id FROM (SELECT *, {_SAME} AS fp FROM findings) WHERE fp IS NOT NULL)"""
 _EXPOSURES = """e AS (SELECT 'exp_' || substr(sha256('exposure:' || credential_id || '|' || source_type || '|' || source_uri || '|' || path || '|' || commit_sha), 1, 16) AS id,
- credential_id, source_type, source_uri, path, commit_sha, min(created_at) AS first_seen, max(created_at) AS last_seen FROM b GROUP BY credential_id, source_type, source_uri, path, commit_sha)"""
+ credential_id, source_type, source_uri, path, commit_sha, CASE WHEN arg_min(created_at IS NOT NULL, row_no) THEN min(created_at) END AS first_seen, max(created_at) AS last_seen FROM b GROUP BY credential_id, source_type, source_uri, path, commit_sha)"""
 _CREDENTIALS = """c AS (SELECT g.credential_id AS id, fingerprint, CASE WHEN instr(kind, '-') > 1 THEN split_part(kind, '-', 1) ELSE kind END AS provider, kind, 'active' AS status, first_seen, last_seen, exposure_count
  FROM (SELECT credential_id, min(fingerprint) AS fingerprint, arg_min(rule_id, row_no) AS kind, min(created_at) AS first_seen, max(created_at) AS last_seen FROM b GROUP BY credential_id) g
  JOIN (SELECT credential_id, count(*) AS exposure_count FROM e GROUP BY credential_id) n USING (credential_id))"""
@@ -67,13 +67,36 @@ def correlation_documents(spark, sf_dir):
     return render.correlation_documents(correlate.credentials(f), correlate.exposures(f))
 
 
+@registry.add("correlation_lines", _ALL + """, i AS (SELECT 'inc_' || substr(sha256('incident:' || id), 1, 16) AS id, id AS credential_id, exposure_count FROM c)
+SELECT 'credential' AS kind, id, '{"id":"' || id || '","fingerprint":' || to_json(fingerprint) || ',"provider":' || to_json(provider) || ',"kind":' || to_json(kind) || ',"status":"active","exposure_count":' || exposure_count || '}' AS document FROM c
+UNION ALL SELECT 'exposure', id, '{"id":"' || id || '","credential_id":"' || credential_id || '","source_type":' || to_json(source_type) || ',"source_uri":' || to_json(source_uri) || ',"path":' || to_json(path) || ',"commit_sha":' || to_json(commit_sha) || '}' FROM e
+UNION ALL SELECT 'incident', id, '{"id":"' || id || '","credential_id":"' || credential_id || '","status":"open","exposure_count":' || exposure_count || '}' FROM i""")
+def correlation_lines(spark, sf_dir):
+    f = _findings(spark, sf_dir)
+    c, e, i = correlate.credentials(f), correlate.exposures(f), correlate.incidents(f)
+    times = ("first_seen", "last_seen", "created_at", "updated_at")
+    return render.correlation_lines(*[x.drop(*times) for x in (c, e, i)])
+
+
+@registry.add("findings_round_trip", "SELECT rule_id, count(*) AS findings, round(sum(confidence), 6) AS confidence, count(DISTINCT finding_id) AS ids, sum(secret_length)::BIGINT AS length FROM (SELECT coalesce(rule_id, '') AS rule_id, confidence, finding_id, secret_length FROM findings) GROUP BY rule_id")
+def findings_round_trip(spark, sf_dir):
+    """All findings written as JSON documents by all tasks and read back."""
+    f = table(spark, sf_dir, "findings").withColumnsRenamed({"finding_id": "id", "secret_length": "length"})
+    path = new_path(spark, "findings-json")
+    render.write_json(f, path)
+    got = files.findings_json(spark, path, multi_line=False)
+    return got.groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings"), F.round(F.sum("confidence"), 6).alias("confidence"), F.count_distinct("id").alias("ids"), F.sum("length").alias("length"))
+
+
 @registry.add("upsert_latest", """
 SELECT finding_id, arg_max(state, ingested_at) AS state, max(epoch_us(ingested_at)) AS ingested_at FROM
  (SELECT finding_id, state, ingested_at FROM findings) GROUP BY finding_id""")
 def upsert_latest(spark, sf_dir):
     """Re-delivered findings merged by id, the latest delivery winning."""
     f = table(spark, sf_dir, "findings").select("finding_id", "state", "ingested_at")
-    out = correlate.upsert(spark.createDataFrame([], f.schema), f, ["finding_id"], "ingested_at")
+    # what is there already claims to be newer: a change replaces it all the same
+    base = f.groupBy("finding_id").agg(F.lit("STALE").alias("state"), (F.max("ingested_at") + F.expr("INTERVAL 1 YEAR")).alias("ingested_at")).select(*f.columns)
+    out = correlate.upsert(base, f, ["finding_id"], "ingested_at")
     return out.select("finding_id", "state", _us("ingested_at"))
 
 
@@ -118,7 +141,9 @@ _KINDS = [("aws", "aws-session-pair", "session pair"), ("github", "github-app-to
 SELECT c.id, c.provider, coalesce(credential_type, 'unknown') AS credential_type, CASE WHEN credential_type IS NOT NULL THEN 0.3::DOUBLE ELSE 0.15::DOUBLE END AS confidence
 FROM c LEFT JOIN k ON k.provider = c.provider AND k.kind = c.kind WHERE c.provider IN (SELECT provider FROM k)""")
 def enrichments(spark, sf_dir):
-    return assess.enrich(correlate.credentials(_findings(spark, sf_dir)), spark.createDataFrame(_KINDS, "provider string, kind string, credential_type string"))
+    kinds = spark.createDataFrame(_KINDS, "provider string, kind string, credential_type string")
+    found, _ = assess.enrich_all(correlate.credentials(_findings(spark, sf_dir)), {"structural": lambda c: assess.enrich(c, kinds), "offline": lambda c: c.select("no_such_column")})
+    return found.drop("source")
 
 
 @registry.add("first_match_table", """
@@ -147,11 +172,15 @@ def illegal_steps(spark, sf_dir):
 _TOOLS = ", ".join(f"('{n}', '{s}', [{', '.join(repr(a) for a in args)}])" for n, s, args, _ in tools.CATALOGUE)
 
 
-@registry.add("list_findings", "SELECT finding_id, rule_id, severity, state FROM findings WHERE state = 'OPEN' AND source_type = 'ci' ORDER BY finding_id, row_no LIMIT 100")
+@registry.add("list_findings", "SELECT row_no, finding_id, rule_id, severity, state FROM findings WHERE state = 'OPEN' AND source_type = 'ci' ORDER BY row_no LIMIT 100")
 def list_findings(spark, sf_dir):
-    """The listing tool with its limit: a top-k by id."""
-    f = table(spark, sf_dir, "findings").where("state = 'OPEN' AND source_type = 'ci'")
-    return f.orderBy("finding_id", "row_no").limit(100).select("finding_id", "rule_id", "severity", "state")
+    """The listing tool with its limit: a top-k by key."""
+    return tools.listed(table(spark, sf_dir, "findings"), "row_no", 100, state="OPEN", source_type="ci", rule_id=None).select("row_no", "finding_id", "rule_id", "severity", "state")
+
+
+@registry.add("list_incidents", _ALL + "SELECT 'inc_' || substr(sha256('incident:' || id), 1, 16) AS id, id AS credential_id, exposure_count FROM c ORDER BY 1 LIMIT 50")
+def list_incidents(spark, sf_dir):
+    return tools.listed(correlate.incidents(_findings(spark, sf_dir)), "id", 50, status="open").select("id", "credential_id", "exposure_count")
 
 
 @registry.add("list_credentials", _ALL + "SELECT id, provider, kind, exposure_count FROM c WHERE provider = 'github' AND status = 'active'")
@@ -248,12 +277,13 @@ def url_canonical(spark, sf_dir):
     return a.select("artifact_id", weburl.canonical_url(F.col("uri")).alias("url"))
 
 
-@registry.add("url_dedup", """
-SELECT count(*) AS addresses, count(DISTINCT url) AS different FROM (SELECT DISTINCT regexp_replace(lower(regexp_extract(uri, '^[a-zA-Z]+://[^/?#]*')) || CASE WHEN regexp_extract(uri, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(uri, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) END, '(.)/$', '\\1')
- || CASE WHEN contains(uri, '?') THEN '?' || regexp_extract(uri, '\\?([^#]*)', 1) ELSE '' END AS url FROM artifacts WHERE uri LIKE 'http%')""")
+_URL = """regexp_replace(lower(regexp_extract(uri, '^[a-zA-Z]+://[^/?#]*')) || CASE WHEN regexp_extract(uri, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(uri, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) END, '(.)/$', '\\1')
+ || CASE WHEN contains(uri, '?') THEN '?' || regexp_extract(uri, '\\?([^#]*)', 1) ELSE '' END"""
+
+
+@registry.add("url_dedup", f"SELECT DISTINCT url, sha256(url) AS fingerprint FROM (SELECT {_URL} AS url FROM artifacts WHERE uri LIKE 'http%')")
 def url_dedup(spark, sf_dir):
-    a = table(spark, sf_dir, "artifacts").where("uri LIKE 'http%'")
-    return weburl.new_addresses(a, "uri").agg(F.count(F.lit(1)).alias("addresses"), F.count_distinct("fingerprint").alias("different"))
+    return weburl.new_addresses(table(spark, sf_dir, "artifacts").where("uri LIKE 'http%'"), "uri")
 
 
 @registry.add("domain_scope", r"""
@@ -289,33 +319,37 @@ def source_maps(spark, sf_dir):
 
 
 def _pages(spark, sf_dir):
-    """Pages around the scripts among the artifacts."""
-    a = table(spark, sf_dir, "artifacts").where(weburl.is_script(F.col("path")) & F.col("content").isNotNull())
+    """A page around every artifact's content."""
+    a = table(spark, sf_dir, "artifacts").where(F.col("content").isNotNull())
     html = F.concat(F.lit('<html><head><script src="/js/app.js#x"></script><script>'), F.regexp_replace("content", "(?i)</script", "<\\\\/script"), F.lit("</script></head><body><a href='next.html#top'>n</a><a href=\"lib.mjs\">m</a></body></html>"))
     return a.select("artifact_id", F.concat(F.lit("https://pages.test/"), F.col("artifact_id").cast("string"), F.lit("/index.html")).alias("url"), html.alias("html"))
 
 
-@registry.add("page_scripts", r"""
-SELECT artifact_id, CASE WHEN regexp_matches(content, '[^ \t\n\r\f\v\x{1C}-\x{1F}\x{85}\x{A0}\x{FEFF}]') OR length(trim(content)) > 0 THEN 1 ELSE 0 END::BIGINT AS inline_scripts FROM artifacts
-WHERE (lower(path) LIKE '%.js' OR lower(path) LIKE '%.mjs' OR lower(path) LIKE '%.cjs') AND content IS NOT NULL""")
+# what Python's strip takes from both ends of a script, and how the pages above escape an end tag
+_STRIPPED = r"regexp_replace(regexp_replace(content, '(?i)</script', '<\\/script', 'g'), '^[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{2028}\x{2029}\x{3000}]+|[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{2028}\x{2029}\x{3000}]+$', '', 'g')"
+
+
+@registry.add("page_scripts", f"SELECT artifact_id, sha256({_STRIPPED}) AS body_hash FROM artifacts WHERE content IS NOT NULL AND {_STRIPPED} != ''")
 def page_scripts(spark, sf_dir):
-    return weburl.parsed(_pages(spark, sf_dir)).select("artifact_id", F.size("inline").cast("long").alias("inline_scripts"))
+    return weburl.parsed(_pages(spark, sf_dir)).select("artifact_id", F.explode("inline").alias("body")).select("artifact_id", F.sha2("body", 256).alias("body_hash"))
 
 
-@registry.add("page_links")
+@registry.add("page_links", """
+SELECT artifact_id, unnest(['https://pages.test/js/app.js', 'https://pages.test/' || artifact_id || '/lib.mjs', 'https://pages.test/' || artifact_id || '/next.html']) AS link FROM artifacts WHERE content IS NOT NULL""")
 def page_links(spark, sf_dir):
+    """Scripts and pages that the pages link to; references inside scripts are those of source_maps."""
     p = weburl.parsed(_pages(spark, sf_dir))
-    return p.select("artifact_id", F.explode(F.concat("scripts", "links")).alias("link"))
+    return p.select("artifact_id", F.explode(F.concat(F.filter("scripts", lambda x: ~x.endswith(".map")), "links")).alias("link"))
 
 
-@registry.add("inline_script_dedup")
+@registry.add("inline_script_dedup", f"SELECT min(artifact_id) AS artifact_id, 0 AS no, h AS body_hash FROM (SELECT artifact_id, sha256({_STRIPPED}) AS h FROM artifacts WHERE content IS NOT NULL AND {_STRIPPED} != '') GROUP BY h")
 def inline_script_dedup(spark, sf_dir):
-    return weburl.inline_scripts(weburl.parsed(_pages(spark, sf_dir)), "artifact_id", ["url"]).select("artifact_id", "no", "body_hash")
+    return weburl.inline_scripts(weburl.parsed(_pages(spark, sf_dir)), "artifact_id", ["artifact_id"]).select("artifact_id", "no", "body_hash")
 
 
 @registry.add("crawl_round", """
 SELECT 'https://pages.test/' || artifact_id || '/next.html' AS url, 1 AS depth, sha256('https://pages.test/' || artifact_id || '/next.html') AS fingerprint FROM artifacts
-WHERE (lower(path) LIKE '%.js' OR lower(path) LIKE '%.mjs' OR lower(path) LIKE '%.cjs') AND content IS NOT NULL ORDER BY url LIMIT 100""")
+WHERE content IS NOT NULL ORDER BY url LIMIT 100""")
 def crawl_round(spark, sf_dir):
     """What one round of a crawl would claim: new addresses in scope, within its page budget."""
     links = weburl.parsed(_pages(spark, sf_dir)).select(F.explode("links").alias("url"), F.lit(1).alias("depth"))
@@ -346,21 +380,22 @@ def publishable_messages(spark, sf_dir):
 # --- streams, run to the end of what is there
 
 
-@registry.add("stream_detect", "SELECT count(*) AS artifacts FROM artifacts WHERE content LIKE '%ghp\\_%' ESCAPE '\\'")
+@registry.add("stream_detect", detect_queries.registry.sql["detect_by_rule"])
 def stream_detect(spark, sf_dir):
-    """Artifacts holding a literal, filtered as a stream and written by its sink."""
-    schema = table(spark, sf_dir, "artifacts").schema
-    s = streams.artifacts(spark, f"{sf_dir}/artifacts.parque[t]", schema)
+    """Findings of the stream of artifacts, written by its sink and counted by rule."""
+    s = streams.artifacts(spark, f"{sf_dir}/artifacts.parque[t]", table(spark, sf_dir, "artifacts").schema)
+    found = streams.detected(s, BUILTIN, detect_queries.OPTIONS).select("artifact_id", "rule_id", "fingerprint")
     out = new_path(spark, "stream-out")
-    streams.run_available(s.where(F.col("content").contains("ghp_")).select("artifact_id"), out, new_path(spark, "stream-mark"))
-    return spark.read.schema("artifact_id long").parquet(out).agg(F.count(F.lit(1)).alias("artifacts"))
+    streams.run_available(found, out, new_path(spark, "stream-mark"))
+    f = spark.read.schema(found.schema).parquet(out)
+    return f.groupBy("rule_id").agg(F.count(F.lit(1)).alias("matches"), F.count_distinct("fingerprint").alias("secrets"), F.count_distinct("artifact_id").alias("artifacts"))
 
 
 @registry.add("stream_findings", detect_queries.registry.sql["detect_findings"])
 def stream_findings(spark, sf_dir):
     """All rules with scores, bands and masks over the stream of artifacts, written by its sink: the rows of detect_findings."""
     s = streams.artifacts(spark, f"{sf_dir}/artifacts.parque[t]", table(spark, sf_dir, "artifacts").schema)
-    found = streams.detected(s, BUILTIN).select("artifact_id", "rule_id", "severity", "confidence", F.col("start").cast("long"), F.col("length").cast("long"), "masked_prefix")
+    found = streams.detected(s, BUILTIN, detect_queries.OPTIONS).select("artifact_id", "rule_id", "severity", "confidence", F.col("start").cast("long"), F.col("length").cast("long"), "masked_prefix")
     out = new_path(spark, "stream-out")
     streams.run_available(found, out, new_path(spark, "stream-mark"))
     return spark.read.schema(found.schema).parquet(out)
@@ -368,12 +403,21 @@ def stream_findings(spark, sf_dir):
 
 @registry.add("stream_dedup", registry.sql["url_dedup"])
 def stream_dedup(spark, sf_dir):
-    """Addresses of artifacts, each let through once by the stream: the counts of url_dedup."""
+    """Addresses of artifacts, each let through once by the stream: the rows of url_dedup."""
     s = streams.artifacts(spark, f"{sf_dir}/artifacts.parque[t]", table(spark, sf_dir, "artifacts").schema)
-    first = streams.first_seen(s.where("uri LIKE 'http%'").select("uri"), "uri").select("fingerprint")
+    first = streams.first_seen(s.where("uri LIKE 'http%'").select("uri"), "uri").select("url", "fingerprint")
     out = new_path(spark, "stream-out")
     streams.run_available(first, out, new_path(spark, "stream-mark"))
-    return spark.read.schema(first.schema).parquet(out).agg(F.count(F.lit(1)).alias("addresses"), F.count_distinct("fingerprint").alias("different"))
+    return spark.read.schema(first.schema).parquet(out)
+
+
+@registry.add("stream_publish", "SELECT count(*) AS messages, sum(strlen(text))::BIGINT AS bytes FROM documents WHERE strlen(text) <= 262144")
+def stream_publish(spark, sf_dir):
+    """Documents published as a stream of messages within the size limit, counted where they arrive."""
+    s = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")
+    out = new_path(spark, "stream-out")
+    streams.publish(s.select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("body")), out, new_path(spark, "stream-mark"))
+    return spark.read.schema("key string, body string").json(out).agg(F.count(F.lit(1)).alias("messages"), F.sum(F.octet_length("body")).cast("long").alias("bytes"))
 
 
 @registry.add("stream_windows", """
@@ -382,8 +426,9 @@ def stream_windows(spark, sf_dir):
     """Daily windows of events, counted as a stream in complete mode."""
     schema = table(spark, sf_dir, "events").schema
     s = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    name = "w" + next(tempfile._get_candidate_names())
     w = streams.counts(s.withColumn("ts", F.timestamp_micros(utc_micros(F.col("ts")))), "ts", ["event_type"], "1 day")
-    q = w.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", new_path(spark, "stream-mark")).trigger(availableNow=True).start()
+    out = new_path(spark, "stream-out")
+    # the whole counts of every trigger, written by the tasks; the last trigger's hold
+    q = w.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).outputMode("complete").option("checkpointLocation", new_path(spark, "stream-mark")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select("event_type", F.unix_micros("window.start").alias("window_start"), "row_count")
+    return spark.read.schema(w.schema).parquet(out).select("event_type", F.unix_micros("window.start").alias("window_start"), "row_count")

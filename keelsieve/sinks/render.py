@@ -77,6 +77,19 @@ def correlation_documents(credentials: DataFrame, exposures: DataFrame) -> DataF
     return credentials.select("id", "provider", "kind", "status", "exposure_count").join(e, "id")
 
 
+def correlation_lines(credentials: DataFrame, exposures: DataFrame, incidents: DataFrame, risk: DataFrame | None = None, enrichments: DataFrame | None = None) -> DataFrame:
+    """A correlation document as lines (``kind``, ``id``, ``document``): one per credential, exposure and incident, and per assessment and enrichment where given.
+
+    A line each, as a credential may have any number of exposures. What was not worked out has no line.
+    """
+    out = None
+    for kind, df in (("credential", credentials), ("exposure", exposures), ("incident", incidents), ("risk", risk), ("enrichment", enrichments)):
+        if df is not None:
+            rows = df.select(F.lit(kind).alias("kind"), "id", F.to_json(F.struct(*df.columns)).alias("document"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def publishable(messages: DataFrame, body: str = "body", most: int = MESSAGE_BYTES) -> DataFrame:
     """Messages within a queue's size limit."""
     return messages.where(F.octet_length(body) <= most)

@@ -55,9 +55,11 @@ def correlation_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 @dataclass(frozen=True)
 class Settings:
-    """Job settings; ``of`` takes defaults, then a file's values, then explicit ones, and refuses unknown keys."""
+    """Job settings; ``of`` takes defaults, then a file's values, then explicit ones, and refuses unknown keys and values of another type."""
 
-    rules_dir: str = ""
+    rules_dir: str = "builtin"
+    log_level: str = "info"
+    offline: bool = True
     min_band: str = "low_confidence"
     fail_on: str = ""
     output: str = "text"
@@ -67,12 +69,39 @@ class Settings:
 
     @classmethod
     def of(cls, file_values: dict | None = None, **explicit) -> Settings:
-        known = {f.name for f in fields(cls)}
+        kinds = {f.name: type(f.default) for f in fields(cls)}
         merged = {**(file_values or {}), **{k: v for k, v in explicit.items() if v is not None}}
-        unknown = sorted(set(merged) - known)
-        if unknown:
-            raise ValueError(f"unknown setting {unknown[0]}")
-        return cls(**merged)
+        for name, value in merged.items():
+            if name not in kinds:
+                raise ValueError(f"unknown setting {name}")
+            if type(value) is not kinds[name]:
+                raise ValueError(f"setting {name} needs {kinds[name].__name__}, not {type(value).__name__}")
+        out = cls(**merged)
+        if out.log_level not in ("debug", "info", "warn", "error"):
+            raise ValueError(f"invalid log_level {out.log_level!r}")
+        return out
+
+    @classmethod
+    def load(cls, path: str | Path, **explicit) -> Settings:
+        """From a YAML file. Needs PyYAML; a file of plain ``key: value`` lines is read without."""
+        text = Path(path).read_text()
+        try:
+            import yaml
+        except ImportError:
+            values = {}
+            for line in text.splitlines():
+                line = re.sub(r"(?:^|\s)#.*$", "", line).strip()
+                m = re.fullmatch(r"(\w+):\s*(.*)", line)
+                if line and not m:
+                    raise ValueError(f"not a plain setting: {line!r}") from None
+                if m:
+                    v = m[2].strip()
+                    values[m[1]] = {"true": True, "false": False}.get(v, int(v) if re.fullmatch(r"-?\d+", v) else v.strip("\"'"))
+        else:
+            values = yaml.safe_load(text) or {}
+        if not isinstance(values, dict):
+            raise ValueError("settings have to be keys with values")
+        return cls.of(values, **explicit)
 
 
 _FRONT = re.compile(r"\A---\s*\n(.*?)\n---\s*\n(.*)\Z", re.S)

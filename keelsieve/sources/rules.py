@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keelsieve.functions import patterns
+
 SEVERITIES = ("low", "medium", "high", "critical")
 
 
@@ -65,9 +67,11 @@ def validate(rules: Iterable[Rule]) -> tuple[Rule, ...]:
         if r.severity not in SEVERITIES:
             raise ValueError(f"rule {r.id!r}: unknown severity {r.severity!r}")
         try:
-            groups = re.compile(r.regex).groups
-        except re.error as e:
+            p = patterns.read(r.regex)
+            re.compile(p.plain())
+        except (ValueError, re.error) as e:
             raise ValueError(f"rule {r.id!r}: {e}") from None
+        groups = p.groups
         if not 0 <= r.secret_group <= groups:
             raise ValueError(f"rule {r.id!r}: secret_group {r.secret_group} of {groups}")
         seen[r.id] = r

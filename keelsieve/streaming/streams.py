@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from keelsieve.operators import detect, weburl
+from keelsieve.sinks import render
 from keelsieve.sources.rules import Rule
 
 
@@ -16,7 +17,7 @@ def artifacts(spark: SparkSession, path: str, schema: str, files_per_batch: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def detected(stream: DataFrame, rules: Iterable[Rule], options: detect.Options = detect.Options()) -> DataFrame:
+def detected(stream: DataFrame, rules: Iterable[Rule], options: detect.Options) -> DataFrame:
     """Findings of a stream of artifacts: the batch plan as it is, stateless."""
     return detect.detect(stream, rules, options)
 
@@ -47,3 +48,10 @@ def append_audit(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     query = stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def publish(messages: DataFrame, path: str, checkpoint: str, body: str = "body") -> StreamingQuery:
+    """Messages within the size limit as JSON lines, each once even after a restart, until what is there is written."""
+    query = render.publishable(messages, body).writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query

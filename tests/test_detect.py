@@ -10,6 +10,8 @@ from keelsieve.sources.rules import BUILTIN, Rule
 
 AWS = "AKIA" + "Q7ZK3M2P9X4W8T6R"
 GHP = "ghp_" + "a1B2" * 9
+KEY = b"a key of these tests"
+OPTIONS = detect.Options(KEY)
 
 
 def artifacts(spark, *texts):
@@ -17,7 +19,7 @@ def artifacts(spark, *texts):
 
 
 def found(spark, *texts, band="ignore"):
-    return detect.detect(artifacts(spark, *texts), BUILTIN, detect.Options(min_band=band)).orderBy("artifact_id", "rule_id", "start").collect()
+    return detect.detect(artifacts(spark, *texts), BUILTIN, detect.Options(KEY, band)).orderBy("artifact_id", "rule_id", "start").collect()
 
 
 def test_key_id_scores_and_mask(spark):
@@ -42,34 +44,34 @@ def test_unicode_neighbours_do_not_hide_a_match(spark):
 
 def test_defined_results_of_odd_contents(spark):
     assert not found(spark, None, "", "\x00 " + AWS, "no secrets here")
-    assert detect.detect(artifacts(spark, AWS).limit(0), BUILTIN).count() == 0
+    assert detect.detect(artifacts(spark, AWS).limit(0), BUILTIN, OPTIONS).count() == 0
     long = ("x " * 200_000) + AWS
     assert len(found(spark, long, long)) == 2
 
 
 def test_clashing_columns_give_way(spark):
     df = spark.createDataFrame([(1, AWS, "x", 5, "y", "z", None)], "artifact_id int, content string, rule_id string, start int, band string, score string, signals string")
-    (r,) = detect.detect(df, BUILTIN).collect()
+    (r,) = detect.detect(df, BUILTIN, OPTIONS).collect()
     assert r["rule_id"] == "aws-access-key-id" and r["start"] == 0
     answers = spark.createDataFrame([("a", 1, None, "old")], "match_id string, attempt int, raw string, classification string")
     assert review.first_valid(answers, "match_id").head()["classification"] == "uncertain"
 
 
 def test_findings_never_hold_the_value(spark):
-    df = detect.detect(artifacts(spark, f"k {AWS} {GHP}"), BUILTIN)
+    df = detect.detect(artifacts(spark, f"k {AWS} {GHP}"), BUILTIN, OPTIONS)
     text = json.dumps([r.asDict(True) for r in df.collect()], default=str)
     assert AWS not in text and GHP not in text
 
 
 def test_detection_does_not_shuffle(spark):
-    plan = detect.detect(artifacts(spark, AWS), BUILTIN)._jdf.queryExecution().executedPlan().toString()
+    plan = detect.detect(artifacts(spark, AWS), BUILTIN, OPTIONS)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
 
 
 def test_rules_are_checked():
     ok = Rule("a", "n", "x(y)", "low", 0.5, 1)
     assert [r.id for r in catalogue.validate([Rule("b", "n", "x", "low", 0.5), ok])] == ["a", "b"]
-    for bad in ([ok, ok], [Rule("", "n", "x", "low", 0.5)], [Rule("a", "n", "x", "odd", 0.5)], [Rule("a", "n", "x", "low", 1.5)], [Rule("a", "n", "x", "low", 0.5, 1)], [Rule("a", "n", "(", "low", 0.5)]):
+    for bad in ([Rule("a", "n", r"(?<=x)y", "low", 0.5)], [ok, ok], [Rule("", "n", "x", "low", 0.5)], [Rule("a", "n", "x", "odd", 0.5)], [Rule("a", "n", "x", "low", 1.5)], [Rule("a", "n", "x", "low", 0.5, 1)], [Rule("a", "n", "(", "low", 0.5)]):
         with pytest.raises(ValueError):
             catalogue.validate(bad)
     assert catalogue.checksum(BUILTIN) == catalogue.checksum(tuple(reversed(BUILTIN)))
@@ -110,6 +112,32 @@ def test_review_moves_scores_inside_the_band_only(spark):
     assert got == {"a": (0.899, True, True), "b": (0.7, False, True), "c": (0.95, True, False), "d": (0.8, False, False)}
 
 
+def test_second_opinions_show_on_the_finding(spark):
+    scored = detect.score(detect.matches(artifacts(spark, "eyJ" + "aB3dE6gH9j" * 2 + ".pQ4sT7vW0yZ1" + ".kL5nO8rU2xA4"), BUILTIN), BUILTIN).withColumn("match_id", F.lit("m"))
+    assert scored.head()["band"] == "llm_review"
+    answers = spark.createDataFrame([("m", "likely_secret", 0.5, "used")], "match_id string, classification string, verdict_confidence double, verdict_reason string")
+    (r,) = detect.findings(review.review(scored, answers, "match_id"), BUILTIN, OPTIONS).collect()
+    last = r["provenance"]["signals"][-1]
+    assert (last["name"], last["reason"]) == ("llm_review", "used") and r["metadata"]["llm_classification"] == "likely_secret" and r["metadata"]["band"] == "llm_review"
+    assert sum(s["score"] for s in r["provenance"]["signals"]) == pytest.approx(r["confidence"]) == pytest.approx(0.8)
+    none = spark.createDataFrame([], answers.schema)
+    assert review.review(scored, none, "match_id").head()["signals"] == scored.head()["signals"]
+
+
+def test_verdict_cache(spark):
+    at = "2025-01-01 00:10:00"
+    schema = "k string, answered_at timestamp, classification string"
+    when = lambda s: f"2025-01-01 00:{s}:00"
+    rows = [("old", when("01"), "uncertain"), ("new", when("09"), "uncertain"), ("twice", when("08"), "uncertain")]
+    cache = spark.createDataFrame(rows, "k string, t string, classification string").selectExpr("k", "to_timestamp(t) AS answered_at", "classification")
+    asked = spark.createDataFrame([("old",), ("new",), ("fresh",), ("fresh",), (None,)], "k string")
+    assert {r["k"] for r in review.questions(asked, cache, "k", at, 300).collect()} == {"old", "fresh"}
+    answers = spark.createDataFrame([("fresh", when("10"), "likely_secret", None), ("bad", when("10"), None, "no answer"), ("twice", when("10"), "likely_secret", None)], "k string, t string, classification string, verdict_error string")
+    after = review.cached_answers(cache, answers.selectExpr("k", "to_timestamp(t) AS answered_at", "classification", "verdict_error"), "k", at, 300, 10)
+    assert {r["k"]: r["classification"] for r in after.collect()} == {"new": "uncertain", "fresh": "likely_secret", "twice": "likely_secret"}
+    assert review.cached_answers(after, answers.selectExpr("k", "to_timestamp(t) AS answered_at", "classification").limit(0), "k", at, 300, 2).count() == 2
+
+
 def test_cache_keys_do_not_run_into_each_other(spark):
     df = spark.createDataFrame([("a", "bc"), ("ab", "c")], "x string, y string").select(review.cache_key(b"k", {"f": F.col("x"), "c": F.col("y")}))
     assert df.distinct().count() == 2
@@ -123,6 +151,24 @@ def test_fallback_chain(spark):
     assert got == {"x": "uncertain", "y": "likely_secret", "z": "uncertain"}
 
 
+def test_a_key_is_required():
+    with pytest.raises(TypeError):
+        detect.Options()
+    with pytest.raises(ValueError):
+        detect.Options(b"")
+
+
+@pytest.mark.parametrize("regex, group, text, want", [
+    (r"key=([a-z]+);", 1, "key=abcdefgh; next", ["abcdefgh"]), (r"(x)?key=([a-z]+)", 1, "key=abc xkey=abc", ["x"]), (r"(?P<k>[a-z]+)-(\d+)!", 2, "é ab-12! ab-13", ["12"]),
+    (r"(a|b(c))d", 2, "ad bcd", ["c"]), (r"(?:k(\d))+;", 1, "k1k2; k3;", ["2", "3"]), (r"id=(\d*)", 1, "id= id=7", ["", "7"]),
+])
+def test_spans_of_any_rule(spark, regex, group, text, want):
+    rule = Rule("mine", "n", regex, "low", 0.9, group)
+    rows = detect.matches(artifacts(spark, text, None, ""), [rule, *BUILTIN]).where("rule_id = 'mine'").orderBy("start").collect()
+    assert [bytes(r["value"]).decode() for r in rows] == want
+    assert all(text.encode()[r["start"] : r["stop"]] == bytes(r["value"]) for r in rows)
+
+
 def test_keys(tmp_path):
     (tmp_path / "k").write_bytes(b"secret\n")
     assert detect.load_key(str(tmp_path / "k")) == b"secret" and detect.load_key(None, "00ff") == b"\x00\xff" and len(detect.load_key()) == 32
@@ -146,7 +192,7 @@ def test_prompts(spark):
 
 
 def test_rendering(spark):
-    f = detect.detect(artifacts(spark, f"aws {AWS}", f"github {GHP}"), BUILTIN)
+    f = detect.detect(artifacts(spark, f"aws {AWS}", f"github {GHP}"), BUILTIN, OPTIONS)
     log = json.loads(render.sarif_log(f, "t", "1"))
     assert [r["id"] for r in log["runs"][0]["tool"]["driver"]["rules"]] == ["aws-access-key-id", "github-pat-classic"] and "commit" not in log["runs"][0]["results"][0]["properties"]
     assert render.fails(f, "high") and not render.fails(f, "critical")

@@ -4,10 +4,11 @@ import math
 import re
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from keelsieve.functions import normalise, textops
+from keelsieve.functions import normalise, patterns, textops
 from keelsieve.functions.normalise import MACHINE_ROOTS, _path
 
 ROOT = re.compile("(?:" + "|".join(MACHINE_ROOTS) + ")/")
@@ -48,14 +49,37 @@ def test_projection_keeps_byte_offsets(spark):
     assert [len(g) for g in got] == [len(t.encode()) for t in texts] and all(g.isascii() for g in got)
 
 
-@settings(max_examples=15, deadline=None)
-@given(st.lists(st.sampled_from(["password = \"hunter2hunter\"", "é", "\n", " token: 'aaaaaaaaaaaaaaaaaaaaaaaa' ", "x", "pwd='abc'", "語"]), max_size=12))
-def test_spans_match_a_byte_regex(spark, parts):
+FORMS = [
+    (r"key=([a-z]+);", 1), (r"(x)?key=([a-z]+)", 1), (r"(x)?key=([a-z]+)", 2), (r"(?i)(?P<n>key|pw)\s*=\s*(?:v([0-9]+)|[a-z]{2,});?", 1), (r"(?i)(?P<n>key|pw)\s*=\s*(?:v([0-9]+)|[a-z]{2,});?", 2),
+    (r"a(b(c)b)a", 2), (r"(ab)+", 1), (r"[[:alpha:]]+=", 0), (r"\w+$", 0), (r"(?m)^(\w)", 1), (r"x*", 0), (r"=(.+);", 1), (r"\Qkey=\E(\S+)", 1),
+]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.sampled_from(["key=abc;", "xkey=abc", "PW = v12;", "pw=zz", "abcba", "abab", " ", "\n", "é", "\r", "语", "k", "="]), min_size=1, max_size=10))
+def test_spans_equal_matches_on_bytes(spark, parts):
+    """Marked patterns in the JVM and plain ones in Python against Python's own engine on bytes."""
     text = "".join(parts)
-    for rx, group in ((r"""(?i)(password|passwd|pwd)\s*[:=]\s*["']([^"'\s]{8,})["']""", 2), (r"""(?i)(api[_-]?key|secret|token)\s*[:=]\s*["']([A-Za-z0-9_\-/+=]{20,})["']""", 2)):
-        got = spark.createDataFrame([(text,)], "t string").select(textops.byte_projection(F.col("t")).alias("p")).select(F.expr(textops.spans_sql("p", rx, group))).head()[0]
-        want = [m.span(group) for m in re.finditer(rx.encode(), text.encode())]
-        assert [(s["start"], s["stop"]) for s in got] == want
+    proj = spark.createDataFrame([(text,)], "t string").select(textops.byte_projection(F.col("t")).alias("p"))
+    known = proj.head()[0]
+    want, columns = [], []
+    for rx, group in FORMS:
+        p = patterns.read(rx)
+        want.append([m.span(group) for m in re.finditer(p.plain(), known) if m.start(group) >= 0])
+        marked = None if patterns.matches_nothing(p) else p.marked(group)
+        columns.append(F.expr(textops.spans_sql("p", *marked)) if marked else textops.spans_of(F.col("p"), [("r", p.plain(), group, ())]))
+    got = proj.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).head()
+    assert [[(s["start"], s["stop"]) for s in x] for x in got] == want
+
+
+def test_patterns_read_what_re2_reads():
+    for rx in ("(?=a)", "(?<!a)b", r"(a)\1", "a**", "a++", "(", "a)", "[a", "x{3,1}", "x{1001}", "*a", "(?P<a>x)(?P<a>y)", "(?x)a", r"\pL", "é", "\\"):
+        with pytest.raises(ValueError):
+            patterns.read(rx)
+    same = {r"^a.b$": ("a-b", "a\nb"), r"(?s)a.b": ("a\nb", "ab"), r"(?m)^a$": ("x\na\ny", "xa"), r"a{,2}": ("a{,2}", "aa"), r"[]a]+": ("]a", "b"), r"[^\s]x": ("ax", "\nx"), r"\s": ("\t", "\x0b"), r"[[:digit:]_]": ("7", "a"), r"\x41\z": ("xA", "A\n"), r"a{2}": ("aa", "a"), r"[a&&b]": ("&", "c")}
+    for rx, (yes, no) in same.items():
+        p = re.compile(patterns.read(rx).plain())
+        assert p.search(yes) and not p.search(no), rx
 
 
 def test_entropy_hmac_and_mask(spark):
@@ -79,7 +103,3 @@ def test_entropy_of_whole_texts(spark, tmp_path):
         v = (t or "").encode()
         assert abs(got[i] - -sum(c / len(v) * math.log2(c / len(v)) for c in Counter(v).values())) < 1e-6
     assert len(got) == len(texts)
-
-
-def test_byte_regex_rewrites_white_space_only():
-    assert textops.byte_regex(r"a\s[^\"'\s]\\s") == r"a[\t\n\f\r ][^\"'\t\n\f\r ]\\s"
