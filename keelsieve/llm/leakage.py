@@ -3,10 +3,12 @@
 Documents and items are cut into overlapping passages of words and weighted by TF-IDF (document
 frequencies over the whole corpus, words hashed to a fixed number of features). A
 randomised singular value decomposition, run as sums over partitions, gives the latent
-space; every passage of every document is projected and compared with all item passages
+space; every passage of every document is projected and compared with the item passages
 by cosine. Candidates are aligned word by word: a long common run seeds the alignment,
 which is extended both ways with the fewest changed, dropped or added words (the longest
-common subsequence under a limit on edits). Sentences that several items share are no item's own.
+common subsequence under a limit on edits). A candidate without such a run whose words still follow
+the item's for the most part (longest common subsequence) is reported as a paraphrase. Sentences
+that several items share are no item's own.
 """
 
 from __future__ import annotations
@@ -19,14 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from keelsieve.shared import materialise
 
 FEATURES = 1 << 14
 RANK, OVERSAMPLE, POWER = 128, 16, 2
-#: Passages of documents that the latent space is fitted on at most, those of the least hash; all passages are searched.
+#: Passages of documents that the latent space is fitted on at most, those of the least hash among all; as many of the items'.
 FIT_PASSAGES = 20_000
+#: Words of a block; passages of documents and items are runs of blocks.
+UNIT = 8
 PASSAGE, STRIDE = 40, 16
 ITEM_PASSAGE, ITEM_STRIDE = 24, 8
 #: Least cosine (in the latent space, over full norms) of a candidate.
@@ -35,16 +39,28 @@ CANDIDATE = 0.3
 LEAST_WORDS, EDIT_EVERY = 24, 10
 #: Words of a common run that seeds an alignment: 24 words with 2 edits always hold a run of 8, no allowed leak less than 7.
 SEED = 6
-#: Item passages compared at a time.
-BLOCK = 4096
-#: Items that one call takes: they are brought to every task. Larger sets go in parts.
-MOST_ITEMS = 20_000
+#: A paraphrase: least cosine, and least part of the item's words that a stretch of the document twice as long holds in order.
+PARAPHRASE_COSINE, PARAPHRASE_WORDS = 0.5, 0.6
+#: Item passages compared at a time, words of documents worked on at a time.
+BLOCK, CHUNK_WORDS = 4096, 16_384
+#: Items that go to the tasks together; more are taken in several parts.
+PART_ITEMS = 20_000
 
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿]")
 _TAG = re.compile(r"(?s)<!--.*?-->|</?[A-Za-z][^<>]{0,300}>")
 _LINK = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*(?:\s+\"[^\"]*\")?\)")
 _LINE_MARK = re.compile(r"(?m)^[ \t>]*(?:\[\d{1,2}:\d{2}(?::\d{2})?\][ \t]*(?:<?@?[\w.\-]{1,24}>?:)?|(?:user|assistant|human|system)[ \t]*:|<\|\w+\|>|[-*+•|]|\d{1,3}[.)]|#{1,6})?[ \t]*", re.I)
-_WORD = re.compile(r"[^\W_]+")
+
+
+class _Words(dict):
+    """Letters and digits as they are, apostrophes left out, anything else a blank."""
+
+    def __missing__(self, c: int) -> int | None:
+        self[c] = got = c if chr(c).isalnum() else None if chr(c) in "'\u2019" else 32
+        return got
+
+
+_WORDS = _Words()
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 
 
@@ -52,61 +68,78 @@ def words_of(text: str | None) -> list[str]:
     """Lower-case words without markup, layout, punctuation and invisible characters."""
     if not text:
         return []
-    t = _INVISIBLE.sub("", unicodedata.normalize("NFKC", html.unescape(text)))
+    t = html.unescape(text) if "&" in text else text
+    if not t.isascii():
+        t = _INVISIBLE.sub("", unicodedata.normalize("NFKC", t))
     if "<" in t:
         t = _TAG.sub(" ", t)
     if "](" in t:
         t = _LINK.sub(r"\1", t)
     t = _LINE_MARK.sub(" ", t)
-    return _WORD.findall(t.lower().replace("'", "").replace("’", ""))
-
-
-def own_words(items: list[tuple[int, str]]) -> dict[int, list[str]]:
-    """Words of each item without sentences that another item has as well."""
-    split = {i: [tuple(words_of(s)) for s in _SENTENCE.split(t or "")] for i, t in items}
-    uses: dict[tuple, int] = {}
-    for sentences in split.values():
-        for s in set(sentences):
-            uses[s] = uses.get(s, 0) + 1
-    return {i: [w for s in sentences if uses[s] == 1 for w in s] for i, sentences in split.items()}
-
-
-def _feature(words: list[str], known: dict) -> np.ndarray:
-    out = np.empty(len(words), dtype=np.int64)
-    for k, w in enumerate(words):
-        f = known.get(w)
-        if f is None:
-            f = zlib.crc32(w.encode()) & (FEATURES - 1)
-            if len(known) < 500_000:
-                known[w] = f
-        out[k] = f
-    return out
+    return t.lower().translate(_WORDS).split()
+
+
+class Hashes(dict):
+    """32-bit hashes of words, kept for half a million of them: what features and alignments are made of. Two words fall together once in four thousand million pairs."""
+
+    def __missing__(self, w: str) -> int:
+        got = zlib.crc32(w.encode())
+        if len(self) < 500_000:
+            self[w] = got
+        return got
+
 
+def hashed(words: list[str], known: Hashes) -> np.ndarray:
+    return np.array([known[w] for w in words], dtype=np.uint32).view(np.int32)
 
-def _starts(n: int, size: int, stride: int) -> list[int]:
-    return list(range(0, max(1, n - size + stride), stride)) if n else []
+
+def _features(words: np.ndarray) -> np.ndarray:
+    return words.astype(np.int64) & (FEATURES - 1)
+
+
+def tokenised(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key`` and ``words``, the hashed words of each text; NULL and empty texts have none."""
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        known = Hashes()
+        return pd.Series([hashed(words_of(t), known) for t in texts], dtype=object)
+
+    return df.select(key, run(text).alias("words"))
+
+
+def own_words(items: DataFrame) -> DataFrame:
+    """``item_id`` and ``words`` of each item without sentences that another item has as well."""
+
+    @F.pandas_udf("array<array<int>>")
+    def split(texts: pd.Series) -> pd.Series:
+        known = Hashes()
+        return pd.Series([[hashed(words_of(s), known) for s in _SENTENCE.split(t or "")] for t in texts], dtype=object)
+
+    rows = materialise(items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().select("item_id", F.xxhash64("text").alias("row"), split("text").alias("s")), "item-sentences")
+    rows = rows.select("item_id", "row", F.posexplode("s").alias("pos", "words")).withColumn("h", F.md5(F.array_join("words", ",")))
+    single = rows.groupBy("h").agg((F.min("item_id") == F.max("item_id")).alias("one")).where("one").select("h")
+    kept = rows.join(single, "h").groupBy("item_id", "row").agg(F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("s"))  # the sentences of one item
+    return kept.select("item_id", F.flatten(F.col("s.words")).alias("words")).where(F.size("words") >= LEAST_WORDS)
 
 
 # --- statistics and latent space
 
 
-def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+def document_frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
     """In how many documents each feature occurs, and how many documents there are, over all of them."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
         df = np.zeros(FEATURES, dtype=np.int64)
         n = 0
         for b in batches:
-            for t in b["text"]:
-                w = words_of(t)
-                n += 1
-                if w:
-                    df[np.unique(_feature(w, known))] += 1
+            n += len(b)
+            for w in b["words"]:
+                df[np.unique(_features(w))] += 1
         at = np.flatnonzero(df)
         yield pd.DataFrame({"f": np.append(at, -1), "n": np.append(df[at], n)})
 
-    got = texts.select("text").mapInPandas(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()  # FEATURES + 1 rows at most
+    got = words.select("words").mapInPandas(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()  # FEATURES + 1 rows at most
     df = np.zeros(FEATURES, dtype=np.int64)
     whole = got[got["f"] >= 0]
     df[whole["f"].to_numpy()] = whole["n"].to_numpy()
@@ -125,8 +158,8 @@ def _sum_over(passages: DataFrame, basis: np.ndarray, idf: np.ndarray, gram: boo
         b, weight = shared.value
         total = np.zeros((rows_out, b.shape[1]))
         for batch in batches:
-            for features, scale in zip(batch["features"], batch["scale"]):
-                f, tf = np.unique(np.asarray(features, dtype=np.int64), return_counts=True)
+            for words, scale in zip(batch["words"], batch["scale"]):
+                f, tf = np.unique(_features(np.asarray(words, dtype=np.int32)), return_counts=True)
                 x = tf * weight[f]
                 norm = np.sqrt((x * x).sum())
                 if not norm:
@@ -187,30 +220,56 @@ def _extend(a: list[str], b: list[str], most: int) -> list[int]:
     return best
 
 
-def leaked_words(item: list[str], doc: list[str], least: int = LEAST_WORDS, every: int = EDIT_EVERY) -> int:
+_GRAM = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SEED)], dtype=np.uint64)
+
+
+def _grams(words: np.ndarray) -> np.ndarray:
+    n = max(0, len(words) - SEED + 1)
+    w = words.view(np.uint32).astype(np.uint64) + np.uint64(1)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(SEED):
+        out += w[k : k + n] * _GRAM[k]
+    return out ^ (out >> np.uint64(32))
+
+
+class Item:
+    """An item made ready for alignment: its words and where each run of SEED words stands."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words, grams = words, _grams(words)
+        self.at: dict[int, list[int]] = {}
+        for i, g in enumerate(grams.tolist()):
+            self.at.setdefault(g, []).append(i)
+        self.grams = np.unique(grams)
+
+
+def leaked_words(item: Item, doc: np.ndarray, grams: np.ndarray, least: int = LEAST_WORDS, every: int = EDIT_EVERY) -> int:
     """Longest stretch of the item's words that the document holds with at most one edit in ``every`` words; 0 if below ``least``."""
-    if len(item) < least or len(doc) < least - least // every:
+    size_of = len(item.words)
+    if size_of < least or len(doc) < least - least // every:
+        return 0
+    near = np.minimum(np.searchsorted(item.grams, grams), len(item.grams) - 1)
+    hits = np.flatnonzero(item.grams[near] == grams)
+    if not len(hits):
         return 0
-    grams: dict[tuple, list[int]] = {}
-    for i in range(len(item) - SEED + 1):
-        grams.setdefault(tuple(item[i : i + SEED]), []).append(i)
     runs: list[tuple[int, int, int]] = []
     open_runs: dict[int, int] = {}  # diagonal -> index of its last run
-    for j in range(len(doc) - SEED + 1):
-        for i in grams.get(tuple(doc[j : j + SEED]), ()):
+    for j in hits.tolist():
+        for i in item.at[int(grams[j])]:
             k = open_runs.get(j - i)
             if k is not None and runs[k][1] + runs[k][2] - SEED + 1 == j:
                 runs[k] = (runs[k][0], runs[k][1], runs[k][2] + 1)
             else:
                 open_runs[j - i] = len(runs)
                 runs.append((i, j, SEED))
-    most = len(item) // every
+    words = item.words.tolist()
+    most = size_of // every
     best = 0
     for i, j, n in runs:
-        if n <= best:
-            pass
-        right = _extend(item[i + n :], doc[j + n : j + n + len(item) + most], most)
-        left = _extend(item[:i][::-1], doc[max(0, j - i - most) : j][::-1], most)
+        if best == size_of:
+            break
+        right = _extend(words[i + n :], doc[j + n : j + n + size_of + most].tolist(), most)
+        left = _extend(words[:i][::-1], doc[max(0, j - i - most) : j].tolist()[::-1], most)
         for x in range(len(left)):
             for y in range(len(right) - 1, -1, -1):
                 size = x + n + y
@@ -222,98 +281,164 @@ def leaked_words(item: list[str], doc: list[str], least: int = LEAST_WORDS, ever
     return best
 
 
+def common_words(item: np.ndarray, doc: np.ndarray) -> int:
+    """Length of the longest common subsequence of words, a bit per word of the item."""
+    where: dict[int, int] = {}
+    for i, w in enumerate(item.tolist()):
+        where[w] = where.get(w, 0) | (1 << i)
+    every = (1 << len(item)) - 1
+    v = every
+    for w in doc.tolist():
+        u = v & where.get(w, 0)
+        v = ((v + u) | (v - u)) & every
+    return len(item) - v.bit_count()
+
+
 # --- search
 
 
+def _blocks(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of texts laid end to end, a row per block of UNIT words, padded with FEATURES; and how many blocks each text has."""
+    counts = (lengths + UNIT - 1) // UNIT
+    out = np.full(counts.sum() * UNIT, FEATURES, dtype=np.int64)
+    shift = np.cumsum(counts * UNIT - lengths) - (counts * UNIT - lengths)  # padding before each text
+    out[np.arange(len(words)) + np.repeat(shift, lengths)] = _features(words)
+    return out.reshape(-1, UNIT), counts
+
+
+def passages(words: np.ndarray, lengths: np.ndarray, space: np.ndarray, weight: np.ndarray, size: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Latent vectors, over their full norms, of the overlapping passages of non-empty texts laid end to end; the text and the first word (in it) of each.
+
+    ``space`` and ``weight`` have a last row of nothing, for padding. A word given twice in a passage counts twice towards the vector, and as two words towards the norm."""
+    f, counts = _blocks(words, lengths)
+    blocks = space[f[:, 0]]
+    for k in range(1, UNIT):
+        blocks += space[f[:, k]]
+    squares = (weight[f] ** 2).sum(axis=1)
+    per, step = size // UNIT, stride // UNIT
+    number = np.maximum(1, -(-(counts - per) // step) + 1)
+    text = np.repeat(np.arange(len(lengths)), number)
+    begin = (np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)) * step
+    first = begin + np.repeat(np.cumsum(counts) - counts, number)
+    end = np.repeat(np.cumsum(counts), number)
+    blocks = np.vstack([blocks, np.zeros((1, blocks.shape[1]), dtype=blocks.dtype)])
+    squares = np.append(squares, 0.0)
+    vectors, norms = np.zeros((len(first), blocks.shape[1]), dtype=np.float32), np.zeros(len(first))
+    for k in range(per):
+        at = np.where(first + k < end, first + k, len(blocks) - 1)
+        vectors += blocks[at]
+        norms += squares[at]
+    return vectors / np.sqrt(np.maximum(norms, 1e-12))[:, None].astype(np.float32), text, begin * UNIT
+
+
+def _chunks(words: pd.Series) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about CHUNK_WORDS words; a longer text goes alone."""
+    start = total = 0
+    for i, w in enumerate(words):
+        if i > start and total + len(w) > CHUNK_WORDS:
+            yield start, i
+            start, total = i, 0
+        total += len(w)
+    if start < len(words):
+        yield start, len(words)
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, candidate: float = CANDIDATE, fit_passages: int = FIT_PASSAGES) -> DataFrame:
-    """``item_id``, ``doc_id``, ``cosine`` and ``words`` (longest leaked stretch) of every document that holds an item.
+    """``item_id``, ``doc_id``, ``kind``, ``cosine``, ``words`` and ``answered`` of every document that holds an item.
 
-    The items are the stated query set: they are brought to every task in full and compared in blocks, against all
-    documents; ValueError above MOST_ITEMS. Items without enough words of their own, and NULL or empty texts, leak nowhere. Repeated
-    documents are each reported; a doc_id given twice with one text appears once per row.
+    ``kind`` is ``quote`` (``words``: the longest leaked stretch) or ``paraphrase`` (``words``: those held in order). ``answered``
+    tells whether the document also has all words of the item's ``answer``, if items have such a column; else it is NULL. The
+    items are the stated query set: they go to every task in parts of PART_ITEMS and are compared in blocks, against all
+    documents. Items without enough words of their own, and NULL or empty texts, leak nowhere. Repeated documents are each
+    reported; a doc_id given twice with one text appears once per row.
     """
     spark = documents.sparkSession
-    if items.count() > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} items: give them in parts")
-    own = {i: w for i, w in own_words([(r["item_id"], r["text"]) for r in items.select("item_id", "text").collect()]).items() if len(w) >= LEAST_WORDS}
-    schema = "item_id long, doc_id long, cosine double, words int"
-    if not own:
+    schema = "item_id long, doc_id long, kind string, cosine double, words int, answered boolean"
+    own = materialise(own_words(items), "item-words")
+    number = own.count()
+    if not number:
         return spark.createDataFrame([], schema)
-    texts = documents.select("doc_id", "text")
+    texts = materialise(tokenised(documents, "doc_id"), "doc-words")
     df, n = document_frequencies(texts)
     idf = np.log((n + 1) / (df + 0.5)).clip(min=0.05)
-    known: dict = {}
-    owners, pieces = [], []
-    for i, w in own.items():
-        f = _feature(w, known)
-        for s in _starts(len(f), ITEM_PASSAGE, ITEM_STRIDE):
-            owners.append(i)
-            pieces.append(f[s : s + ITEM_PASSAGE])
-    owner = np.array(owners)
-    space = latent_space(_fit_passages(spark, texts, pieces, fit_passages), idf)
-    queries = np.zeros((len(pieces), space.shape[1]), dtype=np.float32)
-    for k, f in enumerate(pieces):
-        u, tf = np.unique(f, return_counts=True)
-        x = tf * idf[u]
-        queries[k] = (x @ space[u]) / np.sqrt((x * x).sum())
-    shared = spark.sparkContext.broadcast((space, idf, queries, owner, own))
+    space = latent_space(_fit_passages(texts, own, fit_passages), idf)
+    parts = -(-number // PART_ITEMS)
+    answers = items.select("item_id", "answer").where("answer IS NOT NULL") if "answer" in items.columns else None
+    out = None
+    for part in range(parts):
+        mine = F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part
+        wanted = [(r["item_id"], np.array(r["words"], dtype=np.int32)) for r in own.where(mine).collect()]  # PART_ITEMS or so
+        said = {r["item_id"]: np.unique(np.array(r["words"], dtype=np.int32)) for r in tokenised(answers, "item_id", "answer").where(mine).collect()} if answers is not None else {}
+        found = _search(texts, wanted, said, space, idf, candidate, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _search(texts: DataFrame, wanted: list, said: dict, space: np.ndarray, idf: np.ndarray, candidate: float, schema: str) -> DataFrame:
+    weighted = np.vstack([space * idf[:, None], np.zeros((1, space.shape[1]))]).astype(np.float32)
+    weight = np.append(idf, 0.0)
+    lengths = np.array([len(w) for _, w in wanted])
+    shared = texts.sparkSession.sparkContext.broadcast((weighted, weight, [i for i, _ in wanted], np.concatenate([w for _, w in wanted]) if wanted else np.zeros(0, np.int32), lengths, said))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v, weight, q, owned, wanted = shared.value
-        seen: dict = {}
-        weighted = v * weight[:, None].astype(np.float32)
+        latent, weight, names, flat, sizes, answers = shared.value
+        if not len(names):
+            return
+        q, owner, _ = passages(flat, sizes, latent, weight, ITEM_PASSAGE, ITEM_STRIDE)
+        cuts = np.cumsum(sizes)[:-1]
+        items = [Item(w) for w in np.split(flat, cuts)]
+        shortest = LEAST_WORDS - LEAST_WORDS // EDIT_EVERY
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                words = words_of(text)
-                if len(words) < LEAST_WORDS - LEAST_WORDS // EDIT_EVERY:
+            ids = batch["doc_id"].to_numpy()
+            words = [np.asarray(w, dtype=np.int32) for w in batch["words"]]
+            for lo, hi in _chunks(words):
+                docs = [k for k in range(lo, hi) if len(words[k]) >= shortest]
+                if not docs:
                     continue
-                f = _feature(words, seen)
-                best: dict[int, float] = {}
-                starts = _starts(len(f), PASSAGE, STRIDE)
-                for at in range(0, len(starts), 256):  # a long text goes through in pieces, all of it
-                    some = starts[at : at + 256]
-                    first, last = some[0], min(len(f), some[-1] + PASSAGE)
-                    sums = np.vstack([np.zeros((1, v.shape[1]), dtype=np.float64), np.cumsum(weighted[f[first:last]], axis=0, dtype=np.float64)])
-                    ends = [min(len(f), s + PASSAGE) for s in some]
-                    p = sums[[e - first for e in ends]] - sums[[s - first for s in some]]
-                    norms = np.empty(len(some))
-                    for k, (s, e) in enumerate(zip(some, ends)):
-                        u, tf = np.unique(f[s:e], return_counts=True)
-                        norms[k] = np.sqrt(((tf * weight[u]) ** 2).sum())
-                    p = (p / norms[:, None]).astype(np.float32)
-                    if np.sqrt((p * p).sum(axis=1)).max() < candidate:
-                        continue  # no cosine can reach it
+                p, text, begin = passages(np.concatenate([words[k] for k in docs]), np.array([len(words[k]) for k in docs]), latent, weight, PASSAGE, STRIDE)
+                able = np.flatnonzero(np.einsum("ij,ij->i", p, p) >= candidate * candidate)  # no other cosine can reach it
+                best: dict[tuple[int, int], tuple[float, int]] = {}
+                for at in range(0, len(able), 1024):
+                    some = able[at : at + 1024]
                     for b in range(0, len(q), BLOCK):
-                        cos = (p @ q[b : b + BLOCK].T).max(axis=0)
-                        for k in np.flatnonzero(cos >= candidate):
-                            i = int(owned[b + k])
-                            best[i] = max(best.get(i, 0.0), float(cos[k]))
-                for i, c in best.items():
-                    size = leaked_words(wanted[i], words)
+                        cos = p[some] @ q[b : b + BLOCK].T
+                        i, j = np.divmod(np.flatnonzero((cos >= candidate).ravel()), cos.shape[1])
+                        for x, y, c in zip(some[i].tolist(), owner[b + j].tolist(), cos[i, j].tolist()):
+                            key = (int(text[x]), y)
+                            if c > best.get(key, (0.0, 0))[0]:
+                                best[key] = (c, int(begin[x]))
+                grams: dict[int, np.ndarray] = {}
+                for (d, y), (c, start) in best.items():
+                    doc, item = words[docs[d]], items[y]
+                    if d not in grams:
+                        grams[d] = _grams(doc)
+                    size, kind = leaked_words(item, doc, grams[d]), "quote"
+                    if not size and c >= PARAPHRASE_COSINE:
+                        n = len(item.words)
+                        size, kind = common_words(item.words, doc[max(0, start - n // 2) : max(0, start - n // 2) + 2 * n]), "paraphrase"
+                        size = size if size >= max(LEAST_WORDS, PARAPHRASE_WORDS * n) else 0
                     if size:
-                        out.append((i, doc_id, c, size))
-            yield pd.DataFrame(out, columns=["item_id", "doc_id", "cosine", "words"])
+                        answer = answers.get(names[y])
+                        out.append((names[y], ids[docs[d]], kind, c, size, None if answer is None else bool(np.isin(answer, doc).all())))
+            yield pd.DataFrame(out, columns=["item_id", "doc_id", "kind", "cosine", "words", "answered"])
 
     return texts.mapInPandas(search, schema)
 
 
-def _fit_passages(spark: SparkSession, texts: DataFrame, pieces: list[np.ndarray], most: int) -> DataFrame:
-    """Passages to fit the latent space on: all of the items, and a bounded sample of the documents'.
+def _fit_passages(texts: DataFrame, own: DataFrame, most: int) -> DataFrame:
+    """Passages to fit the latent space on: at most ``most`` of all documents' and as many of the items', those of the least hash.
 
     Item passages carry half of the weight, so that the space keeps what tells items apart."""
 
-    @F.pandas_udf("array<array<int>>")
-    def cut(t: pd.Series) -> pd.Series:
-        out = []
-        for x in t:
-            f = _feature(words_of(x), {})
-            out.append([f[s : s + PASSAGE].tolist() for s in _starts(len(f), PASSAGE, PASSAGE)][:64])
-        return pd.Series(out, dtype=object)
-
-    chosen = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, most // 8))
-    sample = materialise(chosen.select(F.explode(cut("text")).alias("features")).limit(most), "fit-passages")
-    count = sample.count()
-    scale = float(np.sqrt(max(1, count) / max(1, len(pieces))))
-    items = spark.createDataFrame([([int(x) for x in f], scale) for f in pieces], "features array<int>, scale double")
-    return materialise(sample.withColumn("scale", F.lit(1.0)).unionByName(items).repartition(6), "fit-rows")
+    def cut(df: DataFrame, key: str, size: int, stride: int) -> DataFrame:
+        starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(stride))
+        rows = df.where(F.size("words") > 0).select(key, F.explode(F.transform(starts, lambda s: F.struct(s.alias("s"), F.slice("words", s + 1, F.lit(size)).alias("words")))).alias("x")).select(key, "x.*")
+        return rows.orderBy(F.xxhash64(key, "s"), key, "s").limit(most).select("words")
+
+    spark = texts.sparkSession
+    sample = materialise(cut(texts, "doc_id", PASSAGE, PASSAGE), "fit-passages")
+    mine = materialise(cut(own, "item_id", ITEM_PASSAGE, ITEM_STRIDE), "fit-items")
+    scale = float(np.sqrt(max(1, sample.count()) / max(1, mine.count())))
+    rows = sample.withColumn("scale", F.lit(1.0)).unionByName(mine.withColumn("scale", F.lit(scale)))
+    return materialise(rows.repartition(spark.sparkContext.defaultParallelism), "fit-rows")
