@@ -43,10 +43,6 @@ PAIR = re.compile(r"(?i)(?:[;?&\s\"'`]|^)(?:password|passwd|pwd)=([^;&\s\"'`]+)"
 PAIR_HINT = re.compile(r"(?i)(?:server|host|data source|user id|user|uid|database|sslmode)=|jdbc:")
 AUTHORIZATION = re.compile(r"(?i)\b(bearer|basic)\s+([A-Za-z0-9+/=_.~\-]{8,})")
 BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----")
-# A line without any of these (in lower case) holds no credential.
-_HINTS = (
-    "pass pwd kennwort secret token pw key auth cred bearer basic :// login akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat glpat- xox k_live_ k_test_ aiza sg. npm_ pypi- eyj curl mysql mariadb pem signin value"
-).split()
 LITERAL = re.compile(r'"((?:\\.|[^"\\])*)"|\'((?:\\.|[^\'\\])*)\'|`([^`]*)`')
 _NAME = r"[A-Za-z_$][\w.$\-]*"
 _BEFORE = [
@@ -57,6 +53,11 @@ _BEFORE = [
     re.compile(r"\bset([A-Z]\w*)\(\s*$"),
     re.compile(r"(?:[\"'`]|\b)(" + _NAME + r")(?:[\"'`])?\s*\]?\s*(?:\[\s*\])?(?:\s*:?\s*(?:string|str|String|char\s*\*))?\s*(?::=|=>|===?|=|:)\s*$"),
 ]
+#: The value that is taken where a setting is absent: ``password = getenv("X", "...")``, ``token = env.X || "..."``.
+_DEFAULT = re.compile(r"(?:[\"'`]|\b)(" + _NAME + r")[\"'`]?\s*(?::\s*\w+\s*)?(?::=|=|:)\s*(?:[\w.\->]+\s*[(\[]\s*[\"'][^\"']*[\"']\s*(?:,\s*(?:default\s*=\s*)?$|[)\]]\s*(?:\|\||\?\?|\bor\b)\s*$)|[\w.]+\s*(?:\|\||\?\?|\bor\b)\s*$)")
+#: A line that leaves its value to the next one.
+_OPEN = re.compile(r"(?::=|=>|=|:)\s*\(?\s*\\?\s*$")
+_TRIPLE = re.compile(r'("""|\'\'\')((?:\\[\s\S]|(?!\1)[\s\S])+?)\1')
 _SECOND = re.compile(r"(?i)\b(?:login|auth|authenticate|signin|basic_auth|credentials)\w*\s*[=:]?\s*\(\s*([\"'`])[^\"'`]*\1\s*,\s*$")
 _PAIRED_NAME = re.compile(r"^\s*-?\s*(?:name|key)\s*[:=]\s*[\"']?([\w.\-]+)[\"']?\s*,?\s*$")
 _PAIRED_VALUE = re.compile(r"^\s*-?\s*value\s*[:=]\s*")
@@ -82,6 +83,13 @@ _CAMEL = re.compile(r"_*[A-Za-z]+(?:_[A-Za-z]+)*")
 #: Operands joined by operators, numbers and names with members.
 _EXPRESSION = re.compile(r"[!&*+\-~]*(?:[A-Za-z_$][\w$]*[!?]?|\d[\d_.]*(?:[eE]\d+)?[A-Za-z]{0,2}|0x[0-9a-fA-F]+)(?:(?:\.|->|::|\?\.|[-+*/%|&^<>=?:]+)(?:[A-Za-z_$][\w$]*[!?]?|\d[\w.]*))*")
 _REFERENCE = re.compile(r"(?i)\$\{|\$\(|^\$|\{\{|%\(|^%\w+%$|^<.*>$|^\[.*\]$|^(?:ref\+|ssm:|vault:|arn:|secretkeyref|env:|env\.|file:|op://|kv/|@|\*|&)|getenv|environ|process\.env|secrets?\.|^https?://[^@]*$")
+#: What one of the forms below has in lower case; lines without any are passed over. Names come from the vocabularies above, so
+#: that the test is never narrower than they are: a word that ends in or holds a shorter one of the list is left to that one.
+_NAMED = sorted(CREDENTIAL_WORDS | {"key", "pem"})
+_HINTS = tuple(w for w in _NAMED if not any(v != w and v in w for v in _NAMED)) + (
+    "://", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat", "glpat-", "xox", "k_live_", "k_test_", "aiza", "sg.", "npm_", "pypi-", "eyj",
+    "basic", "login", "signin", "authenticate", "curl", "mysql", "mariadb", "value",
+)
 _SEALED = re.compile(r"(?i)^(?:ENC\[|\$2[abxy]?\$|\$[156y]\$|\$argon2|\$pbkdf2|pbkdf2|scrypt:|bcrypt|\{(?:ssha|sha|crypt|cipher)\}|sha(?:1|224|256|384|512)[:\-]|[\w.\-]+:hmac-sha\d+:|-----BEGIN|ssh-(?:rsa|ed25519) |data:|AQICAH|vault:v\d)")
 
 
@@ -123,6 +131,28 @@ def _stand_in(value: str) -> bool:
     return any(w in plain for w in ("notareal", "changeme", "placeholder", "yourpassword", "insertpassword", "replaceme"))
 
 
+# Words of sentences, which a pass phrase does without.
+_SENTENCE_WORDS = frozenset("a an and any are as at be by can cannot could do does enter failed for from has have if in invalid is it its may must no not of on or our please should that the this to too was were when will with wrong you your".split())
+_PHRASE_NAMES = frozenset("password passwd passphrase passcode pwd pw pass kennwort passwort".split())
+
+
+def phrase(value: str, name: str) -> bool:
+    """Whether a quoted value of something named like a password is a pass phrase: words that make no sentence and name nothing themselves, or one long such word."""
+    words = _words(name)
+    if not words or not any(w in _PHRASE_NAMES or w.endswith(("password", "passwd", "passphrase")) for w in words[-2:]) or words[-1] in OTHER_WORDS:
+        return False
+    v = value.strip()
+    parts = re.split(r"[\s\-_.]+", v)
+    if len(v) > 120 or not all(re.fullmatch(r"[A-Za-z0-9!?@#$%^&*+=,']+", x) for x in parts) or _stand_in(v.replace(" ", "-")):
+        return False
+    low = [x.lower() for x in parts]
+    if any(w in _SENTENCE_WORDS or w in OTHER_WORDS or w in CREDENTIAL_WORDS or w in KEY_QUALIFIERS for w in low):
+        return False
+    if len(parts) == 1:
+        return v.isalpha() and v.islower() and len(v) >= 12 and not any(w in v for w in (*CREDENTIAL_WORDS, *OTHER_WORDS, *STAND_IN_WORDS) if len(w) > 3)
+    return 3 <= len(parts) <= 12 and len(v) >= 12 and not v.endswith((".", "!", "?"))
+
+
 def plausible(value: str, least: int = 5) -> bool:
     """Whether a literal can be a secret at all: no placeholder, reference, hash, ciphertext or plain word."""
     v = value.strip()
@@ -213,10 +243,10 @@ def find(text: str | None, path: str = "") -> list[tuple[int, int, int, str]]:
         offsets.append(at)
         at += len(x) + 1
     for m in BEGIN.finditer(text):
-        if "ENCRYPTED" in m[1] or text[m.start() : m.end() + 300].find("Proc-Type: 4,ENCRYPTED") >= 0:
-            continue
         end = text.find("-----END", m.end())
         end = end if end >= 0 else len(text)
+        if "ENCRYPTED" in m[1] or text.find("Proc-Type: 4,ENCRYPTED", m.end(), end) >= 0:
+            continue
         body = [b for b in re.finditer(r"[A-Za-z0-9+/=]{4,}", text[m.end() : end])]
         body = [b for b in body if not (b[0][0] in "nr" and text[m.end() + b.start() - 1] == "\\" and len(b[0]) == 1)]
         if sum(len(b[0]) for b in body) < 40:
@@ -226,6 +256,16 @@ def find(text: str | None, path: str = "") -> list[tuple[int, int, int, str]]:
         for b in body:
             shift = 1 if text[m.end() + b.start() - 1] == "\\" and b[0][0] in "nr" else 0
             found.append((line, m.end() + b.start() + shift, m.end() + b.end(), "private key"))
+    for m in _TRIPLE.finditer(text):
+        inner = m[2]
+        line_start = text.rfind("\n", 0, m.start()) + 1
+        p = _BEFORE[-1].search(text[line_start : m.start()])
+        value = inner.strip()
+        if p and names_credential(p[1]) and not re.search(r"\s", value) and plausible(value):
+            start = m.start(2) + len(inner) - len(inner.lstrip())
+            add(text.count("\n", 0, start) + 1, start, start + len(value), "named literal")
+    # a name may stand at the end of the line before its value
+    hinted = sorted({*hinted, *(i + 1 for i in hinted if i + 1 < len(lines) and _OPEN.search(lines[i]))})
     skip_to = -1
     for i in hinted:
         line = lines[i]
@@ -254,12 +294,16 @@ def find(text: str | None, path: str = "") -> list[tuple[int, int, int, str]]:
             if (basic and _login(m[2])) or (not basic and len(m[2]) >= 16 and plausible(m[2])):
                 add(no, base + m.start(2), base + m.end(2), "authorization")
         literals = list(LITERAL.finditer(line))
-        for m in literals:
+        above = ""
+        if i and literals and not line[: literals[0].start()].strip() and _OPEN.search(lines[i - 1]):
+            above = re.sub(r"\(?\s*\\?\s*$", "", lines[i - 1])
+        for number, m in enumerate(literals):
             g = m.lastindex or 1
             value, start, end = m[g] or "", m.start(g), m.end(g)
             if len(value) < 3:
                 continue
-            before = line[max(0, m.start() - 160) : m.start()]
+            # whatever names a value stands after the third literal before it
+            before = line[literals[number - 3].start() if number > 2 else 0 : m.start()] if number or not above else above
             name = paired if paired and _PAIRED_VALUE.fullmatch(line[: m.start()]) else None
             second = False
             if name is None:
@@ -270,6 +314,10 @@ def find(text: str | None, path: str = "") -> list[tuple[int, int, int, str]]:
                         break
                 else:
                     second = bool(_SECOND.search(before))
+                if name is None or not names_credential(name):
+                    p = _DEFAULT.search(before)
+                    if p and names_credential(p[1]):
+                        name = p[1]
                 if name is not None and not names_credential(name) and rx is _BEFORE[2]:
                     second = bool(_SECOND.search(before))
             # the value may go on in literals of the following lines
@@ -291,7 +339,7 @@ def find(text: str | None, path: str = "") -> list[tuple[int, int, int, str]]:
                 tested = _decoded(whole) if sealed_manifest and _decoded(whole) else whole
                 if name.lower().split(".")[-1] == "auth" and _login(whole):
                     kind = "encoded login"
-                elif plausible(tested):
+                elif plausible(tested) or phrase(tested, name):
                     kind = "named literal"
             elif second and plausible(whole):
                 kind = "passed literal"
@@ -336,13 +384,22 @@ def find(text: str | None, path: str = "") -> list[tuple[int, int, int, str]]:
     return found
 
 
+#: An escape is one unit, so that what is left of a literal never holds half of one. Line ends, quotes and backslashes stay as they are.
+_UNIT = re.compile(r"\\(?:x[0-9A-Fa-f]{1,2}|u\{[0-9A-Fa-f]+\}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|N\{[^}\n]*\}|[0-7]{1,3}|\r?\n|[\s\S])|[\s\S]")
+
+
+def _masked(m: re.Match) -> str:
+    t = m[0]
+    return t if t in ("\n", "\r") or (t[0] == "\\" and t[1:] in ("\n", "\r\n", "n", "r", "t", "\\", '"', "'", "`", "$")) else "*" * len(t)
+
+
 def mask(text: str | None, spans: list[tuple[int, int, int, str]]) -> str | None:
-    """``text`` with letters and digits of the spans replaced, escapes and everything outside them kept."""
+    """``text`` with the characters of the spans replaced, escapes of line ends and delimiters and everything outside them kept."""
     if not text or not spans:
         return text
     out, at = [], 0
     for _, start, end, _ in spans:
-        out += [text[at:start], re.sub(r"(\\.)|[^\\]", lambda m: m[1] or "*", text[start:end])]
+        out += [text[at:start], _UNIT.sub(_masked, text[start:end])]
         at = end
     return "".join([*out, text[at:]])
 
