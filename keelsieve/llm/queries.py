@@ -23,6 +23,13 @@ def p1_found(spark, sf_dir):
     return provenance.label_files(spread(table(spark, sf_dir, "artifacts"), "artifact_id")).where("p_handwritten < 0.5").select("artifact_id")
 
 
+@registry.add("p1_links")
+def p1_links(spark, sf_dir):
+    """Every file with its class of copies and near copies, and the size of that class."""
+    found = provenance.copy_classes(spread(table(spark, sf_dir, "artifacts"), "artifact_id"))
+    return found.join(found.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "class_id")
+
+
 @registry.add("p1_labels")
 def p1_labels(spark, sf_dir):
     return provenance.label_files(spread(table(spark, sf_dir, "artifacts"), "artifact_id"))
@@ -206,16 +213,23 @@ def p9_profile(spark, sf_dir):
 # --- 7. evaluation items in training text
 
 
+def _leaks(spark, sf_dir):
+    return leakage.find_leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), table(spark, sf_dir, "eval_items"))
+
+
 @registry.add("p7_found")
 def p7_found(spark, sf_dir):
-    found = leakage.find_leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), table(spark, sf_dir, "eval_items"))
-    return found.select("item_id", "doc_id").distinct()
+    return _leaks(spark, sf_dir).where("kind = 'quote'").select("item_id", "doc_id").distinct()
 
 
 @registry.add("p7_items")
 def p7_items(spark, sf_dir):
     """Leaked items with the number of documents and the longest leaked stretch."""
-    found = leakage.find_leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), table(spark, sf_dir, "eval_items"))
-    items = table(spark, sf_dir, "eval_items").select("item_id", "suite")
-    got = found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.max("words").alias("longest"))
-    return items.join(got, "item_id")
+    got = _leaks(spark, sf_dir).where("kind = 'quote'").groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.max("words").alias("longest"))
+    return table(spark, sf_dir, "eval_items").select("item_id", "suite").join(got, "item_id")
+
+
+@registry.add("p7_paraphrases")
+def p7_paraphrases(spark, sf_dir):
+    """Documents that hold most of an item's words in order without a leaked stretch."""
+    return _leaks(spark, sf_dir).where("kind = 'paraphrase'").groupBy("item_id", "doc_id").agg(F.max("words").alias("words"), F.round(F.max("cosine"), 3).alias("cosine"))
