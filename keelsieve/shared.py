@@ -37,6 +37,46 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, system = _file(spark, path)
+    return system.exists(p)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder."""
+    p, system = _file(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(p) if f.isDirectory()]
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file of the driver's, whole."""
+    p, system = _file(spark, path)
+    stream = system.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of the driver's: written beside and moved, so that a reader finds the old or the new one."""
+    p, system = _file(spark, path)
+    beside, _ = _file(spark, path + ".new")
+    stream = system.create(beside, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    system.delete(p, False)
+    if not system.rename(beside, p):
+        raise OSError(f"cannot write {path}")
+
+
 def write_table(df: DataFrame, path: str) -> DataFrame:
     """Write and read back: cuts the lineage and survives the loss of executors."""
     df.write.mode("overwrite").parquet(path)
