@@ -1,33 +1,35 @@
 """New batches against all history: multi-key sorted-neighbourhood over persisted runs.
 
-A *run* is a table of distinct (key, commit) with their first row, sorted inside fixed
-key ranges. The key hashes fingerprint, checkout path and the commit's first seven
-digits, so that equal records are neighbours and no key can grow hot. A record whose
-path hangs below an unknown machine root has a further key for each ending of that
-path, and so sorts beside the relative path it may name. A batch becomes a run of its
-own; only the windows of persisted runs around its keys are read, picked by a filter of
-fixed size; a scan over the sorted union compares each new entry with the neighbours
-whose commits begin with its own or the other way round. Runs are merged in tiers.
+A *run* is a table of distinct (fingerprint, path, commit) with their first row, in folders of
+fixed key ranges, sorted inside each by fingerprint, path and commit, so that equal records are
+neighbours. Ranges hash fingerprint and path, so that no fingerprint makes one grow hot. A record
+whose path hangs below an unknown machine root has a further key for each ending of that path,
+and so sorts beside the relative path it may name. Beside each range lies a filter of its keys.
+
+A batch becomes a run of its own. Its keys are tested against the filters of the older runs; only
+the folders of ranges that may hold one are read, and of those only the windows around the
+batch's keys. A scan over the sorted union compares each new entry with the neighbours whose
+commits begin with its own or the other way round. Runs are merged in tiers. A store is a folder
+with a list of its runs: it can be opened again, and the history is never laid a second time.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import json
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from keelsieve.functions.normalise import checkout_path, commit_id, fingerprint_hex
-from keelsieve.shared import new_path, remove, write_table
-
-#: Rows that one file of a run is meant to hold; small runs get up to one file per shuffle partition.
-FILE_ROWS, LEAST_ROWS = 1_000_000, 100_000
-#: Key ranges per file: several, so that hashing ranges to files comes out even.
-RANGES_PER_FILE = 8
-#: Bits of the window filter that goes to every executor: 4 MB, whatever the batch holds.
-#: A batch too large for it lets more of the old runs through and changes no result.
-FILTER_BITS = 1 << 25
+from keelsieve.llm import membership
+from keelsieve.shared import exists, folders, materialise, new_path, read_text, remove, write_table, write_text
+
+#: Rows that a key range is meant to hold when a store is made; and its least and greatest number of ranges.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 250_000, 8, 4096
 COMPACT_EVERY = 4
-_ENTRY = "k binary, commit string, seq long, origin binary"
+_ENTRY = "fp string, p string, commit string, seq long, origin binary"
+_LIST = "runs.json"
 
 
 def normalised(df: DataFrame, *keep: str) -> DataFrame:
@@ -37,40 +39,17 @@ def normalised(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def entries(rows: DataFrame, seq: Column) -> DataFrame:
-    """Sorted-neighbourhood entries: ``k``, ``commit``, least ``seq``, and the ``origin`` of keys made from a path's ending."""
+    """Sorted-neighbourhood entries: ``fp``, ``p``, ``commit``, least ``seq``, and the ``origin`` of keys made from a path's ending."""
     parts = F.split(F.expr("substring(p, 3)"), "/")
     ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
     unknown = F.col("p").startswith("//")
     keys = F.when(unknown, F.concat(F.array("p"), ends)).otherwise(F.array("p"))
     rows = rows.select("fp", "commit", seq.cast("long").alias("seq"), F.col("p").alias("whole"), F.explode(keys).alias("p"))
-    key = F.unhex(F.md5(F.concat_ws("\n", "fp", "p", F.substring("commit", 1, 7))))
     origin = F.when(F.col("p") != F.col("whole"), F.unhex(F.md5("whole")))
-    return rows.groupBy(key.alias("k"), "commit", origin.alias("origin")).agg(F.min("seq").alias("seq")).select("k", "commit", "seq", "origin")
-
-
-class _Filter:
-    """Which keys a batch touches, as a fixed number of bits."""
-
-    def __init__(self, spark: SparkSession, keys: DataFrame, bits: int) -> None:
-        at = keys.select(F.pmod(F.xxhash64("k"), F.lit(bits)).alias("b"))
-        words = at.select((F.col("b") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
-        got = words.toPandas()  # at most bits / 64 numbers
-        filled = np.zeros(bits // 64, dtype=np.int64)
-        filled[got["w"].to_numpy(dtype=np.int64)] = got["v"].to_numpy(dtype=np.int64)
-        self.bits, self.shared = bits, spark.sparkContext.broadcast(filled)
+    return rows.groupBy("fp", "p", "commit", origin.alias("origin")).agg(F.min("seq").alias("seq")).select("fp", "p", "commit", "seq", "origin")
 
-    def touched(self) -> Column:
-        bits, shared = self.bits, self.shared
 
-        @F.pandas_udf("boolean")
-        def run(h: pd.Series) -> pd.Series:
-            b = np.mod(h.to_numpy(dtype=np.int64), bits)
-            return pd.Series((shared.value[b // 64] >> (b % 64)) & 1 == 1)
-
-        return run(F.xxhash64("k"))
-
-
-_NONE = np.iinfo(np.int64).max
+_NONE = (1 << 63) - 1
 
 
 class _Open:
@@ -90,7 +69,7 @@ def _least(*pairs: tuple[int, int]) -> tuple[int, int]:
 
 
 def _scan(batches):
-    """Of each new entry among entries sorted by key and commit: whether an earlier row is equal to it."""
+    """Of each new entry among entries sorted by fingerprint, path and commit: whether an earlier row is equal to it."""
     stack: list[_Open] = []
     at = None
 
@@ -105,10 +84,9 @@ def _scan(batches):
 
     for pdf in batches:
         out: list[tuple] = []
-        for k, commit, seq, origin, new in zip(pdf["k"], pdf["commit"], pdf["seq"], pdf["origin"], pdf["new"]):
-            k = bytes(k)
-            close(out, commit if k == at else None)
-            at = k
+        for fp, p, commit, seq, origin, new in zip(pdf["fp"], pdf["p"], pdf["commit"], pdf["seq"], pdf["origin"], pdf["new"]):
+            close(out, commit if (fp, p) == at else None)
+            at = (fp, p)
             if not (stack and stack[-1].commit == commit):
                 stack.append(_Open(commit, _least(stack[-1].here, stack[-1].above) if stack else (_NONE, _NONE)))
             top, whole = stack[-1], origin is None
@@ -121,77 +99,149 @@ def _scan(batches):
     yield pd.DataFrame(out, columns=["seq", "whole", "refused"])
 
 
+_NEAR = ("fp", "p", "c7")
+
+
 class RunStore:
     """Persisted runs of everything seen so far, in key ranges, merged in tiers of ``compact_every``."""
 
-    def __init__(self, spark: SparkSession, rows: int = 0, filter_bits: int = FILTER_BITS, compact_every: int = COMPACT_EVERY) -> None:
-        reducers = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.files = max(1 + rows // FILE_ROWS, min(reducers, 1 + rows // LEAST_ROWS))
-        self.spark, self.filter_bits, self.compact_every = spark, filter_bits, compact_every
-        self.tiers: list[list[str]] = [[]]
-        self.base: list[str] = []
-
-    def runs(self) -> list[str]:
-        return [*self.base, *(p for t in self.tiers for p in t)]
-
-    def _lay(self, rows: DataFrame, name: str) -> str:
-        path = new_path(self.spark, name)
-        ranges = self.files * RANGES_PER_FILE
-        lead = F.conv(F.hex(F.substring("k", 1, 3)), 16, 10).cast("long")
-        ranged = rows.withColumn("key_range", (lead * ranges / (1 << 24)).cast("int"))
-        ranged = ranged.repartition(self.files, "key_range").sortWithinPartitions("key_range", "k", "commit")
-        ranged.select("k", "commit", "seq", "origin").write.parquet(path)
-        return path
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(_ENTRY).parquet(*paths)
-
-    def load(self, rows: DataFrame) -> None:
-        """A large first run that needs no check: the accepted history."""
-        self.base.append(self._lay(rows, "run-base"))
-
-    def check(self, rows: DataFrame) -> DataFrame:
-        """``seq`` and ``refused`` of the first rows of a batch, by entry; the batch then is a run."""
-        path = self._lay(rows, "run-batch")
-        batch = self._read([path])
+    def __init__(self, spark: SparkSession, path: str, ranges: int, bits_per_key: int, compact_every: int, runs: list[dict]) -> None:
+        self.spark, self.path, self.ranges, self.bits_per_key, self.compact_every = spark, path.rstrip("/"), ranges, bits_per_key, compact_every
+        #: name, tier (-1: loaded history) and filter blocks of each run
+        self.runs = runs
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, rows: int = 0, bits_per_key: int = membership.BITS_PER_KEY, compact_every: int = COMPACT_EVERY) -> RunStore:
+        """An empty store meant for about ``rows`` rows; it takes any number, in larger ranges."""
+        if exists(spark, f"{path}/{_LIST}"):
+            raise ValueError(f"{path} already holds a store")
+        store = cls(spark, path, max(LEAST_RANGES, min(MOST_RANGES, rows // RANGE_ROWS)), bits_per_key, compact_every, [])
+        store._save()
+        return store
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> RunStore:
+        """The store at a path, as the last call left it."""
+        return cls(spark, path, **json.loads(read_text(spark, f"{path}/{_LIST}")))
+
+    def _save(self) -> None:
+        write_text(self.spark, f"{self.path}/{_LIST}", json.dumps({"ranges": self.ranges, "bits_per_key": self.bits_per_key, "compact_every": self.compact_every, "runs": self.runs}))
+
+    def _range(self) -> Column:
+        return F.pmod(F.xxhash64("fp", "p"), F.lit(self.ranges)).cast("int")
+
+    def _lay(self, rows: DataFrame, tier: int, n: int) -> dict:
+        """Write a run of about ``n`` rows, with the filters of its ranges if it is more than a single batch; it counts once it is listed."""
+        number = 1 + max([r["number"] for r in self.runs], default=0)
+        run = {"number": number, "tier": tier, "rows": n, "blocks": 0}
+        ranged = rows.withColumn("key_range", self._range()).repartition("key_range").sortWithinPartitions("key_range", "fp", "p", "commit")
+        ranged.select(*[x.split()[0] for x in _ENTRY.split(", ")], "key_range").write.mode("overwrite").partitionBy("key_range").parquet(f"{self.path}/run={number}")
+        if tier:
+            run["blocks"] = membership.blocks_for(-(-n // self.ranges), self.bits_per_key)
+            near = self._read([run]).select("key_range", F.struct("fp", "p", F.substring("commit", 1, 7)).alias("k"))
+            made = membership.build_filter(near, "k", run["blocks"], ["key_range"])
+            made.repartition("key_range").write.mode("overwrite").partitionBy("key_range").parquet(f"{self.path}/filter={number}")
+        return run
+
+    def _ranges_of(self, run: dict) -> list[int]:
+        """The key ranges that a run has rows in: its folders."""
+        return sorted(int(name.split("=")[1]) for name in folders(self.spark, f"{self.path}/run={run['number']}") if name.startswith("key_range="))
+
+    def _read(self, runs: list[dict], touched: list[tuple[int, int]] | None = None) -> DataFrame:
+        """The rows of runs; of ``touched`` (run number, key range) pairs only, if given."""
+        paths = [f"{self.path}/run={r['number']}" for r in runs] if touched is None else [f"{self.path}/run={n}/key_range={k}" for n, k in touched]
+        return self.spark.read.schema(_ENTRY + ", run int, key_range int").option("basePath", self.path).parquet(*paths)
+
+    def load(self, rows: DataFrame, n: int) -> None:
+        """A large first run of about ``n`` rows that needs no check: the accepted history."""
+        self.runs.append(self._lay(rows, -1, n))
+        self._save()
+
+    def _possible(self, batch: DataFrame, ranges: list[int], runs: list[dict]) -> DataFrame:
+        """Keys of a batch beside each run whose filter does not rule them out (``run``, ``key_range``, ``fp``, ``p``, ``c7``)."""
+        near = batch.select("key_range", "fp", "p", F.substring("commit", 1, 7).alias("c7")).distinct()
+        out = None
+        for r in runs:
+            filters = self.spark.read.schema("block long, " + ", ".join(f"{w} long" for w in membership.WORDS) + ", key_range int").parquet(f"{self.path}/filter={r['number']}")
+            asked = membership.probe(near.withColumn("k", F.struct("fp", "p", "c7")), "k", filters.where(F.col("key_range").isin(ranges)), r["blocks"], ["key_range"])
+            asked = asked.where("maybe").select(F.lit(r["number"]).alias("run"), "key_range", *_NEAR)
+            out = asked if out is None else out.unionByName(asked)
+        return out
+
+    def _windows(self, batch: DataFrame, ranges: list[int], older: list[dict]) -> DataFrame | None:
+        """Rows of older runs around the keys of a batch: from the folders that its ranges, and the filters where runs have one, leave."""
+        out = []
+        wide = [r for r in older if r["blocks"]]
+        if wide:
+            possible = materialise(self._possible(batch, ranges, wide), "possible")
+            touched = [tuple(x) for x in possible.select("run", "key_range").distinct().collect()]  # runs x ranges at most
+            if touched:
+                out.append((touched, possible.select(*_NEAR).distinct()))
+        touched = [(r["number"], k) for r in older if not r["blocks"] for k in self._ranges_of(r) if k in set(ranges)]
+        if touched:
+            out.append((touched, batch.select("fp", "p", F.substring("commit", 1, 7).alias("c7")).distinct()))
+        rows = [self._read(older, t).withColumn("c7", F.substring("commit", 1, 7)).join(keys, list(_NEAR), "left_semi").drop("c7") for t, keys in out]
+        return reduce(DataFrame.unionByName, rows) if rows else None
+
+    def check(self, rows: DataFrame, n: int) -> DataFrame:
+        """``seq``, ``whole`` and ``refused`` of the first rows of a batch of about ``n`` entries, by entry; the batch then is a run."""
+        older = list(self.runs)
+        run = self._lay(rows, 0, n)
+        batch = self._read([run])
+        windows = self._windows(batch, self._ranges_of(run), older) if older else None
         picked = batch.withColumn("new", F.lit(True))
-        if self.runs():
-            window = _Filter(self.spark, batch, self.filter_bits)
-            picked = picked.unionByName(self._read(self.runs()).where(window.touched()).withColumn("new", F.lit(False)))
-        ordered = picked.repartition("k").sortWithinPartitions("k", "commit", "seq")
-        result = write_table(ordered.mapInPandas(_scan, "seq long, whole boolean, refused boolean"), new_path(self.spark, "checked"))
-        self.tiers[0].append(path)
+        if windows is not None:
+            picked = picked.unionByName(windows.withColumn("new", F.lit(False)))
+        ordered = picked.repartition("fp", "p", F.substring("commit", 1, 7)).sortWithinPartitions("fp", "p", "commit", "seq")
+        result = write_table(ordered.select("fp", "p", "commit", "seq", "origin", "new").mapInPandas(_scan, "seq long, whole boolean, refused boolean"), new_path(self.spark, "checked"))
+        self.runs.append(run)
+        self._save()
         self._compact()
         return result
 
     def _compact(self) -> None:
-        for i, tier in enumerate(self.tiers):
-            if len(tier) < self.compact_every:
+        tier = 0
+        while True:
+            due = [r for r in self.runs if r["tier"] == tier]
+            if len(due) < self.compact_every:
                 return
-            merged = self._read(tier).groupBy("k", "commit", "origin").agg(F.min("seq").alias("seq")).select("k", "commit", "seq", "origin")
-            if i + 1 == len(self.tiers):
-                self.tiers.append([])
-            self.tiers[i + 1].append(self._lay(merged, f"run-tier{i + 1}"))
-            for p in tier:
-                remove(self.spark, p)
-            tier.clear()
+            merged = self._read(due).groupBy("fp", "p", "commit", "origin").agg(F.min("seq").alias("seq"))
+            run = self._lay(merged, tier + 1, sum(r["rows"] for r in due))
+            self.runs = [r for r in self.runs if r not in due] + [run]
+            self._save()
+            for r in due:
+                remove(self.spark, f"{self.path}/run={r['number']}")
+                remove(self.spark, f"{self.path}/filter={r['number']}")
+            tier += 1
 
 
-def decide(history: DataFrame, incoming: DataFrame, compact_every: int = COMPACT_EVERY, filter_bits: int = FILTER_BITS) -> DataFrame:
+def decide(history: DataFrame | None, incoming: DataFrame, compact_every: int = COMPACT_EVERY, bits_per_key: int = membership.BITS_PER_KEY, path: str | None = None) -> DataFrame:
     """``record_no``, ``batch_no`` and ``refused`` of the incoming rows that have fingerprint, path and commit.
 
     Refused are rows equal in all three to a row of ``history`` or an incoming row of smaller record_no,
     accepted or not. Rows that lack one of the three equal nothing: they are accepted and not listed here.
     Batches are checked in order of their number; NULL batch_no counts as batch 0. Empty tables give no rows.
+    With ``path`` the store there is used and kept; ``history`` is laid into it only if it is new, and may be None
+    afterwards. Record numbers have to go on rising from call to call.
     """
-    spark = history.sparkSession
-    store = RunStore(spark, history.count(), filter_bits, compact_every)
-    store.load(entries(normalised(history), F.lit(0)))
-    staged = write_table(normalised(incoming.withColumn("batch_no", F.coalesce("batch_no", F.lit(0))), "record_no", "batch_no"), new_path(spark, "incoming"))
+    spark = incoming.sparkSession
+    if path is not None and exists(spark, f"{path}/{_LIST}"):
+        store = RunStore.open(spark, path)
+    else:
+        old = None if history is None else materialise(entries(normalised(history), F.lit(-1)), "history")
+        n = 0 if old is None else old.count()
+        store = RunStore.create(spark, path or new_path(spark, "store"), n, bits_per_key, compact_every)
+        if n:
+            store.load(old, n)
+    staged_at = new_path(spark, "incoming")
+    rows = normalised(incoming.withColumn("batch_no", F.coalesce("batch_no", F.lit(0))), "record_no", "batch_no")
+    kinds = dict(rows.dtypes)
+    rows.repartition("batch_no", F.pmod(F.xxhash64("record_no"), F.lit(8))).write.partitionBy("batch_no").parquet(staged_at)
+    staged = spark.read.schema(", ".join(f"{c} {kinds[c]}" for c in ("record_no", "fp", "p", "commit", "batch_no"))).parquet(staged_at)
     # Rows repeated inside their batch are later than the first of their entry: only first rows can be accepted.
     firsts = None
-    for (n,) in sorted(staged.select("batch_no").distinct().collect()):  # a row per batch
-        got = store.check(entries(staged.where(F.col("batch_no") == n), F.col("record_no")))
+    for number, n in sorted(map(tuple, staged.groupBy("batch_no").count().collect())):  # a row per batch
+        got = store.check(entries(staged.where(F.col("batch_no") == number), F.col("record_no")), n)
         firsts = got if firsts is None else firsts.unionByName(got)
     if firsts is None:
         return staged.select("record_no", "batch_no", F.lit(False).alias("refused"))

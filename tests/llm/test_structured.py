@@ -108,10 +108,49 @@ def test_refused_rows_equal_brute_force(spark, seed):
     norm = lambda df, k: {r[0]: (r[1], r[2], r[3]) for r in history.normalised(df, k).select(k, "fp", "p", "commit").collect()}
     before, coming = list(norm(h, "row_no").values()), norm(inc, "record_no")
     want = {n for n, r in coming.items() if any(_equal_rows(r, o) for o in before) or any(m < n and _equal_rows(r, o) for m, o in coming.items())}
-    got = history.decide(h, inc, compact_every=2, filter_bits=64).where("refused")
+    got = history.decide(h, inc, compact_every=2, bits_per_key=1).where("refused")
     assert {r["record_no"] for r in got.collect()} == want
 
 
+def test_a_store_is_opened_again_and_reads_windows_only(spark, tmp_path):
+    rng = random.Random(3)
+    row = lambda i: ("%064x" % i, f"src/f{i % 50}.py", "%040x" % (i * 7919))
+    h = spark.createDataFrame([(i, *row(i), 1, "x") for i in range(4000)], F_SCHEMA)
+    path = str(tmp_path / "store")
+    one = [(i + 1, 1, *row(rng.choice([i, 9000 + i])), "x", "y") for i in range(6)]
+    two = [(i + 101, 2, *row(rng.choice([i, 9000 + i, 20_000 + i])), "x", "y") for i in range(6)]
+    batch = lambda rows: spark.createDataFrame(rows, I_SCHEMA)
+    got = {r["record_no"]: r["refused"] for r in history.decide(h, batch(one), path=path).collect()}
+    got |= {r["record_no"]: r["refused"] for r in history.decide(None, batch(two), path=path).collect()}
+    whole = {r["record_no"]: r["refused"] for r in history.decide(h, batch(one + two)).collect()}
+    assert got == whole and True in got.values() and False in got.values()
+    store = history.RunStore.open(spark, path)
+    assert [r["tier"] for r in store.runs] == [-1, 0, 0]
+    # one known record: a single folder of the history is possible, and the plan reads that alone
+    entry = history.entries(history.normalised(batch([(999, 9, *row(17), "x", "y")]), "record_no"), F.col("record_no"))
+    laid = store._lay(entry, 0, 1)
+    (only,) = store._ranges_of(laid)
+    possible = store._possible(store._read([laid]), [only], store.runs[:1])
+    assert [tuple(x) for x in possible.select("run", "key_range").distinct().collect()] == [(1, only)]
+    windows = store._windows(store._read([laid]), [only], store.runs)
+    assert windows.where("run = 1").count() == 1
+    files = [f for f in windows.inputFiles() if "/run=" in f]
+    assert all(f"key_range={only}/" in f for f in files) and any("run=1/" in f for f in files)
+    with pytest.raises(ValueError):
+        history.RunStore.create(spark, path)
+
+
+def test_runs_are_merged(spark, tmp_path):
+    h = spark.createDataFrame([], F_SCHEMA)
+    rows = [(i + 1, 1 + i % 5, *r, "x", "y") for i, r in enumerate(_rows(60, 5))]
+    rows = sorted(rows, key=lambda r: r[1])
+    rows = [(n, *r[1:]) for n, r in enumerate(rows)]
+    inc = spark.createDataFrame(rows, I_SCHEMA)
+    some = {(r["record_no"], r["refused"]) for r in history.decide(h, inc, compact_every=2, path=str(tmp_path / "a")).collect()}
+    assert some == {(r["record_no"], r["refused"]) for r in history.decide(h, inc, compact_every=100).collect()}
+    assert max(r["tier"] for r in history.RunStore.open(spark, str(tmp_path / "a")).runs) >= 2
+
+
 def test_history_with_empty_tables(spark):
     h, i = spark.createDataFrame([], F_SCHEMA), spark.createDataFrame([], I_SCHEMA)
     assert history.decide(h, i).count() == 0
@@ -144,6 +183,27 @@ def test_seen_before_equals_brute_force_even_with_a_poor_filter(spark):
     assert membership.seen_before(h, s.limit(0), "fp", "n").count() == 0
 
 
+def test_a_key_store_is_opened_again_grows_and_merges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(membership, "MERGE_EVERY", 3)
+    rng = random.Random(2)
+    old = spark.createDataFrame([("%064x" % rng.randint(0, 300),) for _ in range(100)], "fp string")
+    rows = [(i, 1 + i // 60, "%064x" % rng.randint(0, 5000)) for i in range(420)]
+    s = spark.createDataFrame(rows, "n long, batch_no int, fp string")
+    whole = {(r["n"], r["seen"]) for r in membership.seen_before(old, s, "fp", "n").collect()}
+    keys, want = {r["fp"] for r in old.collect()}, set()
+    for n, _, k in rows:
+        want.add((n, k in keys))
+        keys.add(k)
+    assert whole == want
+    path, got = str(tmp_path / "keys"), set()
+    for part in (s.where("batch_no <= 3"), s.where("batch_no > 3")):
+        got |= {(r["n"], r["seen"]) for r in membership.seen_before(old if not got else None, part, "fp", "n", path=path).collect()}
+    assert got == want
+    store = membership.KeyStore.open(spark, path)
+    assert store.keys == len(keys) == store.full_keys().distinct().count() == store.full_keys().count() and len(store.parts) < 3
+    assert store.blocks * 512 >= store.keys * store.bits_per_key
+
+
 def test_filters_merge(spark):
     keys = spark.range(300).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("k"))
     whole = membership.build_filter(keys, "k", 8)
