@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from html.parser import HTMLParser
 from urllib.parse import quote_plus, unquote_plus, urljoin, urlsplit, urlunsplit
 from urllib.robotparser import RobotFileParser
@@ -13,10 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from keelsieve.shared import materialise
+
 # Address ranges that are never fetched, script endings, limits in bytes.
 BLOCKED = ("127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "::1/128", "fc00::/7", "fe80::/10")
 SCRIPT_ENDINGS = (".js", ".mjs", ".cjs")
 PAGE_BYTES = SCRIPT_BYTES = 25 * 1024 * 1024
+#: Places that the addresses of one host are spread over.
+SALTS = 64
 _SOURCE_MAP = re.compile(r"//[@#]\s*sourceMappingURL=(\S+)")
 
 
@@ -199,6 +203,26 @@ def claim(links: DataFrame, seen: DataFrame, max_pages: int, domains: Sequence[s
     return rows.join(seen.select("fingerprint"), "fingerprint", "left_anti").orderBy("depth", "url").limit(max_pages)
 
 
+def crawl(start: DataFrame, fetch: Callable[[DataFrame], DataFrame], max_depth: int, max_pages: int, domains: Sequence[str] = (), excluded: Sequence[str] = ()) -> DataFrame:
+    """The pages (url, depth, fingerprint) that a crawl from ``start`` (url) claims, round by round: each once, at the least depth.
+
+    ``fetch`` gives the bodies (url, html) of claimed addresses; nothing else touches a network. Links of a page are a level
+    deeper. It ends at ``max_depth``, once ``max_pages`` are claimed, or when nothing new is linked.
+    """
+    links = start.select("url", F.lit(0).alias("depth"))
+    claimed = None
+    left = max_pages
+    for depth in range(max_depth + 1):
+        seen = links.select(F.lit("").alias("fingerprint")).where("false") if claimed is None else claimed.select("fingerprint")
+        found = materialise(claim(links, seen, left, domains, excluded), "claimed")
+        claimed = found if claimed is None else claimed.unionByName(found)
+        left = max_pages - claimed.count()
+        if depth == max_depth or left <= 0 or found.isEmpty():
+            break
+        links = parsed(fetch(found)).select(F.explode("links").alias("url"), F.lit(depth + 1).alias("depth"))
+    return claimed.select("url", "depth", "fingerprint")
+
+
 def new_addresses(urls: DataFrame, url: str = "url") -> DataFrame:
     """Distinct canonical addresses with their fingerprints; malformed ones are dropped."""
     c = urls.select(canonical_url(F.col(url)).alias("url")).where("url IS NOT NULL").distinct()
@@ -208,7 +232,8 @@ def new_addresses(urls: DataFrame, url: str = "url") -> DataFrame:
 def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """``urls`` (url, host) with ``allowed`` by their host's robots text (host, robots); hosts without one allow all.
 
-    Rules are parsed once per host and batch. Joined on the host; a host's text is at most 512 KiB."""
+    Rules are parsed once per host and batch. One host may hold most addresses: they are spread over places by their
+    hash, and a host's text, of which 512 KiB are read, goes to the places that need it."""
 
     @F.pandas_udf("boolean")
     def run(u: pd.Series, r: pd.Series) -> pd.Series:
@@ -225,7 +250,9 @@ def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
             out.append(parser.can_fetch(agent, url))
         return pd.Series(out)
 
-    return urls.join(robots, "host", "left").withColumn("allowed", run("url", "robots")).drop("robots")
+    spread = urls.withColumn("__salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
+    needed = spread.select("host", "__salt").distinct().join(robots.select("host", "robots"), "host")
+    return spread.join(needed, ["host", "__salt"], "left").withColumn("allowed", run("url", "robots")).drop("robots", "__salt")
 
 
 def blocked_address(c: Column, ranges: Sequence[str] = BLOCKED) -> Column:

@@ -3,15 +3,16 @@
     spark.dataSource.register(GitSource)
     spark.read.format("git").option("mode", "history").load("/path/to/repo")
 
-The listing is made when the job is planned; blobs are read by the tasks, a partition per
-group of objects, each through one ``cat-file`` process. The repository has to be readable
-where tasks run.
+The driver lists paths, or for the history commits only; what a commit changed is listed by the
+tasks, a partition per group of commits or objects, each through one ``diff-tree`` and two
+``cat-file`` processes, of which one tells sizes, so that no oversize blob is read. The repository
+has to be readable where tasks run.
 """
 
 from __future__ import annotations
 
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -41,6 +42,8 @@ def _names(raw: bytes) -> list[str]:
 class Group(InputPartition):
     #: (path, object or empty for the working tree, commit)
     entries: list
+    #: commits whose changes are read instead
+    commits: tuple = ()
 
 
 def listing(repo: str, mode: str, ref: str = "HEAD") -> list[tuple[str, str, str]]:
@@ -58,30 +61,59 @@ def listing(repo: str, mode: str, ref: str = "HEAD") -> list[tuple[str, str, str
             if meta.split()[1] == "blob":
                 out.append((path, meta.split()[2], sha))
         return out
-    if mode == "history":
-        out = []
-        for sha in _git(repo, "rev-list", "--all", "--reverse").decode().split():
-            for entry in _names(_git(repo, "diff-tree", "--root", "--no-commit-id", "-r", "-z", "--no-renames", sha)) or []:
-                out.append((sha, entry))
-        rows, i = [], 0
-        while i < len(out):
-            sha, meta = out[i]
-            if meta.startswith(":") and i + 1 < len(out):
-                parts = meta[1:].split()
-                if parts[4] != "D" and parts[1].startswith("100"):
-                    rows.append((out[i + 1][1], parts[3], sha))
-                i += 2
-            else:
-                i += 1
-        return rows
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def changed(repo: str, commits: Sequence[str]) -> Iterator[tuple[str, str, str]]:
+    """(path, object name, commit) of the plain files that each commit added or changed, by one process."""
+    run = subprocess.run(["git", "-C", repo, "diff-tree", "--stdin", "--root", "-r", "-z", "--no-renames"], input="\n".join(commits).encode() + b"\n", check=True, capture_output=True)
+    commit, meta = "", None
+    for part in run.stdout.split(b"\0"):
+        if meta is not None:
+            if meta[4] != "D" and meta[1].startswith("100"):
+                yield part.decode("utf-8", "surrogateescape"), meta[3], commit
+            meta = None
+        elif part.startswith(b":"):
+            meta = part[1:].decode().split()
+        elif part.strip():
+            commit = part.decode().strip()
+
+
+class _Blobs:
+    """Objects of a repository by name, read only if they are small enough."""
+
+    def __init__(self, repo: str, max_bytes: int) -> None:
+        self.most = max_bytes
+        self.ask, self.get = (subprocess.Popen(["git", "-C", repo, "cat-file", how], stdin=subprocess.PIPE, stdout=subprocess.PIPE) for how in ("--batch-check", "--batch"))
+
+    def _head(self, process: subprocess.Popen, name: str) -> list[bytes]:
+        process.stdin.write(name.encode("utf-8", "surrogateescape") + b"\n")
+        process.stdin.flush()
+        return process.stdout.readline().split()
+
+    def read(self, name: str) -> bytes | None:
+        head = self._head(self.ask, name)
+        if len(head) < 3 or head[-2] != b"blob" or int(head[-1]) > self.most:
+            return None
+        size = int(self._head(self.get, name)[-1])
+        data = self.get.stdout.read(size)
+        self.get.stdout.read(1)
+        return data
+
+    def close(self) -> None:
+        for p in (self.ask, self.get):
+            p.stdin.close()
+            p.wait()
+
+
 class GitReader(DataSourceReader):
     def __init__(self, repo: str, mode: str, ref: str, max_bytes: int) -> None:
         self.repo, self.mode, self.ref, self.max_bytes = repo, mode, ref, max_bytes
 
     def partitions(self) -> list[Group]:
+        if self.mode == "history":
+            commits = _git(self.repo, "rev-list", "--all", "--reverse").decode().split()
+            return [Group([], tuple(commits[i : i + GROUP])) for i in range(0, len(commits), GROUP)] or [Group([])]
         found = listing(self.repo, self.mode, self.ref)
         return [Group(found[i : i + GROUP]) for i in range(0, len(found), GROUP)] or [Group([])]
 
@@ -90,9 +122,9 @@ class GitReader(DataSourceReader):
         import os
 
         kind = {"working_tree": "git_working_tree", "staged": "git_staged"}.get(self.mode, "git_commit")
-        cat = None
+        blobs = None
         try:
-            for path, obj, commit in partition.entries:
+            for path, obj, commit in changed(self.repo, partition.commits) if partition.commits else partition.entries:
                 if not obj:
                     full = os.path.join(self.repo, path)
                     if os.path.islink(full) or not os.path.isfile(full) or os.path.getsize(full) > self.max_bytes:
@@ -100,26 +132,16 @@ class GitReader(DataSourceReader):
                     with open(full, "rb") as f:
                         data = f.read()
                 else:
-                    if cat is None:
-                        cat = subprocess.Popen(["git", "-C", self.repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
-                    cat.stdin.write(obj.encode("utf-8", "surrogateescape") + b"\n")
-                    cat.stdin.flush()
-                    head = cat.stdout.readline().split()
-                    if len(head) < 3 or head[-1] == b"missing":
-                        continue
-                    data = cat.stdout.read(int(head[2]))
-                    cat.stdout.read(1)
-                    if len(data) > self.max_bytes:
-                        continue
-                if b"\0" in data[:HEAD_BYTES]:
+                    blobs = blobs or _Blobs(self.repo, self.max_bytes)
+                    data = blobs.read(obj)
+                if data is None or b"\0" in data[:HEAD_BYTES]:
                     continue
                 shown = path.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
                 ident = hashlib.sha256(f"{kind}|{commit}|{shown}".encode()).hexdigest()
                 yield (ident, kind, self.repo, shown, commit, data)
         finally:
-            if cat is not None:
-                cat.stdin.close()
-                cat.wait()
+            if blobs is not None:
+                blobs.close()
 
 
 class GitSource(DataSource):

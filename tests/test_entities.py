@@ -124,6 +124,15 @@ def test_claims(spark):
     assert [r["url"] for r in weburl.claim(links, seen, 10, ["e.com"]).collect()] == ["https://e.com/b"]
 
 
+def test_crawl_rounds(spark):
+    site = {f"https://e.com/{i}": "".join(f'<a href="{j}">x</a>' for j in (2 * i, 2 * i + 1)) for i in range(1, 40)}
+    pages = spark.createDataFrame(list(site.items()), "url string, html string")
+    start = spark.createDataFrame([("https://e.com/1",), ("https://o.org/",)], "url string")
+    run = lambda depth, most: {r["url"].rsplit("/", 1)[1]: r["depth"] for r in weburl.crawl(start, lambda c: pages.join(c.select("url"), "url"), depth, most, ["e.com"]).collect()}
+    assert run(2, 100) == {"1": 0, "2": 1, "3": 1, "4": 2, "5": 2, "6": 2, "7": 2}
+    assert len(run(5, 5)) == 5 and run(0, 9) == {"1": 0}
+
+
 def test_guards(spark):
     ips = ["127.0.0.1", "8.8.8.8", "::ffff:10.0.0.1", "169.254.169.254", "fe80::1", "2001:4860::1", "odd", None]
     got = [r[0] for r in spark.createDataFrame([(i,) for i in ips], "a string").select(weburl.blocked_address(F.col("a"))).collect()]
@@ -157,6 +166,28 @@ def test_cache(spark):
     assert [r["hit"] for r in folds.cached(df, "k", "at", "n").orderBy("n").collect()] == [False, True, False, True]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_folds_of_a_hot_key_in_pieces_equal_one_piece(spark, seed):
+    """Most calls belong to one key, whose timeline falls into many pieces; bursts without a pause and long pauses."""
+    import random
+
+    rng = random.Random(seed)
+    rows, t = [], 0.0
+    for i in range(1500):
+        t += rng.choice([0.2, 1, 3, 3, 8, 40 if i % 50 == 0 else 2, 400 if i % 400 == 0 else 1])
+        rows.append((i, rng.choice([None, 1, 2]) if i % 5 == 0 else 7, T0 + timedelta(seconds=t), rng.random() < 0.45))
+    df = spark.createDataFrame(rows, "n int, k int, at timestamp, failed boolean")
+    runs = [
+        lambda p: folds.token_bucket(df, "k", "at", "n", 0.4, 4.0, idle_seconds=300, pieces=p), lambda p: folds.breaker(df, "k", "at", "n", "failed", threshold=3, open_seconds=20, pieces=p),
+        lambda p: folds.cached(df, "k", "at", "n", ttl_seconds=35, pieces=p),
+    ]
+    for run in runs:
+        whole = {tuple(None if v != v else round(v, 6) if isinstance(v, float) else v for v in r) for r in run(1).collect()}
+        assert len(whole) == 1500
+        assert {tuple(None if v != v else round(v, 6) if isinstance(v, float) else v for v in r) for r in run(12).collect()} == whole
+    assert runs[0](3).where("false").count() == 0 and folds.cached(df.limit(0), "k", "at", "n").count() == 0
+
+
 def test_dispatch_gates(spark):
     calls = spark.createDataFrame([
         (1, "p", "nope", ["findings:read"], []), (2, "p", "list_findings", [], []), (3, "p", "start_scan", ["scans:start"], []), (4, "p", "cancel_scan", ["scans:cancel"], []),
@@ -222,6 +253,9 @@ def test_git_source(spark, tmp_path):
     assert read(mode="staged") == {("new.txt", b"staged")}
     assert read(mode="working_tree") == {("a é.txt", b"two"), ("new.txt", b"staged"), ("loose.txt", b"loose")}
     assert read(mode="history") == {("a é.txt", b"one"), ("a é.txt", b"two")}
+    assert read(mode="history", maxBytes="2") == set()
+    listed = list(gitrepo.changed(str(tmp_path), subprocess.run(["git", "-C", str(tmp_path), "rev-list", "--all", "--reverse"], capture_output=True, text=True).stdout.split()))
+    assert [p for p, *_ in listed] == ["a é.txt", "bin", "a é.txt"] and len({c for *_, c in listed}) == 2
     with pytest.raises(ValueError):
         gitrepo.check_ref("--upload-pack=x")
 
