@@ -104,6 +104,20 @@ def estimate(sketches: DataFrame, dims: Sequence[str], buckets: int = BUCKETS, z
     return lists.select(*dims, solve("__bits").alias("e")).select(*dims, "e.*")
 
 
+def exact_counts(rows: DataFrame, dims: Sequence[str], groups: Sequence[Sequence[str]], identifier: str = "id") -> DataFrame:
+    """``grouping``, ``dims`` and exact ``n`` of the same groups as :func:`combinations`, to measure bounds against; it shuffles every identifier."""
+    kinds = dict(rows.dtypes)
+    structs = []
+    for g in groups:
+        ok = F.lit(True)
+        for d in g:
+            ok = ok & F.col(d).isNotNull()
+        structs.append(F.when(ok, F.struct(F.lit("+".join(g) or "all").alias("grouping"), *[(F.col(d) if d in g else F.lit(None).cast(kinds[d])).alias(d) for d in dims])))
+    fine = rows.where(F.col(identifier).isNotNull()).select(*dims, identifier).distinct()
+    each = fine.select(F.inline(F.filter(F.array(*structs), lambda x: x.isNotNull())), identifier).distinct()
+    return each.groupBy("grouping", *dims).agg(F.count(F.lit(1)).alias("n"))
+
+
 def dominant_days(rows: DataFrame, share: float = 0.1, least_per_mille: int = 15, total: int | None = None, buckets: int = BUCKETS, z: float = 6.0) -> DataFrame:
     """Days that hold at least ``share`` of all distinct identifiers of a frequent (rule_id, severity) pair.
 

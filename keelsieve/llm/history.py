@@ -99,7 +99,9 @@ def _scan(batches):
     yield pd.DataFrame(out, columns=["seq", "whole", "refused"])
 
 
-_NEAR = ("fp", "p", "c7")
+def _near() -> Column:
+    """What records have to share to be compared: a hash of fingerprint, path and the commit's first seven digits. Others that share it are told apart by the scan."""
+    return F.xxhash64("fp", "p", F.substring("commit", 1, 7))
 
 
 class RunStore:
@@ -138,8 +140,7 @@ class RunStore:
         ranged.select(*[x.split()[0] for x in _ENTRY.split(", ")], "key_range").write.mode("overwrite").partitionBy("key_range").parquet(f"{self.path}/run={number}")
         if tier:
             run["blocks"] = membership.blocks_for(-(-n // self.ranges), self.bits_per_key)
-            near = self._read([run]).select("key_range", F.struct("fp", "p", F.substring("commit", 1, 7)).alias("k"))
-            made = membership.build_filter(near, "k", run["blocks"], ["key_range"])
+            made = membership.build_filter(self._read([run]).select("key_range", _near().alias("h")), "h", run["blocks"], ["key_range"])
             made.repartition("key_range").write.mode("overwrite").partitionBy("key_range").parquet(f"{self.path}/filter={number}")
         return run
 
@@ -157,30 +158,32 @@ class RunStore:
         self.runs.append(self._lay(rows, -1, n))
         self._save()
 
-    def _possible(self, batch: DataFrame, ranges: list[int], runs: list[dict]) -> DataFrame:
-        """Keys of a batch beside each run whose filter does not rule them out (``run``, ``key_range``, ``fp``, ``p``, ``c7``)."""
-        near = batch.select("key_range", "fp", "p", F.substring("commit", 1, 7).alias("c7")).distinct()
+    def _possible(self, near: DataFrame, ranges: list[int], runs: list[dict]) -> DataFrame:
+        """Keys of a batch (``key_range``, ``h``) beside each run whose filter does not rule them out (``run``, ``key_range``, ``h``)."""
         out = None
         for r in runs:
             filters = self.spark.read.schema("block long, " + ", ".join(f"{w} long" for w in membership.WORDS) + ", key_range int").parquet(f"{self.path}/filter={r['number']}")
-            asked = membership.probe(near.withColumn("k", F.struct("fp", "p", "c7")), "k", filters.where(F.col("key_range").isin(ranges)), r["blocks"], ["key_range"])
-            asked = asked.where("maybe").select(F.lit(r["number"]).alias("run"), "key_range", *_NEAR)
+            asked = membership.probe(near, "h", filters.where(F.col("key_range").isin(ranges)), r["blocks"], ["key_range"])
+            asked = asked.where("maybe").select(F.lit(r["number"]).alias("run"), "key_range", "h")
             out = asked if out is None else out.unionByName(asked)
         return out
 
     def _windows(self, batch: DataFrame, ranges: list[int], older: list[dict]) -> DataFrame | None:
-        """Rows of older runs around the keys of a batch: from the folders that its ranges, and the filters where runs have one, leave."""
+        """Rows of older runs around the keys of a batch: from the folders that its ranges, and the filters where runs have one, leave.
+
+        The keys are numbers in a table of their own, which Spark brings to the runs while it is small; else both are shuffled."""
+        near = materialise(batch.select("key_range", _near().alias("h")).distinct(), "near")
         out = []
         wide = [r for r in older if r["blocks"]]
         if wide:
-            possible = materialise(self._possible(batch, ranges, wide), "possible")
+            possible = materialise(self._possible(near, ranges, wide), "possible")
             touched = [tuple(x) for x in possible.select("run", "key_range").distinct().collect()]  # runs x ranges at most
             if touched:
-                out.append((touched, possible.select(*_NEAR).distinct()))
+                out.append((touched, possible.select("h")))
         touched = [(r["number"], k) for r in older if not r["blocks"] for k in self._ranges_of(r) if k in set(ranges)]
         if touched:
-            out.append((touched, batch.select("fp", "p", F.substring("commit", 1, 7).alias("c7")).distinct()))
-        rows = [self._read(older, t).withColumn("c7", F.substring("commit", 1, 7)).join(keys, list(_NEAR), "left_semi").drop("c7") for t, keys in out]
+            out.append((touched, near.select("h")))
+        rows = [self._read(older, t).withColumn("h", _near()).join(keys, "h", "left_semi").drop("h") for t, keys in out]
         return reduce(DataFrame.unionByName, rows) if rows else None
 
     def check(self, rows: DataFrame, n: int) -> DataFrame:

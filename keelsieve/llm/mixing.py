@@ -27,11 +27,10 @@ VOCABULARY = os.environ.get("KEELSIEVE_VOCABULARY", "/opt/tokenizers/byte_bpe_50
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Documents that one slice of a source's order is meant to hold.
 SLICE_ROWS = 20_000
-#: Texts above this many characters are cut at white space before encoding, so that no single call grows with them.
+#: Texts above this many characters are encoded piece by piece, as the splitting pattern cuts them, so that no call of the encoder grows with a text.
 CHUNK_CHARS = 100_000
-
-#: Targets that one call takes: their plan is brought to every task.
-MOST_TARGETS = 10_000
+#: Targets up to which the plan goes to every task; the plan of more is joined.
+SMALL_PLAN = 10_000
 
 Schedule = dict[str, Sequence[tuple[float, float]]]
 
@@ -47,25 +46,22 @@ def token_counts(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
+        import regex
         import tiktoken
 
         if "e" not in made:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
             made["e"] = tiktoken.Encoding("counting", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        encode = made["e"].encode_ordinary
+        encode, whole = made["e"].encode_ordinary, made["e"]._encode_single_piece
+        if "p" not in made:
+            made["p"] = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
         def size(t: str | None) -> int:
             if not t:
                 return 0
-            n = start = 0
-            while start < len(t):
-                end = start + chunk
-                if end < len(t):
-                    space = t.rfind(" ", start + 1, end)
-                    end = space if space > start else end
-                n += len(encode(t[start:end]))
-                start = end
-            return n
+            if len(t) <= chunk:
+                return len(encode(t))
+            return sum(len(whole(m[0])) for m in made["p"].finditer(t))
 
         return texts.map(size)
 
@@ -101,7 +97,8 @@ def shares(counted: DataFrame, targets: DataFrame) -> DataFrame:
     """
     wanted = targets.select(squeezed("source").alias("source"), "target_share", "max_repeats").where("source IS NOT NULL")
     held = counted.groupBy(squeezed("source").alias("source")).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    total = counted.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).head()["t"]
+    held = materialise(held, "mix-held")
+    total = held.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).head()["t"]
     out = wanted.join(held, "source", "left").select(
         "source", "target_share", "max_repeats", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
         (F.col("target_share") * F.lit(total)).alias("wanted_tokens"),
@@ -116,16 +113,15 @@ def mixture(counted: DataFrame, targets: DataFrame, schedules: Schedule | None =
 
     A source's documents are taken in a random but fixed order, pass after pass, until its budget is
     spent; the last record may overrun it. Sources without a schedule keep a constant weight. Equal
-    positions are ordered by source, doc_id and copy. ValueError above MOST_TARGETS targets.
+    positions are ordered by source, doc_id and copy.
     """
     schedules = {k.strip().lower(): v for k, v in (schedules or {}).items()}
     for knots in schedules.values():
         _integral(knots)
-    if targets.count() > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} targets")
+    small = F.broadcast if targets.count() <= SMALL_PLAN else lambda df: df
     plan = shares(counted, targets).where("budget > 0").select("source", "tokens", "budget", "passes")
     docs = counted.select(squeezed("source").alias("source"), "doc_id", "n_tokens", F.xxhash64("doc_id", F.lit(seed)).alias("__h"))
-    docs = materialise(docs.join(F.broadcast(plan.select("source")), "source", "left_semi"), "mix-docs")  # a row per target
+    docs = materialise(docs.join(small(plan.select("source")), "source", "left_semi"), "mix-docs")
     bits = max(0, math.ceil(math.log2(max(1, docs.count() / slice_rows))))
     docs = docs.withColumn("__slice", F.shiftrightunsigned("__h", 64 - bits) if bits else F.lit(0).cast("long"))
     # running sums in two levels: over the slices of a source, then inside each slice
@@ -134,10 +130,11 @@ def mixture(counted: DataFrame, targets: DataFrame, schedules: Schedule | None =
     sums = sums.select("source", "__slice", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
     inside = Window.partitionBy("source", "__slice").orderBy("__h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("__in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    placed = docs.join(sums, ["source", "__slice"]).join(F.broadcast(plan), "source")
+    placed = docs.join(sums, ["source", "__slice"]).join(small(plan), "source")
     placed = placed.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("passes"))))
     start = (F.col("copy_no") - 1) * F.col("tokens") + F.col("__before") + F.col("__in")
     placed = placed.withColumn("__start", start).where(F.col("__start") < F.col("budget"))
+    # a position is where the schedule's integral reaches the middle of a record
     fraction = F.least(F.lit(1.0), (F.col("__start") + F.col("n_tokens") / 2) / F.col("budget"))
 
     @F.pandas_udf("double")

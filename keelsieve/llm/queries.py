@@ -87,6 +87,26 @@ def p3_counts(spark, sf_dir):
     return distinct.estimate(distinct.combinations(fine, dims, groups), ["grouping", *dims])
 
 
+_GROUPED = f"""WITH r AS (SELECT strftime(make_timestamp(epoch_us(created_at)), '%Y-%m-%d') AS created_day, {_ID.format(c='rule_id')} AS rule_id, {_ID.format(c='severity')} AS severity, {_FP} AS fp FROM findings),
+g AS (SELECT 'all' AS g, NULL AS k, fp FROM r UNION ALL SELECT 'created_day', created_day, fp FROM r WHERE created_day IS NOT NULL UNION ALL SELECT 'rule_id', rule_id, fp FROM r WHERE rule_id IS NOT NULL
+ UNION ALL SELECT 'severity', severity, fp FROM r WHERE severity IS NOT NULL UNION ALL SELECT 'created_day+rule_id', created_day || '|' || rule_id, fp FROM r WHERE created_day IS NOT NULL AND rule_id IS NOT NULL
+ UNION ALL SELECT 'created_day+severity', created_day || '|' || severity, fp FROM r WHERE created_day IS NOT NULL AND severity IS NOT NULL UNION ALL SELECT 'rule_id+severity', rule_id || '|' || severity, fp FROM r WHERE rule_id IS NOT NULL AND severity IS NOT NULL
+ UNION ALL SELECT 'created_day+rule_id+severity', created_day || '|' || rule_id || '|' || severity, fp FROM r WHERE created_day IS NOT NULL AND rule_id IS NOT NULL AND severity IS NOT NULL)"""
+
+
+@registry.add("p3_bounds", _GROUPED + " SELECT g AS grouping, count(*) AS groups, 0::BIGINT AS outside FROM (SELECT g, k FROM g WHERE fp IS NOT NULL GROUP BY g, k) GROUP BY g")
+def p3_bounds(spark, sf_dir):
+    """By grouping: how many groups there are, and how many exact counts lie outside the bounds (six standard errors and one)."""
+    dims = ["created_day", "rule_id", "severity"]
+    rows = _identified(spark, sf_dir).where("id IS NOT NULL")
+    groups = [(), ("created_day",), ("rule_id",), ("severity",), ("created_day", "rule_id"), ("created_day", "severity"), ("rule_id", "severity"), tuple(dims)]
+    guessed = distinct.estimate(distinct.combinations(distinct.sketch(rows, dims, F.col("id")), dims, groups), ["grouping", *dims], z=6.0)
+    exact = distinct.exact_counts(rows, dims, groups)
+    both = exact.join(guessed, F.concat_ws("|", exact["grouping"], *[F.coalesce(exact[d], F.lit("\x01")) for d in dims]) == F.concat_ws("|", guessed["grouping"], *[F.coalesce(guessed[d], F.lit("\x01")) for d in dims]), "left")
+    bad = ~F.coalesce((F.col("n") >= F.col("lower") - 1) & (F.col("n") <= F.col("upper") + 1), F.lit(False))
+    return both.groupBy(exact["grouping"]).agg(F.count(F.lit(1)).alias("groups"), F.count_if(bad).alias("outside"))
+
+
 # --- 4. new batches against all history
 
 
@@ -154,6 +174,16 @@ def p6_errors(spark, sf_dir):
     return membership.error_report(_seen(spark, sf_dir))
 
 
+@registry.add("p6_routes", f"""
+WITH i AS (SELECT record_no, batch_no, {_FP} AS fp FROM incoming_findings), h AS (SELECT DISTINCT {_FP} AS fp FROM findings),
+f AS (SELECT fp, min(record_no) AS first_no FROM i WHERE fp IS NOT NULL GROUP BY fp)
+SELECT batch_no, count(*) AS row_count, count(*) FILTER (WHERE i.record_no > first_no) AS repeats, count(*) FILTER (WHERE i.record_no = first_no AND h.fp IS NOT NULL) AS verified,
+ count(*) FILTER (WHERE i.record_no = first_no AND h.fp IS NULL) AS first_keys FROM i JOIN f USING (fp) LEFT JOIN h ON h.fp = i.fp GROUP BY batch_no""")
+def p6_routes(spark, sf_dir):
+    """The same report without what hangs on the filter: negatives and disproved positives together are the keys not seen before."""
+    return p6_errors(spark, sf_dir).select("batch_no", "row_count", "repeats", "verified", (F.col("negatives") + F.col("disproved")).alias("first_keys"))
+
+
 # --- 8. mixing sources
 
 #: Plain material first, dense material later.
@@ -177,6 +207,18 @@ def p8_found(spark, sf_dir):
     return p8_shares(spark, sf_dir).where("mixed_tokens < wanted_tokens").select("source")
 
 
+@registry.add("p8_records", """
+WITH d AS (SELECT nullif(lower(trim(source)), '') AS source, 1 + n_chars // 4 AS n FROM documents), t AS (SELECT lower(trim(source)) AS source, target_share, max_repeats FROM mix_targets),
+h AS (SELECT source, sum(n)::BIGINT AS tokens FROM d GROUP BY source)
+SELECT source, tokens, (tokens * max_repeats < target_share * (SELECT sum(n) FROM d)) AS falls_short, CASE WHEN tokens * max_repeats < target_share * (SELECT sum(n) FROM d) THEN tokens * max_repeats END AS mixed_tokens FROM t JOIN h USING (source)""")
+def p8_records(spark, sf_dir):
+    """The dealt mixture with a quarter of the characters as sizes: of a source that falls short, all records as often as allowed."""
+    counted = mixing.materialise(table(spark, sf_dir, "documents").select("doc_id", "source", (F.lit(1) + F.floor(F.col("n_chars") / 4)).cast("long").alias("n_tokens")), "mix-tokens")
+    targets = table(spark, sf_dir, "mix_targets")
+    got = mixing.actual_shares(mixing.mixture(counted, targets, CURRICULUM), mixing.shares(counted, targets))
+    return got.where("tokens > 0").select("source", "tokens", "falls_short", F.when(F.col("falls_short"), F.col("mixed_tokens")).alias("mixed_tokens"))
+
+
 @registry.add("p8_mixture")
 def p8_mixture(spark, sf_dir):
     counted = mixing.materialise(_counted(spark, sf_dir), "mix-tokens")

@@ -130,7 +130,7 @@ def test_a_store_is_opened_again_and_reads_windows_only(spark, tmp_path):
     entry = history.entries(history.normalised(batch([(999, 9, *row(17), "x", "y")]), "record_no"), F.col("record_no"))
     laid = store._lay(entry, 0, 1)
     (only,) = store._ranges_of(laid)
-    possible = store._possible(store._read([laid]), [only], store.runs[:1])
+    possible = store._possible(store._read([laid]).select("key_range", history._near().alias("h")), [only], store.runs[:1])
     assert [tuple(x) for x in possible.select("run", "key_range").distinct().collect()] == [(1, only)]
     windows = store._windows(store._read([laid]), [only], store.runs)
     assert windows.where("run = 1").count() == 1
@@ -278,4 +278,23 @@ def test_token_counts(spark):
     long = "word " * 60_000
     df = spark.createDataFrame([(1, None), (2, ""), (3, "hello world"), (4, long), (5, "x" * 250_000)], "doc_id int, text string")
     got = {r["doc_id"]: r["n_tokens"] for r in mixing.token_counts(df).collect()}
-    assert got[1] == got[2] == 0 and got[3] == 2 and abs(got[4] - 60_001) <= 2 and got[5] > 1000
+    assert got[1] == got[2] == 0 and got[3] == 2 and got[4] == 60_001 and got[5] > 1000
+
+
+def test_token_counts_do_not_hang_on_where_long_texts_are_cut(spark, monkeypatch):
+    rng = random.Random(1)
+    parts = ["word", " ", "  ", "\n", "\n\n \t", "don't", "'s", "12345", "é語", "!?", " ...", "\x1c", "\u2028", "x" * 70, " " * 90, "\u0301"]
+    texts = ["".join(rng.choice(parts) for _ in range(80)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    counts = lambda: {r["doc_id"]: r["n_tokens"] for r in mixing.token_counts(df).collect()}
+    whole = counts()
+    for chunk in (5, 40, 200):
+        monkeypatch.setattr(mixing, "CHUNK_CHARS", chunk)
+        assert counts() == whole
+
+
+def test_mixture_of_many_targets_is_joined(spark, corpus, monkeypatch):
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    few = mixing.mixture(corpus, targets).collect()
+    monkeypatch.setattr(mixing, "SMALL_PLAN", 1)
+    assert mixing.mixture(corpus, targets).collect() == few
