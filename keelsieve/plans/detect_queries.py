@@ -149,6 +149,13 @@ def signals_exploded(spark, sf_dir):
     return detect.explain(f).join(f.select("id", "artifact_id", "start"), "id").select("artifact_id", "rule_id", F.col("start").cast("long"), "signal", "signal_score")
 
 
+@registry.add("explain_lines", f"""
+WITH x AS ({registry.sql['signals_exploded']})
+SELECT 'fnd_' || substr(sha256(artifact_id || '|' || rule_id || '|' || start || '|' || stop), 1, 24) AS id, rule_id || ' ' || signal || ' ' || printf('%+.2f', signal_score) AS line FROM x JOIN (SELECT artifact_id, rule_id, start, stop FROM ({_EMITTED})) USING (artifact_id, rule_id, start)""")
+def explain_lines(spark, sf_dir):
+    return render.explain_lines(detect.explain(_found(spark, sf_dir))).select("id", "line")
+
+
 @registry.add("severity_summary", f"SELECT severity, count(*) AS findings FROM ({_EMITTED}) GROUP BY severity")
 def severity_summary(spark, sf_dir):
     return render.severity_summary(_found(spark, sf_dir))
@@ -273,6 +280,15 @@ def quality_metrics(spark, sf_dir):
     return quality.confusion(rows).select("tp", "fn", "fp", "tn", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
+@registry.add("quality_report", f"""
+WITH o AS (SELECT coalesce({_LABEL}, false) AS e, artifact_id IN (SELECT artifact_id FROM ({_EMITTED})) AS f FROM artifacts),
+c AS (SELECT count(*) FILTER (WHERE e AND f) AS tp, count(*) FILTER (WHERE e AND NOT f) AS fn, count(*) FILTER (WHERE NOT e AND f) AS fp, count(*) FILTER (WHERE NOT e AND NOT f) AS tn FROM o)
+SELECT printf('all: precision %.2f, recall %.2f (tp %d, fn %d, fp %d, tn %d)', coalesce(tp / nullif(tp + fp, 0), 0), coalesce(tp / nullif(tp + fn, 0), 0), tp, fn, fp, tn) AS line FROM c""")
+def quality_report(spark, sf_dir):
+    rows = quality.outcomes(_labelled(spark, sf_dir), _found(spark, sf_dir)).withColumn("policy", F.lit("all"))
+    return render.quality_lines(quality.confusion(rows, "policy"), "policy")
+
+
 @registry.add("quality_by_policy", f"""
 WITH e AS (SELECT artifact_id, coalesce({_LABEL}, false) AS e FROM artifacts), m AS ({_ARTIFACTS}),
 p AS (SELECT 'cli' AS policy, artifact_id FROM m WHERE band != 'ignore' UNION SELECT 'strict', artifact_id FROM m WHERE band = 'finding')
@@ -343,6 +359,23 @@ def verdict_parse(spark, sf_dir):
     return review.verdicts(_answers(_with_id(_scored(spark, sf_dir)))).select("match_id", "classification", "verdict_confidence", "verdict_error")
 
 
+@registry.add("fallback_verdicts", f"""
+SELECT artifact_id || ':' || rule_id || ':' || start AS match_id, CASE (artifact_id + start) % 4 WHEN 0 THEN 'likely_secret' WHEN 1 THEN 'likely_false_positive' WHEN 2 THEN 'uncertain' ELSE 'likely_secret' END AS classification FROM ({_ARTIFACTS}) WHERE band = 'llm_review'""")
+def fallback_verdicts(spark, sf_dir):
+    """A second model that always answers, asked where the first gives nothing valid."""
+    answers = _answers(_with_id(_scored(spark, sf_dir)))
+    second = answers.withColumn("raw", F.lit('{"classification": "likely_secret", "confidence": 1, "reason": "second"}'))
+    return review.fallback(review.verdicts(answers), review.verdicts(second), "match_id").select("match_id", "classification")
+
+
+@registry.add("prompts_rendered", f"SELECT 'Rule ' || rule_id || ' at ' || start || ': <' || masked || '>' AS prompt, count(*) AS matches FROM {_KEYED} GROUP BY prompt")
+def prompts_rendered(spark, sf_dir):
+    templates = spark.createDataFrame([("review", 1, "old {{rule}}"), ("review", 2, "Rule {{rule}} at {{ start }}: <{{masked}}>")], "prompt_id string, version int, body string")
+    body = review.latest_prompts(templates).head()["body"]
+    f = _found(spark, sf_dir)
+    return f.groupBy(review.rendered(body, rule=F.col("rule_id"), start=F.col("start"), masked=F.col("masked_prefix")).alias("prompt")).agg(F.count(F.lit(1)).alias("matches"))
+
+
 @registry.add("review_signals", f"""
 WITH m AS (SELECT *, (artifact_id + start) % 4 AS k FROM ({_ARTIFACTS}) WHERE band = 'llm_review')
 SELECT artifact_id, rule_id, start, round(CASE k WHEN 0 THEN 0.85::DOUBLE WHEN 1 THEN 0.8::DOUBLE ELSE greatest(0.7::DOUBLE, least(0.899::DOUBLE, score)) END - score, 9) AS change,

@@ -102,9 +102,10 @@ def upsert_latest(spark, sf_dir):
 
 # --- assessment
 
-_ASSESSED = f"""{_ALL}, x AS (SELECT credential_id AS id, count(*) AS n, count(DISTINCT source_type) AS kinds,
+_ASSESSED = f"""{_ALL}, x AS (SELECT credential_id AS id, count(*) AS n, count(DISTINCT source_type) AS kinds, first(source_type || ':' || coalesce(nullif(path, ''), source_uri) || CASE WHEN source_type IN ('web_page', 'web_script') THEN ' is on the web' WHEN source_type IN ('git_working_tree', 'file') THEN ' is a local file' ELSE ' has no known visibility' END
+    ORDER BY CASE WHEN source_type IN ('web_page', 'web_script') THEN 1 WHEN source_type IN ('git_working_tree', 'file') THEN 3 ELSE 2 END, id) AS why,
    max(CASE WHEN source_type IN ('web_page', 'web_script') THEN 1.6::DOUBLE WHEN source_type IN ('git_working_tree', 'file') THEN 1::DOUBLE ELSE 1.2::DOUBLE END) AS visibility FROM e GROUP BY credential_id),
-f AS (SELECT c.id, provider, 1::DOUBLE + 0.15::DOUBLE * least(n - 1, 10) AS exposure_factor, visibility AS visibility_factor,
+f AS (SELECT c.id, provider, why, 1::DOUBLE + 0.15::DOUBLE * least(n - 1, 10) AS exposure_factor, visibility AS visibility_factor,
   CASE WHEN lower(provider) IN ('aws', 'gcp', 'azure') THEN 1.5::DOUBLE WHEN lower(provider) IN ('github', 'gitlab', 'stripe') THEN 1.2::DOUBLE ELSE 1::DOUBLE END AS provider_factor,
   CASE WHEN first_seen IS NULL OR h < 24 THEN 1::DOUBLE WHEN h < 168 THEN 1.1::DOUBLE WHEN h < 720 THEN 1.25::DOUBLE WHEN h < 4320 THEN 1.4::DOUBLE ELSE 1.6::DOUBLE END AS age_factor,
   1::DOUBLE + 0.2::DOUBLE * least(kinds - 1, 4) AS reuse_factor FROM (SELECT *, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(first_seen)) / 3600000000 AS h FROM c) c JOIN x USING (id)),
@@ -117,10 +118,10 @@ def _assessed(spark, sf_dir):
     return assess.assess(correlate.credentials(f), correlate.exposures(f), AS_OF)
 
 
-@registry.add("assessments", _ASSESSED + "SELECT id, provider, round(exposure_factor, 9) AS exposure_factor, visibility_factor, provider_factor, age_factor, round(reuse_factor, 9) AS reuse_factor, round(score, 9) AS score, level FROM a")
+@registry.add("assessments", _ASSESSED + "SELECT id, provider, round(exposure_factor, 9) AS exposure_factor, visibility_factor, provider_factor, age_factor, round(reuse_factor, 9) AS reuse_factor, round(score, 9) AS score, level, why AS visibility_reason FROM a")
 def assessments(spark, sf_dir):
     a = _assessed(spark, sf_dir)
-    return a.select("id", "provider", F.round("exposure_factor", 9).alias("exposure_factor"), "visibility_factor", "provider_factor", "age_factor", F.round("reuse_factor", 9).alias("reuse_factor"), F.round("score", 9).alias("score"), "level")
+    return a.select("id", "provider", F.round("exposure_factor", 9).alias("exposure_factor"), "visibility_factor", "provider_factor", "age_factor", F.round("reuse_factor", 9).alias("reuse_factor"), F.round("score", 9).alias("score"), "level", "visibility_reason")
 
 
 @registry.add("assessment_factors", _ASSESSED + """SELECT factor, round(avg(m), 9) AS mean_multiplier, count(*) AS credentials FROM (
@@ -178,6 +179,13 @@ def list_findings(spark, sf_dir):
     return tools.listed(table(spark, sf_dir, "findings"), "row_no", 100, state="OPEN", source_type="ci", rule_id=None).select("row_no", "finding_id", "rule_id", "severity", "state")
 
 
+@registry.add("get_finding", "SELECT row_no, finding_id, rule_id, severity, state FROM findings WHERE finding_id = (SELECT min(finding_id) FROM findings)")
+def get_finding(spark, sf_dir):
+    """All deliveries of one finding, by its id."""
+    f = table(spark, sf_dir, "findings")
+    return tools.one(f, "finding_id", f.agg(F.min("finding_id")).head()[0]).select("row_no", "finding_id", "rule_id", "severity", "state")
+
+
 @registry.add("list_incidents", _ALL + "SELECT 'inc_' || substr(sha256('incident:' || id), 1, 16) AS id, id AS credential_id, exposure_count FROM c ORDER BY 1 LIMIT 50")
 def list_incidents(spark, sf_dir):
     return tools.listed(correlate.incidents(_findings(spark, sf_dir)), "id", 50, status="open").select("id", "credential_id", "exposure_count")
@@ -364,12 +372,27 @@ def robots_filter(spark, sf_dir):
     return weburl.robots_allowed(a, robots, "keelsieve").select("artifact_id", "allowed")
 
 
-@registry.add("guarded_addresses", """
-SELECT c_custkey, (c_custkey % 256) IN (10, 127) OR (c_custkey % 256 = 192 AND 168 = (c_custkey * 7) % 256) OR (c_custkey % 256 = 172 AND (c_custkey * 7) % 256 BETWEEN 16 AND 31) OR (c_custkey % 256 = 169 AND (c_custkey * 7) % 256 = 254) AS blocked FROM customer""")
+# addresses of all kinds: plain, mapped, local and public ones of six, and what is none
+_BLOCKED = """CASE WHEN c_custkey % 6 IN (1, 3, 5) THEN true WHEN c_custkey % 6 = 2 THEN false ELSE (c_custkey % 256) IN (10, 127) OR (c_custkey % 256 = 192 AND 168 = (c_custkey * 7) % 256)
+ OR (c_custkey % 256 = 172 AND (c_custkey * 7) % 256 BETWEEN 16 AND 31) OR (c_custkey % 256 = 169 AND (c_custkey * 7) % 256 = 254) END"""
+
+
+def _addresses(spark, sf_dir):
+    k = F.col("c_custkey")
+    ip = F.concat_ws(".", (k % 256).cast("string"), ((k * 7) % 256).cast("string"), F.lit("1"), F.lit("2"))
+    of = F.when(k % 6 == 0, F.concat(F.lit("::ffff:"), ip)).when(k % 6 == 1, F.concat(F.lit("fe80::"), (k % 256).cast("string"))).when(k % 6 == 2, F.concat(F.lit("2001:4860::"), (k % 256).cast("string"))).when(k % 6 == 3, F.lit("fc00::1")).when(k % 6 == 4, ip).otherwise(F.concat(ip, F.lit("x")))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("h"), F.floor(k / 5).cast("string")).alias("host"), of.alias("address"))
+
+
+@registry.add("guarded_addresses", f"SELECT c_custkey, {_BLOCKED} AS blocked FROM customer")
 def guarded_addresses(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    ip = F.concat_ws(".", (F.col("c_custkey") % 256).cast("string"), ((F.col("c_custkey") * 7) % 256).cast("string"), F.lit("1"), F.lit("2"))
-    return c.select("c_custkey", weburl.blocked_address(ip).alias("blocked"))
+    return _addresses(spark, sf_dir).select("c_custkey", weburl.blocked_address(F.col("address")).alias("blocked"))
+
+
+@registry.add("rejected_hosts", f"SELECT host FROM (SELECT 'h' || c_custkey // 5 AS host, {_BLOCKED} AS blocked FROM customer) GROUP BY host HAVING bool_or(blocked)")
+def rejected_hosts(spark, sf_dir):
+    """Hosts that resolve to five addresses each, refused for a single bad one."""
+    return weburl.rejected_hosts(_addresses(spark, sf_dir))
 
 
 @registry.add("publishable_messages", "SELECT count(*) AS messages FROM documents WHERE strlen(text) <= 262144")

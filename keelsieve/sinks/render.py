@@ -90,6 +90,11 @@ def correlation_lines(credentials: DataFrame, exposures: DataFrame, incidents: D
     return out
 
 
+def quality_lines(confusion: DataFrame, name: str) -> DataFrame:
+    """A benchmark's results, one line per row of counts."""
+    return confusion.select(F.format_string("%s: precision %.2f, recall %.2f (tp %d, fn %d, fp %d, tn %d)", name, "precision", "recall", "tp", "fn", "fp", "tn").alias("line"))
+
+
 def publishable(messages: DataFrame, body: str = "body", most: int = MESSAGE_BYTES) -> DataFrame:
     """Messages within a queue's size limit."""
     return messages.where(F.octet_length(body) <= most)

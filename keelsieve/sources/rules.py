@@ -33,24 +33,24 @@ class Rule:
 
 # The built-in detection rules.
 BUILTIN = (
-    Rule("aws-access-key-id", "AWS Access Key ID", r"\b((?:AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|ASCA)[A-Z0-9]{16})\b", "high", 0.98, 1,
+    Rule("aws-access-key-id", "Key id of an AWS user or role", r"\b((?:AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|ASCA)[A-Z0-9]{16})\b", "high", 0.98, 1,
          ("aws", "access_key", "aws_access_key_id"), ("example", "placeholder", "dummy"),
          demands=("akia", "asia", "agpa", "aida", "aroa", "aipa", "anpa", "anva", "asca")),
-    Rule("aws-secret-access-key", "AWS Secret Access Key", r"""(?i)aws_secret_access_key\s*[:=]\s*["']?([A-Za-z0-9/+=]{40})["']?""", "critical", 0.9, 1,
+    Rule("aws-secret-access-key", "Secret half of an AWS key pair", r"""(?i)aws_secret_access_key\s*[:=]\s*["']?([A-Za-z0-9/+=]{40})["']?""", "critical", 0.9, 1,
          ("aws", "secret_access_key", "aws_secret_access_key"), ("example", "placeholder", "dummy"), True, 4.2, ("aws_secret_access_key",)),
-    Rule("generic-api-key-assignment", "Generic API Key Assignment", r"""(?i)(api[_-]?key|secret|token)\s*[:=]\s*["']([A-Za-z0-9_\-/+=]{20,})["']""", "medium", 0.5, 2,
+    Rule("generic-api-key-assignment", "Something named key, secret or token set to a literal", r"""(?i)(api[_-]?key|secret|token)\s*[:=]\s*["']([A-Za-z0-9_\-/+=]{20,})["']""", "medium", 0.5, 2,
          ("api_key", "secret", "token"), ("example", "placeholder", "your_api_key", "changeme"), True, 3.5, ("apikey", "api_key", "api-key", "secret", "token")),
-    Rule("generic-jwt", "Generic JSON Web Token", r"\b(eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})\b", "medium", 0.6, 1,
+    Rule("generic-jwt", "Signed web token", r"\b(eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})\b", "medium", 0.6, 1,
          (), ("example", "sample"), True, 4.0, ("eyj",)),
-    Rule("generic-password-assignment", "Generic Password Assignment", r"""(?i)(password|passwd|pwd)\s*[:=]\s*["']([^"'\s]{8,})["']""", "medium", 0.4, 2,
+    Rule("generic-password-assignment", "Something named password set to a literal", r"""(?i)(password|passwd|pwd)\s*[:=]\s*["']([^"'\s]{8,})["']""", "medium", 0.4, 2,
          ("password", "passwd", "pwd"), ("example", "placeholder", "changeme", "password123"), demands=("passw", "pwd")),
-    Rule("github-pat-classic", "GitHub Personal Access Token (classic)", r"\b(ghp_[A-Za-z0-9]{36})\b", "high", 0.97, 1,
+    Rule("github-pat-classic", "Old-style GitHub token", r"\b(ghp_[A-Za-z0-9]{36})\b", "high", 0.97, 1,
          ("github", "token", "ghp_"), ("example", "placeholder"), demands=("ghp_",)),
-    Rule("github-pat-fine-grained", "GitHub Fine-Grained Personal Access Token", r"\b(github_pat_[A-Za-z0-9_]{22,255})\b", "high", 0.97, 1,
+    Rule("github-pat-fine-grained", "New-style GitHub token", r"\b(github_pat_[A-Za-z0-9_]{22,255})\b", "high", 0.97, 1,
          ("github", "token"), ("example", "placeholder"), demands=("github_pat_",)),
-    Rule("pem-private-key", "PEM Private Key Block", r"-----BEGIN ((RSA|EC|DSA|OPENSSH|PGP) )?PRIVATE KEY-----", "critical", 0.99, 0, demands=("private key-----",)),
-    Rule("stripe-secret-key-live", "Stripe Live Secret Key", r"\b(sk_live_[A-Za-z0-9]{24,247})\b", "critical", 0.98, 1, ("stripe",), ("example", "placeholder"), demands=("sk_live_",)),
-    Rule("stripe-secret-key-test", "Stripe Test Secret Key", r"\b(sk_test_[A-Za-z0-9]{24,247})\b", "low", 0.9, 1, ("stripe",), (), demands=("sk_test_",)),
+    Rule("pem-private-key", "Head of a private key", r"-----BEGIN ((RSA|EC|DSA|OPENSSH|PGP) )?PRIVATE KEY-----", "critical", 0.99, 0, demands=("private key-----",)),
+    Rule("stripe-secret-key-live", "Stripe key of live mode", r"\b(sk_live_[A-Za-z0-9]{24,247})\b", "critical", 0.98, 1, ("stripe",), ("example", "placeholder"), demands=("sk_live_",)),
+    Rule("stripe-secret-key-test", "Stripe key of test mode", r"\b(sk_test_[A-Za-z0-9]{24,247})\b", "low", 0.9, 1, ("stripe",), (), demands=("sk_test_",)),
 )
 
 
