@@ -121,8 +121,9 @@ def exact_counts(rows: DataFrame, dims: Sequence[str], groups: Sequence[Sequence
 def dominant_days(rows: DataFrame, share: float = 0.1, least_per_mille: int = 15, total: int | None = None, buckets: int = BUCKETS, z: float = 6.0) -> DataFrame:
     """Days that hold at least ``share`` of all distinct identifiers of a frequent (rule_id, severity) pair.
 
-    ``rows`` has created_day, rule_id, severity and id. The sketches shortlist pairs and days whose bounds
-    allow it; the shortlist alone is then counted exactly. Absent days count in the pair's total only.
+    ``rows`` has created_day, rule_id, severity and id. Absent days count in the pair's total only. The bounds of the sketches
+    decide most days; exact counts are made for the pairs of those days alone that the bounds leave open. Bounds are taken
+    two wider on each side, as in small sets whole identifiers fall together.
     """
     total = rows.count() if total is None else total
     whole = rows.where("rule_id IS NOT NULL AND severity IS NOT NULL")
@@ -130,12 +131,14 @@ def dominant_days(rows: DataFrame, share: float = 0.1, least_per_mille: int = 15
     fine = sketch(whole.where("id IS NOT NULL"), ["created_day", "rule_id", "severity"], F.col("id"), buckets)
     both = combinations(fine, ["created_day", "rule_id", "severity"], [("created_day", "rule_id", "severity"), ("rule_id", "severity")])
     bounds = estimate(both, ["grouping", "created_day", "rule_id", "severity"], buckets, z)
-    pairs = bounds.where("grouping = 'rule_id+severity'").select("rule_id", "severity", F.col("lower").alias("pair_lower"))
-    days = bounds.where("grouping = 'created_day+rule_id+severity'").select("created_day", "rule_id", "severity", F.col("upper").alias("day_upper"))
+    pairs = bounds.where("grouping = 'rule_id+severity'").select("rule_id", "severity", (F.col("lower") - 2).alias("pair_lower"), (F.col("upper") + 2).alias("pair_upper"))
+    days = bounds.where("grouping = 'created_day+rule_id+severity'").select("created_day", "rule_id", "severity", (F.col("lower") - 2).alias("day_lower"), (F.col("upper") + 2).alias("day_upper"))
     short = days.join(pairs, ["rule_id", "severity"]).where(F.col("day_upper") >= share * F.col("pair_lower")).join(frequent, ["rule_id", "severity"])
-    short = materialise(short.select("created_day", "rule_id", "severity"), "shortlist")
-    exact = whole.where("id IS NOT NULL").join(short.select("rule_id", "severity").distinct(), ["rule_id", "severity"]).select("rule_id", "severity", "created_day", "id").distinct()
+    sure = (F.col("day_lower") > 0) & (F.col("day_lower") >= share * F.col("pair_upper"))
+    short = materialise(short.select("created_day", "rule_id", "severity", sure.alias("sure")), "shortlist")
+    unsure = short.where("NOT sure").drop("sure")
+    exact = whole.where("id IS NOT NULL").join(unsure.select("rule_id", "severity").distinct(), ["rule_id", "severity"]).select("rule_id", "severity", "created_day", "id").distinct()
     in_pair = exact.groupBy("rule_id", "severity").agg(F.count_distinct("id").alias("pair_n"))
     in_day = exact.where("created_day IS NOT NULL").groupBy("rule_id", "severity", "created_day").agg(F.count(F.lit(1)).alias("day_n"))
-    hit = in_day.join(short, ["created_day", "rule_id", "severity"]).join(in_pair, ["rule_id", "severity"])
-    return hit.where(F.col("day_n") >= F.lit(share) * F.col("pair_n")).select("created_day", "rule_id", "severity")
+    hit = in_day.join(unsure, ["created_day", "rule_id", "severity"]).join(in_pair, ["rule_id", "severity"])
+    return short.where("sure").drop("sure").unionByName(hit.where(F.col("day_n") >= F.lit(share) * F.col("pair_n")).select("created_day", "rule_id", "severity"))
