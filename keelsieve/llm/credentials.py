@@ -51,7 +51,7 @@ _BEFORE = [
     re.compile(r"[\"']([\w.\-]+)[\"']\s*,\s*$"),
     re.compile(r"#define\s+(\w+)\s+$"),
     re.compile(r"\bset([A-Z]\w*)\(\s*$"),
-    re.compile(r"(?:[\"'`]|\b)(" + _NAME + r")(?:[\"'`])?\s*\]?\s*(?:\[\s*\])?(?:\s*:?\s*(?:string|str|String|char\s*\*))?\s*(?::=|=>|===?|=|:)\s*$"),
+    re.compile(r"(?:[\"'`]|\b)(" + _NAME + r")(?:[\"'`])?\s*\]?\s*(?:\[\s*\])?(?:\s*:?\s*(?:string|str|String|char\s*\*))?\s*(?::=|=>|===?|=|:)\s*\(?\s*$"),
 ]
 #: The value that is taken where a setting is absent: ``password = getenv("X", "...")``, ``token = env.X || "..."``.
 _DEFAULT = re.compile(r"(?:[\"'`]|\b)(" + _NAME + r")[\"'`]?\s*(?::\s*\w+\s*)?(?::=|=|:)\s*(?:[\w.\->]+\s*[(\[]\s*[\"'][^\"']*[\"']\s*(?:,\s*(?:default\s*=\s*)?$|[)\]]\s*(?:\|\||\?\?|\bor\b)\s*$)|[\w.]+\s*(?:\|\||\?\?|\bor\b)\s*$)")
@@ -132,14 +132,15 @@ def _stand_in(value: str) -> bool:
 
 
 # Words of sentences, which a pass phrase does without.
-_SENTENCE_WORDS = frozenset("a an and any are as at be by can cannot could do does enter failed for from has have if in invalid is it its may must no not of on or our please should that the this to too was were when will with wrong you your".split())
+_SENTENCE_WORDS = frozenset("a an and any are as at be by can cannot could do does enter failed for from has have if in invalid is it its may must no not of on or our please should that the this to too was were when will with wrong you your choose type pick use click see set reset forgot create confirm change update check show hide new old".split())
+_SPOKEN_NAMES = frozenset("help error message msg info tip warning description note title text label hint prompt question".split())
 _PHRASE_NAMES = frozenset("password passwd passphrase passcode pwd pw pass kennwort passwort".split())
 
 
 def phrase(value: str, name: str) -> bool:
     """Whether a quoted value of something named like a password is a pass phrase: words that make no sentence and name nothing themselves, or one long such word."""
     words = _words(name)
-    if not words or not any(w in _PHRASE_NAMES or w.endswith(("password", "passwd", "passphrase")) for w in words[-2:]) or words[-1] in OTHER_WORDS:
+    if not words or _SPOKEN_NAMES & set(words) or not any(w in _PHRASE_NAMES or w.endswith(("password", "passwd", "passphrase")) for w in words[-2:]) or words[-1] in OTHER_WORDS:
         return False
     v = value.strip()
     parts = re.split(r"[\s\-_.]+", v)

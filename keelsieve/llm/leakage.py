@@ -39,8 +39,8 @@ CANDIDATE = 0.3
 LEAST_WORDS, EDIT_EVERY = 24, 10
 #: Words of a common run that seeds an alignment: 24 words with 2 edits always hold a run of 8, no allowed leak less than 7.
 SEED = 6
-#: A paraphrase: least cosine, and least part of the item's words that a stretch of the document twice as long holds in order.
-PARAPHRASE_COSINE, PARAPHRASE_WORDS = 0.5, 0.6
+#: A paraphrase: least part of the item's words that a stretch three times as long around the most similar passage holds in order.
+PARAPHRASE_WORDS = 0.6
 #: Item passages compared at a time, words of documents worked on at a time.
 BLOCK, CHUNK_WORDS = 4096, 16_384
 #: Items that go to the tasks together; more are taken in several parts.
@@ -414,9 +414,9 @@ def _search(texts: DataFrame, wanted: list, said: dict, space: np.ndarray, idf:
                     if d not in grams:
                         grams[d] = _grams(doc)
                     size, kind = leaked_words(item, doc, grams[d]), "quote"
-                    if not size and c >= PARAPHRASE_COSINE:
+                    if not size:
                         n = len(item.words)
-                        size, kind = common_words(item.words, doc[max(0, start - n // 2) : max(0, start - n // 2) + 2 * n]), "paraphrase"
+                        size, kind = common_words(item.words, doc[max(0, start + PASSAGE // 2 - 3 * n // 2) : start + PASSAGE // 2 + 3 * n // 2]), "paraphrase"
                         size = size if size >= max(LEAST_WORDS, PARAPHRASE_WORDS * n) else 0
                     if size:
                         answer = answers.get(names[y])

@@ -116,7 +116,7 @@ def test_redacted_code_still_parses():
     import json
 
     values = [r"\x41b9defgh1Q", r"a\tb9defgh1\n", r"q\"uote9d", r"a\\b9defg", r"\u00e9b9defgh", r"b9d\101efgh", "plain9Zebra", r"\N{BULLET}b9defgh1"]
-    lines = [f'password = "{v}"' for v in values] + ["token = ('Zx81kfPq'\n         '02lmNopq')", 'api_key = """Zx81kfPq02lmN"""', 'secret = f("a", key="Zx81kfPq02lmN")']
+    lines = [f'password = "{v}"' for v in values] + ["token = ('Zx81kfPq'\n         '02lmNopq')", 'api_key = """Zx81kfPq02lmN"""', 'secret = f("a", api_key="Zx81kfPq02lmN")']
     code = "\n".join(lines) + "\n"
     spans = credentials.find(code, "a.py")
     masked = credentials.mask(code, spans)
